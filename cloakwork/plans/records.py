@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from cloakwork.functions import fixed
@@ -13,35 +16,50 @@ from cloakwork.functions.text import fold_ws
 
 
 # ---------------------------------------------------------------------- W5, W6
+def _chain_head(thread: Column, payload: Column) -> Column:
+    """Canonical JSON of a link up to its previous hash."""
+    doc = F.struct(F.lit(2).alias("version"), thread.alias("threadId"), payload.alias("event"))
+    text = F.to_json(doc, {"ignoreNullFields": "false"})
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"previousHash":'))
+
+
 def event_hash(thread: Column, payload: Column, previous: Column) -> Column:
     """Hash of one chain link: canonical JSON of version, thread, event payload and previous hash."""
-    doc = F.struct(F.lit(2).alias("version"), thread.alias("threadId"), payload.alias("event"),
-                   previous.alias("previousHash"))
-    return F.sha2(F.to_json(doc, {"ignoreNullFields": "false"}), 256)
+    quoted = F.coalesce(F.concat(F.lit('"'), previous, F.lit('"')), F.lit("null"))
+    return F.sha2(F.concat(_chain_head(thread, payload), quoted, F.lit("}")), 256)
+
+
+def _fold_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Carry the last hash along rows sorted by thread and time; holds one batch at a time."""
+    thread, last = None, None
+    for batch in batches:
+        before, after = [], []
+        for key, head in zip(batch["_thread"], batch["_head"], strict=True):
+            previous = last if key == thread else None
+            tail = "null" if previous is None else f'"{previous}"'
+            thread, last = key, hashlib.sha256(f"{head}{tail}}}".encode()).hexdigest()
+            before.append(previous)
+            after.append(last)
+        yield batch.drop(columns=["_head", "_thread", "_id"]).assign(previous_hash=before, event_hash=after)
 
 
 def hash_chain(events: DataFrame, thread: str, payload_cols: Sequence[str], at: str = "at",
                event_id: str = "event_id") -> DataFrame:
     """Chain the events of each thread; re-delivered events (same id) count once.
 
-    A hash chain is sequential by definition, so a thread is folded in time order inside its row;
-    threads are independent and only the payload columns travel.
+    A chain is sequential by definition.  Threads are spread over tasks, sorted on disk by Spark
+    and streamed through a small hash fold, so no thread is ever held in memory as a whole.
     """
-    payload = F.struct(*dict.fromkeys([event_id, at, *payload_cols]))
-    once = events.groupBy(thread, event_id).agg(F.min(F.struct(F.col(at).alias("_at"), payload.alias("p"))).alias("m"))
-    ordered = once.groupBy(thread).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("m._at").alias("at"), F.col(event_id).cast("string").alias("id"), F.col("m.p").alias("p")))).alias("es"))
-    link = "struct<id:string,previous_hash:string,event_hash:string>"
-
-    def step(acc: Column, e: Column) -> Column:
-        h = event_hash(F.col(thread), e.p, acc.last)
-        return F.struct(h.alias("last"), F.concat(acc.out, F.array(F.struct(
-            e.id.alias("id"), acc.last.alias("previous_hash"), h.alias("event_hash")))).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast(f"array<{link}>").alias("out"))
-    links = F.aggregate("es", zero, step, lambda acc: acc.out)
-    return ordered.select(thread, F.explode(F.arrays_zip(F.col("es"), links.alias("l"))).alias("z")).select(
-        thread, "z.es.p.*", "z.l.previous_hash", "z.l.event_hash")
+    cols = list(dict.fromkeys([event_id, at, *payload_cols]))
+    once = events.groupBy(thread, event_id).agg(F.min(F.struct(*[c for c in cols if c != event_id])).alias("m"))
+    rows = once.select(thread, event_id, *[F.col(f"m.{c}").alias(c) for c in cols if c != event_id])
+    payload = F.struct(*cols)
+    rows = rows.withColumn("_head", _chain_head(F.col(thread), payload)).withColumn(
+        "_thread", F.col(thread).cast("string")).withColumn("_id", F.col(event_id).cast("string"))
+    placed = rows.repartition(thread).sortWithinPartitions(thread, at, "_id")
+    schema = T.StructType([f for f in rows.schema if not f.name.startswith("_")]).add(
+        "previous_hash", "string").add("event_hash", "string")
+    return placed.mapInPandas(_fold_links, schema)
 
 
 def verify_chain(chained: DataFrame, thread: str, payload_cols: Sequence[str], at: str = "at",

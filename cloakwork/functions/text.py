@@ -90,15 +90,21 @@ def utf16_offset(text: Column, offset: Column) -> Column:
 
 def codepoint_offset(text: Column, offset: Column) -> Column:
     """Code-point offset of a UTF-16 offset (an offset inside a pair is null)."""
-    widths = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"^[\x{10000}-\x{10FFFF}]"), 2).otherwise(1))
-    walked = F.aggregate(
-        widths,
-        F.struct(F.lit(0).alias("unit"), F.lit(0).alias("point")),
-        lambda a, w: F.when(
-            a.unit < offset, F.struct((a.unit + w).alias("unit"), (a.point + 1).alias("point"))
-        ).otherwise(a),
-    )
-    return let(walked, lambda a: F.when(a.unit == offset, a.point))
+    # without characters outside the basic plane both offsets are the same
+    def walk(b: Column) -> Column:
+        return F.aggregate(
+            F.split(b.text, ""),
+            F.struct(F.lit(0).alias("unit"), F.lit(0).alias("point")),
+            lambda a, c: F.when(
+                a.unit < b.at,
+                F.struct((a.unit + F.when(F.octet_length(c) == 4, 2).otherwise(1)).alias("unit"),
+                         (a.point + 1).alias("point")),
+            ).otherwise(a),
+            lambda a: F.when(a.unit == b.at, a.point),
+        )
+
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), let(
+        F.struct(text.alias("text"), offset.cast("int").alias("at")), walk)).otherwise(offset.cast("int"))
 
 
 def longest_alnum_run(col: Column) -> Column:

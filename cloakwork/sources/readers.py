@@ -296,29 +296,32 @@ def flatten_leaves(df: DataFrame, keys: Sequence[str], body_col: str = "body", d
     """
     keys = list(keys)
     spark = df.sparkSession
-    parsed = df.select(*keys, F.col(body_col).alias("_body"), F.try_parse_json(F.col(body_col)).alias("v"))
-    out = parsed.filter("v is null").select(*keys, F.lit("$").alias("path"), F.lit("raw").alias("kind"),
-                                            F.col("_body").alias("text"))
-    level = parsed.filter("v is not null").select(*keys, F.lit("$").alias("path"), "v")
-
-    def strings(d: DataFrame) -> DataFrame:
-        return d.filter(F.schema_of_variant("v") == "STRING").select(
-            *keys, "path", F.lit("value").alias("kind"), F.col("v").cast("string").alias("text"))
-
-    out = out.unionByName(strings(level))
+    nothing = F.lit(None).cast("variant")
+    v = F.try_parse_json(F.col(body_col))
+    nodes = df.select(*keys, F.lit("$").alias("path"), v.alias("v"), F.col(body_col).alias("_body")).select(
+        *keys, "path", F.when(F.col("v").isNull(), "raw").otherwise("node").alias("kind"),
+        F.when(F.col("v").isNull(), F.col("_body")).alias("text"), "v")
     for _ in range(depth):
-        nested = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        children = nested.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
-            *keys,
-            F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-            .otherwise(F.concat("path", F.lit("."), "key")).alias("path"),
-            "key", F.col("value").alias("v"))
-        out = out.unionByName(children.filter("key is not null").select(
-            *keys, "path", F.lit("key").alias("kind"), F.col("key").alias("text")))
-        level = children.select(*keys, "path", "v")
-        out = out.unionByName(strings(level))
-    rest = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<."))
-    return out.unionByName(rest.select(*keys, "path", F.lit("deep").alias("kind"), F.to_json("v").alias("text")))
+        # a finished leaf passes through as one row, so each level is computed exactly once
+        x = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        child = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+                       ).otherwise(F.concat("path", F.lit("."), "key"))
+
+        def row(path: Column, kind: Column, text: Column, value: Column) -> Column:
+            return F.struct(path.alias("path"), kind.alias("kind"), text.alias("text"), value.alias("v"))
+
+        none = F.lit(None).cast("string")
+        inner = row(child, F.lit("node"), none, F.col("value"))
+        out = F.when(F.col("pos").isNull(), F.array(row(F.col("path"), F.col("kind"), F.col("text"), F.col("v")))).when(
+            F.col("key").isNotNull(), F.array(row(child, F.lit("key"), F.col("key"), nothing), inner)
+        ).otherwise(F.array(inner))
+        nodes = x.select(*keys, F.explode(out).alias("_n")).select(*keys, "_n.*")
+    shape = F.schema_of_variant("v")
+    is_node = F.col("kind") == "node"
+    kind = F.when(~is_node, F.col("kind")).when(shape == "STRING", "value").when(shape.rlike("^(OBJECT|ARRAY)<."), "deep")
+    text = F.when(~is_node, F.col("text")).when(shape == "STRING", F.col("v").cast("string")).otherwise(F.to_json("v"))
+    return nodes.select(*keys, "path", kind.alias("kind"), F.when(kind.isNotNull(), text).alias("text")).filter(
+        "kind is not null")
 
 
 # ----------------------------------------------------------------------- S8 SSE

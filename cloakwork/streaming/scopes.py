@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cloakwork.operators.detect import Rule, detect
 from cloakwork.plans.redact import Redactor
+from cloakwork.session import checkpoint
 
 IDLE_TTL_MS = 30 * 60 * 1000
 
@@ -74,6 +75,8 @@ def with_live_registry(load_forms: Callable[[], DataFrame], make: Callable[[Data
     def run(batch: DataFrame, epoch: int) -> None:
         forms = load_forms()
         merged = forms if not active else active[0].unionByName(forms, allowMissingColumns=True).distinct()
+        # a durable copy keeps the plan from growing with every micro-batch
+        merged = checkpoint(merged)
         active[:] = [merged]
         sink(make(merged).redact(batch, keys, text_col), epoch)
 

@@ -21,6 +21,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pin(col: Column) -> Column:
+    """Keep a costly column where it is computed.
+
+    The optimizer copies deterministic column expressions into every filter it pushes below them
+    (an ``explode`` alone adds one), and chained array columns multiply that.  A guard that is
+    always true but not known to be so keeps each stage evaluated once per row.
+    """
+    return F.when(F.rand(0) + 1.0 > 0.5, col)
+
+
 def trim_ws(col: Column) -> Column:
     """Strip leading and trailing ECMAScript white space."""
     return F.regexp_replace(col, rf"^[{fixed.WS}]+|[{fixed.WS}]+$", "")
@@ -121,7 +131,7 @@ def shannon_entropy(col: Column) -> Column:
         F.struct(F.length(col).cast("double").alias("n"), F.filter(F.split(col, ""), lambda c: c != "").alias("chars")),
         lambda s: F.when(s.n == 0, F.lit(0.0)).otherwise(
             F.aggregate(
-                F.array_sort(F.array_distinct(s.chars)),
+                F.sort_array(F.array_distinct(s.chars)),
                 F.lit(0.0),
                 lambda acc, ch: let(
                     F.size(F.filter(s.chars, lambda x: x == ch)) / s.n,

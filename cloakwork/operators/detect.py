@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions import predicates as P
 from cloakwork.functions.fixed import java, re2
-from cloakwork.functions.text import let, trim_ws
+from cloakwork.functions.text import let, pin, trim_ws
 from cloakwork.operators.spans import CONFIDENCE, MARK, cut, mark_safe, pieces_to_spans, rank_of, semi_overlap
 
 
@@ -206,8 +206,8 @@ def detect(df: DataFrame, id_cols: Sequence[str], text_col: str, rules: Sequence
            token_prefix: str = fixed.DEFAULT_PREFIX) -> DataFrame:
     """One row per match: ``(id_cols, rule, start, end, value, kind, confidence, source, score)``."""
     return df.select(
-        *id_cols, F.explode(findings(F.col(text_col), rules, token_prefix)).alias("_f")
-    ).select(*id_cols, "_f.*")
+        *id_cols, pin(findings(F.col(text_col), rules, token_prefix)).alias("_fs")
+    ).select(*id_cols, F.explode("_fs").alias("_f")).select(*id_cols, "_f.*")
 
 
 # A detector is any callable from a text frame to findings; rule sets are the built-in ones.
@@ -232,11 +232,8 @@ def run_detectors(leaves: DataFrame, id_cols: Sequence[str], text_col: str,
 
 def first_values(found: Column) -> Column:
     """Distinct values of one text, keeping the first rule's attributes (rule order, then position)."""
-    return F.aggregate(
-        found,
-        F.filter(found, lambda f: F.lit(False)),
-        lambda acc, f: F.when(F.exists(acc, lambda x: x.value == f.value), acc).otherwise(F.concat(acc, F.array(f))),
-    )
+    return let(F.transform(found, lambda f: f.value), lambda values: F.filter(
+        found, lambda f, i: F.array_position(values, f.value) == i + 1))
 
 
 def secret_header_findings(df: DataFrame, id_cols: Sequence[str], name_col: str, value_col: str) -> DataFrame:
@@ -336,7 +333,7 @@ def merge_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, "value")
         .agg(
             best.alias("_b"),
-            F.array_sort(F.collect_set(F.when(
+            F.sort_array(F.collect_set(F.when(
                 (F.col("start") >= 0) & (F.col("end") > F.col("start")), F.struct("start", "end")))).alias("spans"),
         )
         .select(*keys, "value", "_b.*", "spans")
@@ -381,7 +378,8 @@ def chunk_text(df: DataFrame, id_cols: Sequence[str], text_col: str, size: int =
 
     whole = F.array(F.struct(F.lit(0).alias("base"), F.length(F.col(text_col)).alias("end")))
     chunks = F.when(F.length(text_col) <= size, whole).otherwise(packed(F.col(text_col)))
-    return df.select(*id_cols, F.col(text_col), F.posexplode(chunks).alias("chunk", "_c")).select(
+    return df.select(*id_cols, F.col(text_col), pin(chunks).alias("_cs")).select(
+        *id_cols, text_col, F.posexplode("_cs").alias("chunk", "_c")).select(
         *id_cols, "chunk", F.col("_c.base").alias("base"),
         F.substring(F.col(text_col), F.col("_c.base") + 1, F.col("_c.end") - F.col("_c.base")).alias("text"),
     )
@@ -408,7 +406,7 @@ def detect_distinct(df: DataFrame, id_cols: Sequence[str], text_col: str, rules:
     """
     hashed = df.select(*id_cols, F.col(text_col).alias("_t"), F.sha2(F.col(text_col), 256).alias("leaf_hash"))
     distinct = hashed.groupBy("leaf_hash").agg(F.min("_t").alias("_t"))
-    found = distinct.select("leaf_hash", findings(F.col("_t"), rules).alias("f")).filter(F.size("f") > 0)
+    found = distinct.select("leaf_hash", pin(findings(F.col("_t"), rules)).alias("f")).filter(F.size("f") > 0)
     return hashed.drop("_t").join(found, "leaf_hash").select(
         *id_cols, F.explode("f").alias("_f")).select(*id_cols, "_f.*")
 

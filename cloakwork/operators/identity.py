@@ -16,7 +16,7 @@ from cloakwork.functions import fixed
 from cloakwork.functions.fixed import java
 from cloakwork.functions.predicates import is_name_word, normalize_word
 from cloakwork.functions.text import let
-from cloakwork.operators.spans import MARK, mark_safe, scan
+from cloakwork.operators.spans import MARK, mark_safe, running, scan
 
 WORD_PATTERN = f"({fixed.WORD})"
 
@@ -236,17 +236,13 @@ def markdown_view(text: Column) -> Column:
     marked = F.split(F.regexp_replace(text, f"({fixed.MARKDOWN_REMOVE})", f"{MARK}$1{MARK}"), MARK, -1)
 
     def build(p: Column) -> Column:
-        zero = F.struct(
-            F.lit(0).alias("raw"), F.lit(0).alias("norm"), F.lit(0).alias("i"),
-            F.array().cast("array<struct<norm_start:int,raw_start:int,len:int>>").alias("out"))
-        kept = F.aggregate(p, zero, lambda a, x: F.when(
-            (a.i % 2 == 0) & (F.length(x) > 0),
-            F.struct((a.raw + F.length(x)).alias("raw"), (a.norm + F.length(x)).alias("norm"), (a.i + 1).alias("i"),
-                     F.concat(a.out, F.array(F.struct(
-                         a.norm.alias("norm_start"), a.raw.alias("raw_start"), F.length(x).alias("len")))).alias("out")),
-        ).when(a.i % 2 == 0, F.struct(a.raw.alias("raw"), a.norm.alias("norm"), (a.i + 1).alias("i"), a.out.alias("out")))
-            .otherwise(F.struct((a.raw + F.length(x)).alias("raw"), a.norm.alias("norm"), (a.i + 1).alias("i"),
-                                a.out.alias("out"))), lambda a: a.out)
+        lengths = F.transform(p, lambda x: F.length(x))
+        text_lengths = F.transform(p, lambda x, i: F.when(i % 2 == 0, F.length(x)).otherwise(0))
+        kept = running(lengths, lambda a, w: a + w, lambda raw_at: running(
+            text_lengths, lambda a, w: a + w, lambda norm_at: F.transform(
+                F.filter(F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)), lambda i: F.length(F.get(p, i)) > 0),
+                lambda i: F.struct(norm_at(i).alias("norm_start"), raw_at(i).alias("raw_start"),
+                                   F.length(F.get(p, i)).alias("len")))))
         clean = F.array_join(F.filter(p, lambda x, i: i % 2 == 0), "")
         return F.struct(clean.alias("text"), kept.alias("kept"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
 from cloakwork.functions.predicates import is_case_expandable, is_lowercase_single_word
-from cloakwork.functions.text import flexible_pattern, key_fold, let
+from cloakwork.functions.text import flexible_pattern, key_fold, let, pin
 from cloakwork.operators.spans import mark_safe, scan
 
 CLASSES = (-3, -2, 8, 4, 2, 1)  # anchor classes, most selective first
@@ -177,13 +177,13 @@ class Dictionary:
     def __init__(self, forms: DataFrame, inline_forms: int = INLINE_FORMS, inline_bytes: int = INLINE_BYTES):
         self.forms = with_form_defaults(forms).select("value", *FORM_DEFAULTS).filter("value <> ''").distinct()
         self.anchored = anchored(self.forms)
-        # the size check that allows the broadcast row; limit() bounds the work on a huge registry
-        probe = self.forms.limit(inline_forms + 1).agg(
-            F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("b")).first()
-        self.inline = probe["n"] <= inline_forms and (probe["b"] or 0) <= inline_bytes
-        self.empty = probe["n"] == 0
-        self.classes = sorted(
-            r["cls"] for r in self.anchored.select("cls").distinct().limit(len(CLASSES)).collect())
+        # the size check that allows the broadcast row, and the anchor classes in use
+        size = self.anchored.agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes"),
+            F.collect_set("cls").alias("classes")).first()
+        self.inline = size["n"] <= inline_forms and (size["bytes"] or 0) <= inline_bytes
+        self.empty = size["n"] == 0
+        self.classes = sorted(size["classes"])
 
     def hashes(self, text: Column) -> Column:
         """Anchor hashes of a text, for the anchor classes this registry uses."""
@@ -212,20 +212,22 @@ class Dictionary:
                 lambda hits: F.when(F.size(hits) > 0, F.transform(
                     F.filter("_forms", lambda f: F.array_contains(hits, f.anchor)), lambda f: f.form)),
             )
-            return joined.withColumn(out, F.coalesce(picked, none)).drop("_one", "_dict", "_anchors", "_forms")
+            return joined.withColumn(out, pin(F.coalesce(picked, none))).drop("_one", "_dict", "_anchors", "_forms")
         found = self.candidate_rows(df, keys, text_col).groupBy(*keys).agg(F.collect_set("form").alias(out))
         return df.join(found, list(keys), "left").withColumn(out, F.coalesce(out, none))
 
     def candidate_rows(self, df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
         """(keys, form) pairs by an equi-join of distinct text grams with the anchors."""
-        grams = df.select(*keys, F.explode(F.array_distinct(self.hashes(F.col(text_col)))).alias("anchor"))
+        grams = df.select(*keys, pin(F.array_distinct(self.hashes(F.col(text_col)))).alias("_as")).select(
+            *keys, F.explode("_as").alias("anchor"))
         return grams.join(self.anchored.select("anchor", form_struct().alias("form")), "anchor").drop("anchor")
 
     def occurrences(self, df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
         """One row per occurrence ``(keys, start, end, surface, value, …form fields)``."""
         return (
             self.candidates(df.select(*keys, text_col), keys, text_col)
-            .select(*keys, F.explode(expand(F.col(text_col), F.col("candidates"))).alias("_o"))
+            .select(*keys, pin(expand(F.col(text_col), F.col("candidates"))).alias("_os"))
+            .select(*keys, F.explode("_os").alias("_o"))
             .select(*keys, "_o.start", "_o.end", F.col("_o.value").alias("surface"), "_o.form.*")
         )
 
@@ -240,16 +242,17 @@ def match_scoped(df: DataFrame, keys: Sequence[str], text_col: str, forms: DataF
     carried = [c for c in forms.columns if c not in {*scope, "value", *FORM_DEFAULTS}]
     full = with_form_defaults(forms)
     prepared = anchored(full.select(*scope, *carried, "value", *FORM_DEFAULTS).distinct())
-    grams = df.select(*keys, *[c for c in scope if c not in keys], *[c for c in turn if c not in keys],
-                      F.explode(F.array_distinct(text_anchors(F.col(text_col), CLASSES))).alias("anchor"))
+    own = [*keys, *[c for c in scope if c not in keys], *[c for c in turn if c not in keys]]
+    grams = df.select(*own, pin(F.array_distinct(text_anchors(F.col(text_col), CLASSES))).alias("_as")).select(
+        *own, F.explode("_as").alias("anchor"))
     hit = grams.join(prepared, [*scope, "anchor"]).drop("anchor", "cls")
     if keep is not None:
         hit = hit.filter(keep)
     found = hit.select(*keys, *carried, form_struct().alias("form")).distinct()
     scanned = df.select(*keys, text_col).join(found, list(keys))
     return scanned.select(
-        *keys, *carried, F.explode(expand(F.col(text_col), F.array("form"))).alias("_o")
-    ).select(*keys, *carried, "_o.start", "_o.end", F.col("_o.value").alias("surface"), "_o.form.*")
+        *keys, *carried, pin(expand(F.col(text_col), F.array("form"))).alias("_os")
+    ).select(*keys, *carried, F.explode("_os").alias("_o")).select(*keys, *carried, "_o.start", "_o.end", F.col("_o.value").alias("surface"), "_o.form.*")
 
 
 # ------------------------------------------------------------------------ J3
@@ -280,7 +283,7 @@ def link_anchors(registry: DataFrame) -> DataFrame:
         .filter("key is not null").distinct()
         .groupBy("key").agg(
             F.count("*").alias("owners"), F.min("entity_id").alias("owner"),
-            F.array_sort(F.collect_list("entity_id")).alias("candidates"))
+            F.sort_array(F.collect_list("entity_id")).alias("candidates"))
     )
 
 
@@ -313,6 +316,6 @@ def ambiguity_diagnostics(admissible: DataFrame, resolved: DataFrame, keys: Sequ
     spans = admissible.filter("ambiguous").select(*keys, "entity_id", "start", "end", "candidates").distinct()
     won = resolved.filter("ambiguous").select(*keys, "entity_id", "start", "end").distinct()
     hit = span_overlap_join(spans, won, [*keys, "entity_id"]).drop("r_start", "r_end").distinct()
-    hashed = F.array_sort(F.transform("candidates", lambda c: F.substring(F.sha2(c, 256), 1, 16)))
+    hashed = F.sort_array(F.transform("candidates", lambda c: F.substring(F.sha2(c, 256), 1, 16)))
     return hit.select(
         *keys, "start", "end", F.size("candidates").alias("candidate_count"), hashed.alias("candidate_ids"))

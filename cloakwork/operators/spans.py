@@ -16,7 +16,6 @@ from cloakwork.functions.text import let
 
 MARK = "\u0001"
 _STAND_IN = "\u0002"
-_BLOCK = 256          # matches whose running offsets are folded together
 _SMALL_SPLICE = 64    # spans up to which cutting by position beats cutting a character array
 
 
@@ -30,51 +29,47 @@ def cut(text: Column, pattern: Column | str, replacement: str = f"{MARK}$1{MARK}
     return F.split(F.regexp_replace(text, pattern, F.lit(replacement)), MARK, -1)
 
 
-def pieces_to_spans(pieces: Column) -> Column:
-    """array<struct<start,end,value>> of the odd pieces.
+def running(values: Column, op, body) -> Column:
+    """Bind a running fold of an integer array: ``body(at)`` where ``at(i)`` folds the first ``i`` values.
 
-    Running offsets are folded in blocks, so the work stays near linear in the number of
-    matches however many one text has.
+    Sums of blocks of 16 and of 256 are kept beside the values, so one look-up folds a few short
+    slices.  (A fold that grows an array instead would copy that array at each step.)
     """
-    span = "struct<start:int,end:int,value:string>"
+    def fold(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), op)
 
-    def fold_block(p: Column, first: Column) -> Column:
-        last = F.least(first + 2 * _BLOCK - 2, F.size(p) - 2)
-        return F.aggregate(
-            F.sequence(first, last, F.lit(2)),
-            F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{span}>").alias("out")),
-            lambda acc, i: let(
-                acc.pos + F.length(F.get(p, i - 1)),
-                lambda s: F.struct(
-                    (s + F.length(F.get(p, i))).alias("pos"),
-                    F.concat(
-                        acc.out,
-                        F.array(F.struct(
-                            s.alias("start"), (s + F.length(F.get(p, i))).alias("end"), F.get(p, i).alias("value")
-                        )),
-                    ).alias("out"),
-                ),
-            ),
-        )
+    def blocks(x: Column) -> Column:
+        return F.when(F.size(x) > 0, F.transform(
+            F.sequence(F.lit(0), ((F.size(x) - 1) / 16).cast("int")), lambda k: fold(F.slice(x, k * 16 + 1, 16))
+        )).otherwise(F.array().cast("array<int>"))
+
+    def level(x: Column) -> Column:
+        return let(x, lambda v: let(blocks(v), lambda one: let(blocks(one), lambda two: bound(v, one, two))))
+
+    def bound(v: Column, one: Column, two: Column) -> Column:
+        def at(i: Column) -> Column:
+            low, mid, high = F.shiftright(i, 4), F.shiftright(i, 8), i
+            return op(op(
+                fold(F.slice(two, F.lit(1), mid)),
+                fold(F.slice(one, mid * 16 + 1, low - mid * 16))),
+                fold(F.slice(v, low * 16 + 1, high - low * 16)))
+        return body(at)
+
+    return level(values)
+
+
+def pieces_to_spans(pieces: Column) -> Column:
+    """array<struct<start,end,value>> of the odd pieces."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def whole(p: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2 * _BLOCK)), lambda i: fold_block(p, i))
-        return F.aggregate(
-            blocks,
-            F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{span}>>").alias("out")),
-            lambda acc, b: F.struct(
-                (acc.pos + b.pos).alias("pos"),
-                F.concat(
-                    acc.out,
-                    F.array(F.transform(b.out, lambda x: F.struct(
-                        (x.start + acc.pos).alias("start"), (x.end + acc.pos).alias("end"), x.value.alias("value")
-                    ))),
-                ).alias("out"),
-            ),
-            lambda acc: F.flatten(acc.out),
-        )
+        return running(F.transform(p, lambda x: F.length(x)), lambda a, w: a + w, lambda at: F.transform(
+            F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)),
+            lambda i: let(at(i), lambda s: F.struct(
+                s.alias("start"), (s + F.length(F.get(p, i))).alias("end"), F.get(p, i).alias("value"))),
+        ))
 
-    return let(pieces, lambda p: F.when(F.size(p) > 1, whole(p)).otherwise(F.array().cast(f"array<{span}>")))
+    return let(pieces, lambda p: F.when(F.size(p) > 1, whole(p)).otherwise(none))
 
 
 def scan(text: Column, pattern: Column | str, replacement: str = f"{MARK}$1{MARK}") -> Column:
@@ -177,45 +172,19 @@ def _trimmed(surface: Column, start: Column) -> Column:
 
 
 def islands(claims: Column) -> Column:
-    """Split claims (sorted by start) into runs that touch no claim outside the run.
-
-    The fold keeps finished islands in short batches, so it stays near linear in their number.
-    """
-    ordered = F.array_sort(claims, lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1)
-                           .when(a.end < b.end, -1).when(a.end > b.end, 1).otherwise(0))
-
-    def fold(c: Column) -> Column:
-        pair = "array<struct<a:int,b:int>>"
-        zero = F.struct(
-            F.lit(0).alias("first"), F.lit(-1).alias("reach"), F.array().cast(pair).alias("batch"),
-            F.array().cast(f"array<{pair}>").alias("out"),
-        )
-
-        def step(acc: Column, i: Column) -> Column:
-            x = F.get(c, i)
-            done = F.array(F.struct(acc.first.alias("a"), i.alias("b")))
-            full = F.size(acc.batch) >= _BLOCK
-            opens = (i > 0) & (x.start >= acc.reach)
-            return F.when(
-                opens,
-                F.struct(
-                    i.alias("first"), x.end.alias("reach"),
-                    F.when(full, done).otherwise(F.concat(acc.batch, done)).alias("batch"),
-                    F.when(full, F.concat(acc.out, F.array(acc.batch))).otherwise(acc.out).alias("out"),
-                ),
-            ).otherwise(F.struct(
-                acc.first.alias("first"), F.greatest(acc.reach, x.end).alias("reach"),
-                acc.batch.alias("batch"), acc.out.alias("out"),
-            ))
-
-        bounds = F.aggregate(
-            F.sequence(F.lit(0), F.size(c) - 1), zero, step,
-            lambda acc: F.concat(F.flatten(acc.out), acc.batch,
-                                 F.array(F.struct(acc.first.alias("a"), F.size(c).alias("b")))),
-        )
-        return F.transform(bounds, lambda r: F.slice(c, r.a + 1, r.b - r.a))
+    """Split claims into runs, in order of start, that touch no claim outside the run."""
+    ordered = F.transform(
+        F.sort_array(F.transform(claims, lambda x: F.struct(x.start.alias("s"), x.end.alias("e"), x.alias("x")))),
+        lambda k: k.x)
+
+    def split(c: Column) -> Column:
+        return running(F.transform(c, lambda x: x.end), lambda a, e: F.greatest(a, e), lambda reach: let(
+            F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i).start >= reach(i))),
+            lambda first: F.transform(first, lambda a, n: F.slice(
+                c, a + 1, F.coalesce(F.get(first, n + 1), F.size(c)) - a)),
+        ))
 
-    return let(ordered, fold)
+    return let(ordered, split)
 
 
 def _resolve_island(c: Column) -> Column:
@@ -255,7 +224,7 @@ def _resolve_island(c: Column) -> Column:
             ))
         return let(owner, build)
 
-    bounds = F.array_sort(F.array_distinct(F.concat(
+    bounds = F.sort_array(F.array_distinct(F.concat(
         F.transform(c, lambda x: x.start), F.transform(c, lambda x: x.end))))
     return let(bounds, lambda b: let(
         F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: owner_at(F.get(b, k), F.get(b, k + 1))),
@@ -284,7 +253,7 @@ def resolve_array(claims: Column) -> Column:
 
     many = F.flatten(F.transform(
         islands(F.array_distinct(claims)),
-        lambda isle: F.when(F.size(isle) == 1, plain(isle)).otherwise(let(F.array_sort(isle), _resolve_island)),
+        lambda isle: F.when(F.size(isle) == 1, plain(isle)).otherwise(let(F.sort_array(isle), _resolve_island)),
     ))
     return F.when(F.size(claims) <= 1, plain(claims)).otherwise(F.filter(many, lambda r: r.end > r.start))
 
@@ -371,23 +340,29 @@ def resolve_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------------- W2
 def longest_first(spans: Column) -> Column:
-    """Longest values first, then left to right; a span touching a chosen one is dropped whole."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        (-F.length(s.pattern_value)).alias("neg"), s.pattern_value.alias("pv"), s.start.alias("start"), s.alias("span"))))
-    chosen = F.aggregate(
-        ordered,
-        F.filter(spans, lambda s: F.lit(False)),
-        lambda acc, o: F.when(
-            F.exists(acc, lambda x: overlaps(x.start, x.end, o.span.start, o.span.end)), acc
-        ).otherwise(F.concat(acc, F.array(o.span))),
-    )
-    return F.array_sort(chosen, lambda a, b: a.start - b.start)
+    """Longest values first, then left to right; a span touching a chosen one is dropped whole.
+
+    The choice is made inside each island of touching spans; islands do not influence each other.
+    """
+    def choose(isle: Column) -> Column:
+        ordered = F.sort_array(F.transform(isle, lambda s: F.struct(
+            (-F.length(s.pattern_value)).alias("neg"), s.pattern_value.alias("pv"), s.start.alias("start"), s.alias("span"))))
+        return F.aggregate(
+            ordered,
+            F.filter(isle, lambda s: F.lit(False)),
+            lambda acc, o: F.when(
+                F.exists(acc, lambda x: overlaps(x.start, x.end, o.span.start, o.span.end)), acc
+            ).otherwise(F.concat(acc, F.array(o.span))),
+        )
+
+    many = F.flatten(F.transform(islands(spans), lambda isle: F.when(F.size(isle) == 1, isle).otherwise(choose(isle))))
+    return F.when(F.size(spans) <= 1, spans).otherwise(F.sort_array(many))
 
 
 # ----------------------------------------------------------------------- W3
 def splice(text: Column, spans: Column, token) -> Column:
     """Replace non-overlapping spans (``array<struct<start,end,…>>``) by ``token(span)``."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
         s.start.alias("start"), s.end.alias("end"), token(s).alias("token"))))
 
     def by_position(o: Column) -> Column:
@@ -416,7 +391,7 @@ def splice(text: Column, spans: Column, token) -> Column:
 
 def anchors_hold(text: Column, spans: Column) -> Column:
     """Every span re-anchors to its value and no two overlap (the splice precondition)."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start, s.end, s.value)))
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s.start, s.end, s.value)))
     return let(ordered, lambda o: ~F.exists(
         F.transform(o, lambda s, i: F.struct(
             s.alias("s"), F.when(i == 0, F.lit(0)).otherwise(F.get(o, i - 1)["end"]).alias("prev"))),

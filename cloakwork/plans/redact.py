@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.functions.text import (
-    JSON_LITERAL, decode_query, encode_query, json_escape, json_unescape, let, mask_json_strings,
+    JSON_LITERAL, decode_query, encode_query, json_escape, json_unescape, let, mask_json_strings, pin,
 )
 from cloakwork.operators.detect import Rule, detect, findings, first_values
 from cloakwork.operators.match import Dictionary, expand
@@ -100,7 +100,7 @@ class Redactor:
             return df.withColumn(out, F.array().cast(
                 "array<struct<rule:string,start:int,end:int,value:string,kind:string,confidence:string,"
                 "source:string,score:double>>"))
-        return df.withColumn(out, findings(F.col(text_col), self.rules, self.surrogates.prefix))
+        return df.withColumn(out, pin(findings(F.col(text_col), self.rules, self.surrogates.prefix)))
 
     def token(self, value: Column, info: Column, context: Column | None) -> Column:
         literal = self.surrogates.mint(value, info["name"], info.kind)
@@ -121,14 +121,14 @@ class Redactor:
         """
         text = F.col(text_col)
         out = self.with_findings(self.with_candidates(df, keys, text_col, "_registry"), text_col, "_found")
-        out = out.withColumn("_detected", detected_forms(F.col("_found")))
+        out = out.withColumn("_detected", pin(detected_forms(F.col("_found"))))
         extra = F.col(extra_forms).cast(f"array<{_FORM}>") if extra_forms else F.array().cast(f"array<{_FORM}>")
         out = out.withColumn("_forms", F.concat("_registry", extra, "_detected"))
         located = F.transform("_found", lambda f: F.struct(
             f.start.alias("start"), f.end.alias("end"), f.value.alias("value"),
             F.get(F.filter("_detected", lambda d: d.value == f.value), F.lit(0)).alias("form")))
-        out = out.withColumn("_claims", claims_of(
-            text, F.col("_forms"), located, self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths))
+        out = out.withColumn("_claims", pin(claims_of(
+            text, F.col("_forms"), located, self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths)))
         over = (F.size("_forms") > self.max_entities) | (F.size("_claims") > self.max_occurrences)
         out = out.withColumn("over_limit", over)
         context = F.col(context_col).cast("string") if context_col else None
@@ -143,9 +143,9 @@ class Redactor:
                 r.info.boundary.alias("boundary"), r.info.protection_kind.alias("protection_kind"),
             ),
         )
-        out = out.withColumn("spans", spans)
-        out = out.withColumn("redacted", F.when(
-            ~F.col("over_limit"), splice(text, F.col("spans"), lambda s: s.token)))
+        out = out.withColumn("spans", pin(spans))
+        out = out.withColumn("redacted", pin(F.when(
+            ~F.col("over_limit"), splice(text, F.col("spans"), lambda s: s.token))))
         surfaces = F.transform(
             F.filter("spans", lambda s: ~s.clipped),
             lambda s: F.struct(s.value.alias("value"), (s.boundary == "token").alias("token_bound")))
@@ -161,8 +161,16 @@ class Redactor:
         Registry forms are matched again, independently of what the resolver chose; text inside
         surrogate tokens never counts.  For JSON bodies numbers are checked as whole tokens.
         """
-        text = F.col(redacted_col)
-        out = self.with_candidates(df, keys, redacted_col, "_again")
+        out = df
+        if json_body:
+            # the decoded strings, kept apart by an empty line that no match can bridge
+            body = F.col(redacted_col)
+            strings = F.array_join(F.transform(
+                scan(mark_safe(body), f"({JSON_LITERAL})"), lambda s: json_unescape(s.value)), "\n\n")
+            out = out.withColumn("_strings", pin(F.when(F.try_parse_json(body).isNotNull(), strings).otherwise(body)))
+        seen = "_strings" if json_body else redacted_col
+        text = F.col(seen)
+        out = self.with_candidates(out, keys, seen, "_again")
         known = F.transform(F.coalesce(F.col(known_col), F.array().cast(
             "array<struct<value:string,token_bound:boolean>>")), lambda k: F.struct(
                 k.value.alias("value"), F.sha2(k.value, 256).alias("entity_id"),
@@ -174,13 +182,15 @@ class Redactor:
         left = claims_of(text, F.concat(known, F.col("_again")),
                          F.array().cast(f"array<struct<start:int,end:int,value:string,form:{_FORM}>>"),
                          self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths)
-        out = out.withColumn("leaks", F.array_sort(F.array_distinct(F.transform(left, lambda c: c.info.value))))
+        out = out.withColumn("leaks", pin(F.sort_array(F.array_distinct(F.transform(left, lambda c: c.info.value)))))
         if json_body:
-            masked = mask_json_strings(text)
+            masked = mask_json_strings(F.col(redacted_col))
             numbers = F.array_distinct(F.regexp_extract_all(masked, F.lit(r"([A-Za-z0-9_.+-]+)"), F.lit(1)))
             values = F.transform(F.concat(known, F.col("_again")), lambda f: f.value)
-            out = out.withColumn("leaks", F.array_distinct(F.concat("leaks", F.array_intersect(values, numbers))))
-        return out.drop("_again")
+            numbers = F.when(F.try_parse_json(F.col(redacted_col)).isNotNull(), numbers).otherwise(
+                F.array().cast("array<string>"))
+            out = out.withColumn("leaks", pin(F.array_distinct(F.concat("leaks", F.array_intersect(values, numbers)))))
+        return out.drop("_again", "_strings")
 
     # -------------------------------------------------------------- text surface
     def redact_text(self, df: DataFrame, keys: Sequence[str], text_col: str,
@@ -193,7 +203,7 @@ class Redactor:
         text = F.col(text_col)
         out = self.with_findings(self.with_candidates(df, keys, text_col, "_registry"), text_col, "_found")
         forms = F.concat("_registry", detected_forms(F.col("_found")))
-        out = out.withColumn("_forms", forms)
+        out = out.withColumn("_forms", pin(forms))
         # only the exact letter case counts on this surface
         exact = F.filter(
             claims_of(text, F.col("_forms"),
@@ -205,7 +215,7 @@ class Redactor:
             c.start.alias("start"), c.end.alias("end"), c.value.alias("value"),
             c.info.value.alias("pattern_value"), c.info["name"].alias("name"), c.info.kind.alias("kind"),
             c.info.authority.alias("authority"))))
-        out = out.withColumn("hits", picked)
+        out = out.withColumn("hits", pin(picked))
         return out.withColumn("redacted", splice(
             text, F.col("hits"), lambda s: self.surrogates.mint(s.pattern_value, s["name"], s.kind),
         )).drop("_registry", "_found", "_forms")
@@ -271,9 +281,9 @@ def body_literals(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFram
     literals = scan(mark_safe(body), f"({JSON_LITERAL})")
     valid = F.try_parse_json(body).isNotNull()
     raw = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end"), body.alias("value")))
-    leaves = df.withColumn("_json", valid).select(
-        *[c for c in df.columns if c != body_col], "_json", body_col,
-        F.posexplode(F.when(F.col("_json"), literals).otherwise(raw)).alias("leaf", "_l"))
+    leaves = df.withColumn("_json", pin(valid)).withColumn(
+        "_lits", pin(F.when(F.col("_json"), literals).otherwise(raw))
+    ).select(*[c for c in df.columns if c != body_col], "_json", body_col, F.posexplode("_lits").alias("leaf", "_l"))
     follows = F.substring(F.col(body_col), F.col("_l.end") + 1, F.length(body_col)).rlike(r"^[ \t\r\n]*:")
     return leaves.select(
         *[c for c in df.columns if c != body_col], "leaf",
@@ -378,7 +388,7 @@ def redact_query_strings(df: DataFrame, keys: Sequence[str], url_col: str, redac
     done = redactor.redact_text(decoded, [*keys, "seg", "part"], "decoded")
     wire = F.when(F.size("hits") > 0, encode_query(F.col("redacted"))).otherwise(F.col("wire"))
     rebuilt = done.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("seg", "part", wire.alias("wire")))).alias("c"),
+        F.sort_array(F.collect_list(F.struct("seg", "part", wire.alias("wire")))).alias("c"),
         F.sum(F.size("hits")).alias("redacted_values"),
     )
     joined = F.aggregate("c", F.lit(""), lambda acc, p: F.concat(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from cloakwork.functions.surrogates import Surrogates
-from cloakwork.functions.text import JSON_LITERAL, json_escape, json_unescape, let
+from cloakwork.functions.text import JSON_LITERAL, json_escape, json_unescape, let, pin
 from cloakwork.operators.spans import mark_safe, overlaps, scan, splice
 
 MARK_START, MARK_META, MARK_ORIGIN, MARK_END = "\u001eS\u001e", "\u001eM\u001e", "\u001eO\u001e", "\u001eE\u001e"
@@ -43,8 +43,9 @@ def attach_values(df: DataFrame, keys: Sequence[str], text_col: str, dictionary:
     keys, scope = list(keys), list(scope)
     has = F.col(text_col).contains(surrogates.prefix)
     pattern = F.lit(f"({surrogates.pattern})")
-    tokens = df.filter(has).select(*dict.fromkeys([*keys, *scope]), F.explode(
-        F.array_distinct(F.regexp_extract_all(F.col(text_col), pattern, F.lit(1)))).alias("token"))
+    own = list(dict.fromkeys([*keys, *scope]))
+    tokens = df.filter(has).select(*own, pin(F.array_distinct(F.regexp_extract_all(
+        F.col(text_col), pattern, F.lit(1)))).alias("_ts")).select(*own, F.explode("_ts").alias("token"))
     found = tokens.join(resolve_layers(dictionary, scope), [*scope, "token"])
     maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
         F.col("token"), F.struct("value", "layer")))).alias(out))
@@ -95,7 +96,7 @@ def restore_text(df: DataFrame, keys: Sequence[str], text_col: str, dictionary:
                  surrogates: Surrogates, markers: bool = False) -> DataFrame:
     """Add ``restored``; exact tokens only, unknown ones stay."""
     out = attach_values(df, keys, text_col, dictionary, scope, surrogates)
-    return out.withColumn("restored", restore_column(F.col(text_col), F.col("mapping"), surrogates, markers=markers))
+    return out.withColumn("restored", pin(restore_column(F.col(text_col), F.col("mapping"), surrogates, markers=markers)))
 
 
 # ----------------------------------------------------------------------- R9
@@ -140,15 +141,15 @@ def restore_json(df: DataFrame, keys: Sequence[str], body_col: str, wire_col: st
         raise ValueError(f"unknown policy {policy}")
     body = F.col(body_col)
     out = attach_values(df, keys, body_col, dictionary, scope, surrogates)
-    out = out.withColumn("_regions", F.when(F.col("mapping").isNotNull(), F.filter(
-        tool_regions(body, F.col(wire_col)), lambda r: r.contains(surrogates.prefix))))
+    out = out.withColumn("_regions", pin(F.when(F.col("mapping").isNotNull(), F.filter(
+        tool_regions(body, F.col(wire_col)), lambda r: r.contains(surrogates.prefix)))))
     token = F.lit(f"({surrogates.pattern})")
     in_tools = F.array_distinct(F.flatten(F.transform("_regions", lambda r: F.regexp_extract_all(r, token, F.lit(1)))))
     keep = (lambda t: F.lit(False)) if policy == "all" else (
         (lambda t: F.lit(True)) if policy == "none" else
         (lambda t: F.try_element_at(F.col("mapping"), t).layer != "detected"))
     skip = F.filter(in_tools, lambda t: F.try_element_at(F.col("mapping"), t).isNotNull() & keep(t))
-    out = out.withColumn("_skip", F.coalesce(skip, F.array().cast("array<string>")))
+    out = out.withColumn("_skip", pin(F.coalesce(skip, F.array().cast("array<string>"))))
     # literals whose decoded content is a tool-argument text are JSON inside JSON
     nested = F.transform(
         F.filter(scan(mark_safe(body), f"({JSON_LITERAL})"), lambda lit: lit.value.contains(surrogates.prefix)
@@ -156,11 +157,11 @@ def restore_json(df: DataFrame, keys: Sequence[str], body_col: str, wire_col: st
         lambda lit: F.struct(lit.start.alias("start"), lit.end.alias("end")))
     valid = F.try_parse_json(body).isNotNull()
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = out.withColumn("_nested", F.when((F.size("_regions") > 0) & valid, nested).otherwise(none))
+    out = out.withColumn("_nested", pin(F.when((F.size("_regions") > 0) & valid, nested).otherwise(none)))
     restored = F.when(
         valid, restore_column(body, F.col("mapping"), surrogates, True, F.col("_skip"), F.col("_nested"), markers)
     ).otherwise(restore_column(body, F.col("mapping"), surrogates, markers=markers))
-    out = out.withColumn("restored", restored)
+    out = out.withColumn("restored", pin(restored))
     value_of = lambda t: F.try_element_at(F.col("mapping"), t).value
     out = out.withColumn("withheld", F.array_distinct(F.transform("_skip", value_of)))
     into = F.filter(in_tools, lambda t: F.try_element_at(F.col("mapping"), t).isNotNull()

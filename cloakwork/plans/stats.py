@@ -136,7 +136,7 @@ def egress_proofs(surfaces: DataFrame, scope: str = "scope", event: str = "event
         F.transform("surviving_hits", lambda h: F.struct(h.alias("h"), F.lit(0).alias("red")))))
     labels = surfaces.select(*keys, both.alias("x")).groupBy(*keys, "x.h").agg(
         F.sum("x.red").alias("redacted_values"), F.sum(1 - F.col("x.red")).alias("surviving_values"))
-    grouped = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+    grouped = labels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "h.name", "h.source", "h.plugin", "h.kind", "h.confidence", "redacted_values", "surviving_values"))).alias("labels"))
     return base.join(grouped, keys, "left")
 

@@ -327,4 +327,6 @@ MARKDOWN_REMOVE = (
     r"\\(?=[\\`*_{}\[\]()#+\-.!|~>])|[*~`]+"
     r"|(?<=(?:^|\n)[ \t]{0,64})(?:#{1,6}|[-+]|[0-9]{1,18}\.)(?=[ \t])"
 )
-FACT_NEGATION = rf"\b(?:not|no|never|no longer)[{WS}]+$"
+# A fact stands alone and is not negated (white space is folded before matching).
+FACT_BEFORE = r"(?<![\p{L}\p{N}])(?<!(?:^|[^A-Za-z0-9_])(?:not|no|never|no longer) )"
+FACT_AFTER = r"(?![\p{L}\p{N}])"

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
-from cloakwork.functions.fixed import java
-from cloakwork.functions.text import fold_ws, let
+from cloakwork.functions.text import escape_regex, fold_ws
 from cloakwork.operators.spans import span_overlap_join
 
 KEEP_MARGIN = 0.02
@@ -62,19 +61,8 @@ def keep_new(quality: DataFrame, old: str, new: str, label: str = "detector") ->
 def fact_matches(answer: Column, expected: Column) -> Column:
     """The expected fact stands on its own in the answer and is not negated."""
     norm = lambda c: F.lower(fold_ws(F.coalesce(c, F.lit(""))))
-
-    def found(p: Column) -> Column:
-        # look-behind of the piece before each occurrence, walking all occurrences
-        pieces = F.split(p.a, F.concat(F.lit(r"\Q"), p.e, F.lit(r"\E")), -1)
-        alone = F.exists(
-            F.transform(pieces, lambda x, i: F.struct(
-                F.array_join(F.slice(pieces, 1, i + 1), p.e).alias("before"), F.get(pieces, i + 1).alias("after"))),
-            lambda o: o.after.isNotNull()
-            & ~o.before.rlike(r"[\p{L}\p{N}]$") & ~o.after.rlike(r"^[\p{L}\p{N}]")
-            & ~o.before.rlike(java(fixed.FACT_NEGATION)))
-        return F.when((p.a == "") | (p.e == ""), False).otherwise(alone)
-
-    return let(F.struct(norm(answer).alias("a"), norm(expected).alias("e")), found)
+    pattern = F.concat(F.lit(fixed.FACT_BEFORE), escape_regex(norm(expected)), F.lit(fixed.FACT_AFTER))
+    return (norm(answer) != "") & (norm(expected) != "") & F.regexp_like(norm(answer), pattern)
 
 
 def surrogate_fidelity(responses: DataFrame, keys: Sequence[str], token_pattern: str) -> DataFrame:

@@ -155,7 +155,7 @@ def record_fragments(records: DataFrame, wire: Column) -> DataFrame:
 def joined_fragments(fragments: DataFrame) -> DataFrame:
     """Batch twin of the stateful regrouping: the full text of each fragment key."""
     return fragments.groupBy("stream_id", "fragment", "kind").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"))
+        F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text")).filter("text <> ''")
 
 
 def restore_fragments(pieces: DataFrame, mapping: DataFrame, surrogates: Surrogates, policy: str,

@@ -12,12 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakwork.functions import fixed
+from cloakwork.session import spread
 
 Run = Callable[["Tables"], DataFrame]
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
+TEXTS = {"documents", "pages", "conversations", "events"}
 KEY = "benchmark-key"
 
 
@@ -30,7 +32,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXTS else table
 
     def sql(self, text: str) -> DataFrame:
         """Run shared SQL; table names in braces are the given tables."""

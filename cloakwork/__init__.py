@@ -1,5 +1,5 @@
 """Sensitive-data protection as Spark DataFrame, SQL and Structured Streaming jobs."""
 
-from cloakwork.session import checkpoint, configure, get_session
+from cloakwork.session import checkpoint, configure, get_session, spread
 
-__all__ = ["checkpoint", "configure", "get_session"]
+__all__ = ["checkpoint", "configure", "get_session", "spread"]

@@ -79,13 +79,16 @@ def is_jwt(col: Column) -> Column:
 
 _PLAIN_SHAPES = "|".join(f"(?:{p})" for name, p, _, _ in fixed.KEY_SHAPES if name not in ("private-key", "jwt"))
 _AWS_SECRET = "".join(fixed.AWS_SECRET[:2])
+# literals of which one occurs in every plain shape
+_SHAPE_HINT = "|".join(
+    f"\\Q{a}\\E" for name, _, _, anchors in fixed.KEY_SHAPES if name not in ("private-key", "jwt") for a in anchors)
 
 
 def holds_known_shape(col: Column) -> Column:
     """A key shape (other than a PEM block) occurs in the value and passes its own gate."""
     return (
-        col.rlike(java(_PLAIN_SHAPES))
-        | col.rlike(java(_AWS_SECRET, True))
+        (col.rlike(_SHAPE_HINT) & col.rlike(java(_PLAIN_SHAPES)))
+        | (col.rlike("(?i)secret") & col.rlike(java(_AWS_SECRET, True)))
         | F.exists(F.regexp_extract_all(col, F.lit(java(fixed.JWT)), F.lit(1)), is_jwt)
         | F.exists(F.regexp_extract_all(col, F.lit(java(fixed.CREDENTIAL_URL, True)), F.lit(1)), is_literal_credential_url)
     )
@@ -114,8 +117,7 @@ def likely_secret(col: Column) -> Column:
             (F.length(v) < fixed.MIN_SECRET_LEN) | (F.length(v) > fixed.MAX_SECRET_LEN) | is_placeholder(v), False
         )
         .when(credential_url_password(v) != "", is_literal_credential_url(v))
-        .when(holds_known_shape(v), True)
-        .otherwise(_generic_secret(v)),
+        .otherwise(_generic_secret(v) | holds_known_shape(v)),
     )
 
 

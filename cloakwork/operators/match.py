@@ -136,6 +136,11 @@ def anchored(forms: DataFrame) -> DataFrame:
         best, "_form").select(*cols, "cls", F.col("_best._key").alias("anchor"))
 
 
+def may_occur(folded: Column, value: Column) -> Column:
+    """Cheap literal test of a folded text before the regex of a form without white space."""
+    return value.rlike(f"[{fixed.WS}]") | folded.contains(key_fold(value))
+
+
 def expand(text: Column, forms: Column) -> Column:
     """Occurrences of candidate forms in one text.
 
@@ -168,7 +173,8 @@ def expand(text: Column, forms: Column) -> Column:
             ),
         )
 
-    return let(mark_safe(text), lambda safe: F.flatten(F.transform(forms, lambda f: of_form(safe, f))))
+    return let(F.struct(mark_safe(text).alias("safe"), key_fold(text).alias("folded")), lambda b: F.flatten(F.transform(
+        F.filter(forms, lambda f: may_occur(b.folded, f.value)), lambda f: of_form(b.safe, f))))
 
 
 class Dictionary:

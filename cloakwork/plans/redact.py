@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.functions.text import (
-    JSON_LITERAL, decode_query, encode_query, json_escape, json_unescape, let, mask_json_strings, pin,
+    JSON_LITERAL, decode_query, encode_query, json_escape, json_unescape, key_fold, let, mask_json_strings, pin,
 )
 from cloakwork.operators.detect import Rule, detect, findings, first_values
-from cloakwork.operators.match import Dictionary, expand
+from cloakwork.operators.match import Dictionary, expand, may_occur
 from cloakwork.operators.paths import PATH_HINT, preserved
 from cloakwork.operators.spans import (
     longest_first, mark_safe, overlaps, priority, resolve_array, scan, splice,
@@ -231,7 +231,7 @@ class Redactor:
         keys = list(keys)
         leaves = body_literals(df.select(*keys, *([context_col] if context_col and context_col not in keys else []),
                                          body_col), keys, body_col)
-        redactor = self
+        none = F.array().cast(f"array<{_FORM}>")
         if self.rules:
             found = detect(leaves, keys, "text", self.rules, self.surrogates.prefix)
             best = found.groupBy(*keys, "value").agg(
@@ -242,14 +242,19 @@ class Redactor:
                 F.col("value").alias("canonical"), F.lit("substring").alias("boundary"),
                 F.col("m.rule").alias("name"), F.col("m.source").alias("source"), F.col("m.kind").alias("kind"),
                 F.col("m.confidence").alias("confidence"), F.lit("detected").alias("authority"),
-            )).alias("_body_forms"))
+            )).alias("_body"))
             leaves = leaves.join(per_body, keys, "left")
-            leaves = leaves.withColumn("_body_forms", F.coalesce(
-                "_body_forms", F.array().cast(f"array<{_FORM}>")))
-            redactor = Redactor(self.surrogates, (), None, self.preserve_paths, self.max_entities,
-                                self.max_occurrences, self.dictionary)
-        done = redactor.redact(leaves, [*keys, "leaf"], "text", context_col,
-                               "_body_forms" if self.rules else None)
+        else:
+            leaves = leaves.withColumn("_body", none)
+        # only leaves that can hold a form of their body or of the registry go on
+        leaves = self.with_candidates(leaves, [*keys, "leaf"], "text", "_reg")
+        own = let(key_fold(F.col("text")), lambda folded: F.filter(
+            F.coalesce("_body", none), lambda f: may_occur(folded, f.value)))
+        leaves = leaves.withColumn("_forms_here", pin(F.concat(own, "_reg"))).withColumn(
+            "_entities", F.coalesce(F.size("_body"), F.lit(0))).drop("_body", "_reg")
+        leaves = leaves.filter(F.size("_forms_here") > 0)
+        plain = Redactor(self.surrogates, (), None, self.preserve_paths, self.max_entities, self.max_occurrences)
+        done = plain.redact(leaves, [*keys, "leaf"], "text", context_col, "_forms_here")
         changed = done.filter((F.size("spans") > 0) | F.col("over_limit"))
         edits = changed.groupBy(*keys).agg(
             F.collect_list(F.struct(
@@ -259,7 +264,7 @@ class Redactor:
             )).alias("_edits"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"),
-            F.bool_or("over_limit").alias("over_limit"),
+            F.bool_or(F.col("over_limit") | (F.col("_entities") > self.max_entities)).alias("over_limit"),
             F.sum(F.size("spans")).alias("_n"),
         )
         out = df.join(edits, keys, "left")

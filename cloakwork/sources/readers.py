@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from cloakwork.functions import fixed
@@ -120,7 +119,7 @@ def load_secret_dumps(df: DataFrame, order: Sequence[str], json_col: str = "dump
 
 
 # --------------------------------------------------------------- S4 managed registry
-MANAGED_SCHEMA = T.StructType.fromDDL(
+MANAGED_SCHEMA = (
     "schema string, revision string, generatedBy string, generatedAt string, entries array<struct<"
     "id:string,protectionKind:string,entityType:string,canonicalValue:string,value:string,"
     "semanticType:string,forms:array<struct<value:string,kind:string,boundary:string>>>>"

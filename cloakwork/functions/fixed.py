@@ -228,7 +228,8 @@ LINK_LEGAL_DESIGNATORS = [
     "sas", "spa", "srl",
 ]
 WORD = r"\p{L}[\p{L}\p{N}_'’.-]*"
-LETTER_SPACED = r"((?:\p{L}[ \t]+){3,}\p{L}(?:[ \t]+\p{L})*)"
+# A letter and at least three more behind blanks; possessive, so long lines need no stack.
+LETTER_SPACED = r"(\p{L}(?:[ \t]++\p{L}){3,}+)"
 COMPANY_REG = (
     rf"\b(?:company[{WS}]+)?reg(?:istration)?(?:[{WS}]+(?:number|no\.?))[{WS}]*[:#-]?[{WS}]*"
     rf"(?:[A-Z][A-Za-z]{{2,20}}[{WS}]+)?",

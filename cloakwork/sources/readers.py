@@ -20,6 +20,13 @@ _QUOTED = r'"((?:[^"\\]|\\(?s:.))*+)("|\z)[^\n]*' + r"|'((?:[^'\\]|\\(?s:.))*+)(
 ENV_ENTRY = rf"(?m)^[ \t]*(?:{_NAME}(?:{_QUOTED}|([^\n]*))|[^\n]*)$"
 
 
+# A bare value up to its comment: a hash at the start or behind white space, outside quotes.
+# All loops are possessive, so no value length can exhaust the stack.
+_BARE = (
+    rf"""^((?:[^"'#\\]++|\\.|\\|(?<=[^{fixed.WS}])\#|"(?:[^"\\]|\\.)*+(?:"|$)|'(?:[^'\\]|\\.)*+(?:'|$))*+)(?:\#.*)?$"""
+)
+
+
 def parse_dotenv(text: Column) -> Column:
     """``array<struct<name,value>>`` of one env file."""
     plain = F.regexp_replace(text, "\r\n", "\n")
@@ -35,9 +42,7 @@ def parse_dotenv(text: Column) -> Column:
         for code, char in (("n", "\n"), ("r", "\r"), ("t", "\t")):
             unescaped = F.regexp_replace(unescaped, rf"(?<!{MARK})\\{code}", char)
         unescaped = F.regexp_replace(unescaped, MARK, "")
-        bare = trim_ws(F.regexp_replace(
-            rest, r"""^((?:[^"'#]|(?<=[^ \t])\#|"(?:[^"\\]|\\.)*(?:"|$)|'(?:[^'\\]|\\.)*(?:'|$))*?)(?:^\#|(?<=[ \t])\#).*$""",
-            "$1"))
+        bare = trim_ws(F.regexp_replace(rest, _BARE, "$1"))
         return F.struct(name.alias("name"), F.when(rest.startswith('"'), unescaped).when(
             rest.startswith("'"), single).otherwise(bare).alias("value"))
 

@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 Merges run on a hierarchical-bitmap rank queue: a bucket per merge rank holds positions of a linked
-list of parts, a two-level bitmap finds the lowest rank that has any, and entries whose pair has
-changed meanwhile are skipped.  A pre-token of n bytes costs O(n log n), so one of megabytes is no
-problem.  Spark spreads the rows; a task sees one text at a time, and keeps a bounded cache of
+list of parts, the first set bit of a two-level bitmap names the lowest rank that has any, and
+entries whose pair has changed meanwhile are skipped.  One queue serves all new pre-tokens of a
+slice of rows; a pre-token of n bytes costs O(n log n), so one of megabytes is no problem.  Spark
+spreads the rows; a task sees a slice of bounded size at a time and keeps a bounded cache of
 pre-tokens.  The rank table (its size is that of the vocabulary) is broadcast.
 
 Cases: a null text counts as empty and has no tokens; repeated rows are encoded alike; an empty
@@ -13,19 +14,27 @@ table gives an empty result; only the named columns are read, and result columns
 from __future__ import annotations
 
 import base64
-import heapq
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_ROWS = 256
+SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 32
 
 
+def slices(batches):
+    """Batches in slices of bounded rows and bytes (one row at least), so that long texts don't add up."""
+    for batch in batches:
+        step = int(max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: base64 of a token and its rank per line."""
     with open(path, "rb") as f:
@@ -33,70 +42,132 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merger:
-    """Encodes pre-tokens; its queue is empty between two of them and is used again.
+    """Merges many pre-tokens at once on one rank queue.
 
-    The queue: ``buckets`` by rank hold positions, leftmost first; bit r % 256 of ``low[r // 256]`` tells
-    that rank r has any, bit r // 256 of the upper word that this low word has.
+    All bytes lie in one linked list with a stop after each pre-token.  ``buckets[r]`` holds the
+    positions whose pair has rank r, ``words`` a bit per rank, ``upper`` a bit per word.  The lowest
+    rank of all is the lowest of each pre-token that has it, so its bucket is merged as a whole; only
+    where a merged part could form a pair of lower rank does each pre-token merge its leftmost first.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
-        self.buckets: dict[int, list[int]] = {}
-
-    def __call__(self, piece: bytes) -> tuple[int, ...]:
-        rank_of, low, buckets, upper = self.ranks.get, self.low, self.buckets, 0
-        whole = rank_of(piece)
-        if whole is not None:
-            return (whole,)
-        n = len(piece)
-        after, before, current = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)  # current: rank of the pair at a part
-        for i in range(n - 1):
-            rank = rank_of(piece[i:i + 2])
-            if rank is not None:
-                current[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-                    low[rank >> 8] |= 1 << (rank & 255)
-                    upper |= 1 << (rank >> 8)
-        while upper:
-            at = (upper & -upper).bit_length() - 1
-            word = low[at]
-            bit = word & -word
-            rank = (at << 8) + bit.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heapq.heappop(bucket)
+        most = max(ranks.values(), default=0)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 20 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.found = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.lower = np.zeros(most + 1, bool)  # ranks that may give rise to a pair of lower rank
+        for part in (self.keys >> 20, self.keys & (1 << 20) - 1):
+            self.lower[part[self.found < part]] = True
+        self.words, self.upper, self.buckets = [0] * ((most >> 6) + 1), 0, {}
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == key, self.found[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+    def _push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, part in zip(ranks[np.concatenate(([0], cuts))].tolist(), np.split(positions, cuts), strict=True):
+            bucket = self.buckets.get(rank)
+            if bucket is None:
+                self.buckets[rank] = [part]
+                self.words[rank >> 6] |= 1 << (rank & 63)
+                self.upper |= 1 << (rank >> 6)
             else:
-                i = bucket[0]
-                del buckets[rank]
-                low[at] = word ^ bit
-                if word == bit:
-                    upper ^= 1 << at
-            if current[i] != rank:
-                continue  # stale: the pair has changed since
-            gone = after[i]
+                bucket.append(part)
+
+    def _pop(self) -> tuple[int, np.ndarray]:
+        at = (self.upper & -self.upper).bit_length() - 1
+        word = self.words[at]
+        rank = (at << 6) + (word & -word).bit_length() - 1
+        self.words[at] = word = word & (word - 1)
+        if not word:
+            self.upper &= self.upper - 1
+        bucket = self.buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+    def _gives_lower(self, rank, here, ids, after, before, stop) -> np.ndarray:
+        """Which merges would make a pair of lower rank with a neighbour, merged or not."""
+        end, left = np.minimum(after[after[here]], len(ids) - 1), np.maximum(before[here], 0)
+        twins = self._ranks_of(np.array([rank]), np.array([rank]))[0]
+        out = np.full(len(here), 0 <= twins < rank)
+        for ranks, there in ((self._ranks_of(np.full(len(here), rank), ids[end]), ~stop[end]), (self._ranks_of(ids[left], np.full(len(here), rank)), ~stop[left])):
+            out |= there & (ranks >= 0) & (ranks < rank)
+        return out
+
+    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        raw = np.frombuffer(b"".join([p + b"\0" for p in pieces]), np.uint8)
+        n = len(raw)
+        if not n:
+            return []
+        stops = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        ids = self.bytes[raw]
+        ids[stops] = -1
+        after, before, current = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n + 1, -1)
+        stop = np.zeros(n + 1, bool)
+        stop[stops] = stop[n] = True
+        piece_of = None
+        start = np.flatnonzero(~stop[:-1] & ~stop[1:])
+        rank = self._ranks_of(ids[start], ids[start + 1])
+        start, rank = start[rank >= 0], rank[rank >= 0]
+        current[start] = rank
+        if len(start):
+            self._push(rank, start)
+        while self.upper:
+            rank, here = self._pop()
+            here = here[current[here] == rank]  # the others are stale: their pair has changed since
+            if len(here) > 1:
+                every = here = np.unique(here)
+                chained = np.concatenate(([False], here[1:] == after[here[:-1]]))
+                if chained.any():  # overlapping pairs, as in aaaa: every other one, from the left
+                    index = np.arange(len(here))
+                    run = index - np.maximum.accumulate(np.where(chained, 0, index))
+                    here = here[run % 2 == 0]
+                if self.lower[rank] and (sooner := self._gives_lower(rank, here, ids, after, before, stop)).any():
+                    # a pre-token merges up to the part that gives a lower pair; the others wait
+                    piece_of = np.cumsum(stop) if piece_of is None else piece_of
+                    of, held = piece_of[here], here[sooner]
+                    first = np.full(of[-1] + 1, n)
+                    np.minimum.at(first, piece_of[held], held)
+                    late = every[every > first[piece_of[every]]]
+                    here = here[here <= first[of]]
+                    if len(late):
+                        self._push(np.full(len(late), rank), late)
+            if not len(here):
+                continue
+            gone = after[here]
             end = after[gone]
-            after[i], before[end], current[gone], current[i] = end, i, -1, -1
-            left = before[i]
-            for start, stop in ((i, after[end] if end < n else 0), (left, end if left >= 0 else 0)):
-                if stop:
-                    rank = rank_of(piece[start:stop])
-                    current[start] = -1 if rank is None else rank
-                    if rank is not None:
-                        if rank in buckets:
-                            heapq.heappush(buckets[rank], start)
-                        else:
-                            buckets[rank] = [start]
-                            low[rank >> 8] |= 1 << (rank & 255)
-                            upper |= 1 << (rank >> 8)
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i:after[i]]])
+            ids[here], after[here], before[end[end < n]], current[gone], current[here] = rank, end, here[end < n], -1, -1
+            left = before[here]
+            renewed = np.concatenate((here[~stop[end]], left[(left >= 0) & ~stop[left]]))
+            if not len(renewed):
+                continue
+            ranks = self._ranks_of(ids[renewed], ids[after[renewed]])
+            current[renewed] = ranks
+            good = ranks >= 0
+            if good.any():
+                self._push(ranks[good], renewed[good])
+        alive = np.zeros(n, bool)
+        i = np.flatnonzero(np.concatenate(([True], stop[:n - 1])))
+        alive[i] = True
+        while len(i := i[~stop[i]]):
             i = after[i]
-        return tuple(out)
+            alive[i] = True
+        kept = ids[alive].tolist()
+        out, at = [], 0
+        for size in (np.add.reduceat(alive, np.concatenate(([0], stops[:-1] + 1))) - 1).tolist():
+            out.append(tuple(kept[at:at + size]))
+            at += size + 1
+        return out
 
 
 class Encoder:
@@ -105,26 +176,32 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.find, self.merge = regex.compile(pattern).findall, Merger(ranks)
+        self.find, self.merge, self.ranks = regex.compile(pattern).findall, Merger(ranks), ranks
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
-    def _new(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode())
-        if len(piece) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
-
-    def __call__(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        found = list(map(self.young.get, pieces))
-        if None in found:
-            found = [ids or self._new(p) for p, ids in zip(pieces, found, strict=True)]
-        return list(chain.from_iterable(found))
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = list(map(self.find, texts))
+        young, old, long = self.young, self.old, {}
+        new = []
+        for piece in set(chain.from_iterable(split)):
+            if piece not in young:
+                ids = old.get(piece)
+                if ids is None:
+                    raw = piece.encode()
+                    whole = self.ranks.get(raw)
+                    if whole is None:
+                        new.append((piece, raw))
+                        continue
+                    ids = (whole,)
+                young[piece] = ids
+        for (piece, _), ids in zip(new, self.merge([raw for _, raw in new]), strict=True):
+            (young if len(piece) <= CACHE_CHARS else long)[piece] = ids
+        known = {**young, **long} if long else young
+        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32) for pieces in split]
+        if len(young) >= CACHE_ENTRIES:
+            self.old, self.young = young, {}
+        return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,13 +211,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def run(batches):
         # a broadcast value lives as long as its Python worker, and so does what the encoder remembers
         encoder = table.value.get("encoder") or table.value.setdefault("encoder", Encoder(table.value["ranks"], pattern))
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(start, BATCH_ROWS)
-                ids = [encoder(x or "") for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
-                    ["doc_id", "n_tokens", "token_ids"])
+        for batch in slices(batches):
+            ids = encoder([x or "" for x in batch.column(1).to_pylist()])
+            size = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), lists], ["doc_id", "n_tokens", "token_ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>")
 
@@ -153,11 +228,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
 
     def run(batches):
         token = table.value.__getitem__
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(start, BATCH_ROWS)
-                raw = [None if x is None else b"".join(map(token, x)) for x in batch.column(names.index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names)
+        for batch in slices(batches):
+            lists = batch.column(names.index(ids_col))
+            raw = [None if x is None else b"".join(map(token, x.values.to_numpy().tolist())) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names)
 
     return encoded.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import bpe, mixing, quality_rules, url_filter
+from cloakwork.llm import bpe, mixing, quality_rules, substring_dedup, url_filter
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +16,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ----------------------------------------------------------------------------- substrings
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL1 = f"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS key, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+g AS (SELECT doc_id, key, p, array_to_string(w[p:p+12], ' ') AS g FROM (SELECT doc_id, key, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+f AS (SELECT g, min(key) AS lo FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, p + k AS i FROM (SELECT g.doc_id, g.p FROM g JOIN f USING (g) WHERE f.lo < g.key), range(13) r(k)),
+l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)"""
+
+
 # ----------------------------------------------------------------------------- URL rules
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -111,12 +130,14 @@ SQL7 = f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
   fail_bits = 0 AS kept, n_lines, fail_bits FROM ({sql_quality()})"""
 
 QUERIES: dict[str, Call] = {
+    "op1_substring_dedup": op1,
     "op2_url_filter": op2,
     "op3_byte_bpe": op3,
     "op5_source_mix": op5,
     "op7_quality_rules": op7,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": SQL1,
     "op2_url_filter": _sql2(),
     "op5_source_mix": SQL5,
     "op7_quality_rules": SQL7,

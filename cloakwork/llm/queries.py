@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import bpe, mixing, quality_rules, substring_dedup, url_filter
+from cloakwork.llm import bpe, line_dedup, mixing, quality_rules, substring_dedup, url_filter
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,16 +129,52 @@ FROM (
 SQL7 = f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
   fail_bits = 0 AS kept, n_lines, fail_bits FROM ({sql_quality()})"""
 
+# ----------------------------------------------------------------------------- lines
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def sql_lines(docs: str = "documents", edits: int = line_dedup.EDITS, shortest: int = line_dedup.SHORTEST) -> str:
+    """doc_id, n_lines, n_equal, n_near, kept_text, text ... of a documents table with distinct ids.
+
+    Only lines that share a third (a segment) can be within two edits: the rest is never compared.
+    """
+    cut = lambda k: f"substr(a.line, 1 + CAST(floor(length(a.line) * {k} / {edits + 1}) AS INTEGER), CAST(floor(length(a.line) / {edits + 1}) AS INTEGER))"
+    share = " OR ".join(f"contains(b.line, {cut(k)})" for k in range(edits + 1))
+    return f"""
+WITH l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {docs}))
+  WHERE length(x[i]) >= {shortest} AND regexp_matches(x[i], '{WORD}')),
+f AS (SELECT line, min({{'d': doc_id, 'i': i}}) AS at FROM l GROUP BY line),
+n AS (SELECT DISTINCT greatest(a.at, b.at) AS at FROM f a JOIN f b
+  ON length(b.line) BETWEEN length(a.line) AND length(a.line) + {edits} AND a.line <> b.line
+  WHERE ({share}) AND levenshtein(a.line, b.line) <= {edits}),
+g AS (SELECT l.doc_id, l.i, f.at <> {{'d': l.doc_id, 'i': l.i}} AS equal FROM l JOIN f USING (line) LEFT JOIN n ON f.at = n.at
+  WHERE f.at <> {{'d': l.doc_id, 'i': l.i}} OR n.at IS NOT NULL),
+r AS (SELECT doc_id, list(i) AS gone, count(*) FILTER (equal) AS n_equal, count(*) FILTER (NOT equal) AS n_near FROM g GROUP BY doc_id)
+SELECT d.*, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10)) AS kept_text
+FROM {docs} d LEFT JOIN r USING (doc_id)"""
+
+
+SQL9 = f"SELECT doc_id, n_lines, n_equal, n_near, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM ({sql_lines()})"
+
 QUERIES: dict[str, Call] = {
     "op1_substring_dedup": op1,
     "op2_url_filter": op2,
     "op3_byte_bpe": op3,
     "op5_source_mix": op5,
     "op7_quality_rules": op7,
+    "op9_line_dedup": op9,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SQL1,
     "op2_url_filter": _sql2(),
     "op5_source_mix": SQL5,
     "op7_quality_rules": SQL7,
+    "op9_line_dedup": SQL9,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import bpe, line_dedup, mixing, quality_rules, substring_dedup, url_filter
+from cloakwork.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, url_filter
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +66,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_whole(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+# ----------------------------------------------------------------------------- near duplicates
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 # ----------------------------------------------------------------------------- mixing
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
@@ -167,6 +172,7 @@ QUERIES: dict[str, Call] = {
     "op1_substring_dedup": op1,
     "op2_url_filter": op2,
     "op3_byte_bpe": op3,
+    "op4_jaccard_join": op4,
     "op5_source_mix": op5,
     "op7_quality_rules": op7,
     "op9_line_dedup": op9,

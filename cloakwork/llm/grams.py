@@ -22,17 +22,20 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _BYTES[WHITE] = 0
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[WHITE] = True
+#: For words of letters and digits only: every other ASCII character parts them.
+_PARTS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 class Words:
-    """Words of a list of texts (null: empty), whole, in order; ``of`` is a word's text."""
+    """Words of a list of texts (null: empty), whole, in order; ``of`` is a word's text.  ``plain`` words end at punctuation."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray) -> None:
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, plain: bool = False) -> None:
         parts = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
         self.n = len(parts)
         self.buf = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
         self.stops = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
-        white = _IS_WHITE[self.buf]
+        self.parting = _PARTS if plain else _IS_WHITE
+        white = self.parting[self.buf]
         turn = np.flatnonzero(white[1:] != white[:-1]) + 1
         if len(white) and not white[0]:
             turn = np.concatenate(([0], turn))
@@ -40,17 +43,20 @@ class Words:
         self.of = np.searchsorted(self.stops, self.starts, "right")
         self.counts = np.bincount(self.of, minlength=self.n)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A hash per word; ``lower`` folds A-Z."""
+    def hashes(self, lower: bool = False, first: int | None = None) -> np.ndarray:
+        """A hash per word; ``lower`` folds A-Z, ``first`` takes only so many bytes of each word."""
         if not len(self.starts):
             return NONE
         length = np.diff(np.append(self.starts, len(self.buf)))
         place = np.arange(self.starts[0], len(self.buf)) - np.repeat(self.starts, length)
         powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int((self.ends - self.starts).max()), _STEP))))
+        if first is not None:
+            powers[first:] = 0
         raw = self.buf[self.starts[0]:]
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-        return mixed(np.add.reduceat(_BYTES[raw] * powers[np.minimum(place, len(powers) - 1)], self.starts - self.starts[0]))
+        table = np.where(self.parting, np.uint64(0), _BYTES)
+        return mixed(np.add.reduceat(table[raw] * powers[np.minimum(place, len(powers) - 1)], self.starts - self.starts[0]))
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of ``size`` words, and the index of their first words."""

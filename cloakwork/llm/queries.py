@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, url_filter
+from cloakwork.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, toxicity, url_filter
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,6 +168,11 @@ FROM {docs} d LEFT JOIN r USING (doc_id)"""
 
 SQL9 = f"SELECT doc_id, n_lines, n_equal, n_near, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM ({sql_lines()})"
 
+# ----------------------------------------------------------------------------- toxicity
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Call] = {
     "op1_substring_dedup": op1,
     "op2_url_filter": op2,
@@ -176,6 +181,7 @@ QUERIES: dict[str, Call] = {
     "op5_source_mix": op5,
     "op7_quality_rules": op7,
     "op9_line_dedup": op9,
+    "op10_toxicity": op10,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SQL1,

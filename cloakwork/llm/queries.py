@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, toxicity, url_filter
+from cloakwork.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_tree_lm, toxicity, url_filter
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,6 +173,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# ----------------------------------------------------------------------------- language model
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Call] = {
     "op1_substring_dedup": op1,
     "op2_url_filter": op2,
@@ -180,6 +185,7 @@ QUERIES: dict[str, Call] = {
     "op4_jaccard_join": op4,
     "op5_source_mix": op5,
     "op7_quality_rules": op7,
+    "op8_suffix_tree": op8,
     "op9_line_dedup": op9,
     "op10_toxicity": op10,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_tree_lm, toxicity, url_filter
+from cloakwork.llm import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_tree_lm, toxicity, url_filter
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,6 +173,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# ----------------------------------------------------------------------------- nearest neighbours
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 # ----------------------------------------------------------------------------- language model
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
@@ -184,6 +189,7 @@ QUERIES: dict[str, Call] = {
     "op3_byte_bpe": op3,
     "op4_jaccard_join": op4,
     "op5_source_mix": op5,
+    "op6_nearest": op6,
     "op7_quality_rules": op7,
     "op8_suffix_tree": op8,
     "op9_line_dedup": op9,

@@ -9,7 +9,7 @@ graph.  Then NN-descent: each node introduces its neighbours (and a sample of th
 it) to each other, and everybody keeps the ``DEGREE`` best met so far; ``ROUNDS`` times, as joins
 and shuffles of node ids with their vectors.
 
-Search: a query starts at the neighbours of its own node and, round by round, opens all nodes among
+Search: a query starts at the neighbours of its own node and the ``ENTRIES`` longest vectors and, round by round, opens all nodes among
 its ``BEAM`` best that are not open yet, until there are none.  All queries go together.
 
 All rows are indexed, whatever their number.  The graph is approximate; scores are exact inner products
@@ -33,7 +33,7 @@ from cloakwork.llm.common import written
 from cloakwork.llm.jaccard_join import _by_group
 
 DEGREE, FRIENDS, FANS, PROPOSALS, ROUNDS = 32, 24, 14, 16, 3
-TREES, BLOCK, BEAM = 6, 320, 96
+TREES, BLOCK, BEAM, ENTRIES = 6, 320, 96, 32
 _EDGES = "u long, vs array<long>, ss array<float>"
 
 
@@ -212,15 +212,18 @@ def _step(dtype: str, beam: int):
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, dtype: str, beam: int = BEAM) -> DataFrame:
-    """q, vs, ss: the best nodes found for each query vector (columns q: its node, qvec)."""
+def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, dtype: str, entries: list[int], beam: int = BEAM) -> DataFrame:
+    """q, vs, ss: the best nodes found for each query vector (columns q: its node, qvec); ``entries`` are met by all at the start."""
+    start = queries.select("q", F.explode(F.array(*[F.lit(i) for i in entries]).cast("array<long>")).alias("v"))
     none = F.array().cast("array<long>")
     schema = "q long, qvec binary, vs array<long>, ss array<double>, seen array<long>, next array<long>"
     state = queries.select("q", "qvec", none.alias("vs"), F.array().cast("array<double>").alias("ss"), none.alias("seen"), F.array("q").alias("next"))
     reach = graph.select("u", F.concat(F.array("u"), "vs").alias("vs"))
     while True:
         front = state.select("q", F.explode("next").alias("u"))
-        reached = front.join(reach, "u", "left").select("q", F.explode(F.coalesce("vs", F.array("u"))).alias("v")).distinct()
+        reached = front.join(reach, "u", "left").select("q", F.explode(F.coalesce("vs", F.array("u"))).alias("v"))
+        reached = (reached if start is None else reached.union(start)).distinct()
+        start = None
         met = reached.join(vectors.select(F.col("u").alias("v"), "vec"), "v").select(F.col("q").alias("of"), "v", "vec")
         state = written(state.groupBy("q").cogroup(met.groupBy("of")).applyInArrow(_step(dtype, beam), schema), "search")
         if state.filter(F.size("next") > 0).isEmpty():
@@ -233,14 +236,15 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     known, dtype = nodes(table, id_col, vec_col, k + 1)
     vectors = written(known.select("u", "vec", "ids"), "nodes")
     n = vectors.count()
-    most = vectors.mapInArrow(_longest(dtype), "m double").agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("m")).first()["m"]
+    longest = vectors.select("u", "vec").mapInArrow(_lengths(dtype), "u long, m double").orderBy(F.desc("m"), "u").limit(ENTRIES).collect()
+    most = longest[0]["m"] if longest else 0.0
     # the graph is built on half-precision vectors of length one at most, scores come from the originals
     halves = written(vectors.select("u", "vec").mapInArrow(_halves(dtype, most), "u long, vec binary"), "halves")
     graph = neighbour_graph(halves, "float16", n, 1.0, degree, rounds)
     asked = table.filter(F.col(id_col) % every == 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(
         _valid(dtype, 1 << 62), "vec binary, ids array<long>").select("vec", F.explode("ids").alias("query_id")).distinct()
     of = written(asked.join(vectors.select("u", "vec"), "vec").select("query_id", F.col("u").alias("q"), F.col("vec").alias("qvec")), "queries")
-    found = search(of.select("q", "qvec").distinct(), vectors.select("u", "vec"), graph, dtype, max(beam, k + 1))
+    found = search(of.select("q", "qvec").distinct(), vectors.select("u", "vec"), graph, dtype, [r["u"] for r in longest], max(beam, k + 1))
     pairs = found.select("q", F.explode(F.arrays_zip("vs", "ss")).alias("x")).select("q", F.col("x.vs").alias("u"), F.col("x.ss").alias("score"))
     lists = pairs.join(vectors.select("u", "ids"), "u").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     whole = F.flatten(F.transform("found", lambda x: F.transform(x["ids"], lambda i: F.struct((-x["score"]).alias("s"), i.alias("i")))))
@@ -249,12 +253,14 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     return ranked.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def _longest(dtype: str):
+def _lengths(dtype: str):
+    """Squared lengths; only a batch's longest can be among the longest of all."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("vec"), dtype).astype(np.float64)
-                yield pa.record_batch([pa.array([float((x**2).sum(axis=1).max())])], ["m"])
+                m = (_matrix(batch.column("vec"), dtype).astype(np.float64) ** 2).sum(axis=1)
+                top = np.argsort(-m)[:ENTRIES]
+                yield pa.record_batch([batch.column("u").take(pa.array(top)), pa.array(m[top])], ["u", "m"])
 
     return run
 

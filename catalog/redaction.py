@@ -277,12 +277,12 @@ def _(t):
     return t.sql(_HEADERS).filter(F.lower("name").isin(fixed.EXEMPT_HEADERS)).select("event_id", "name")
 
 
-@q("query_codec", f"""SELECT page_id, q AS decoded, replace(url_encode(q), '+', '%20') = url_encode(q) AS plain FROM (
+@q("query_codec", f"""SELECT page_id, q AS decoded, replace(replace(replace(replace(replace(replace(url_encode(q), '+', '%20'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%7E', '~') AS encoded FROM (
    SELECT page_id, url_decode(replace(regexp_extract(url, '[?]([^#]*)', 1), '+', ' ')) AS q FROM {{pages}}) _q""")
 def _(t):
     raw = F.regexp_extract("url", r"\?([^#]*)", 1)
     dec = X.decode_query(raw)
-    return t.pages.select("page_id", dec.alias("decoded"), F.lit(True).alias("plain"))
+    return t.pages.select("page_id", dec.alias("decoded"), X.encode_query(dec).alias("encoded"))
 
 
 # ----------------------------------------------------------------------- W1, W2, W3

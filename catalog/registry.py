@@ -203,14 +203,14 @@ def _(t):
 
 @q("flatten_event_props", """SELECT event_id, '$.k' AS path, 'key' AS kind, 'k' AS text FROM {events}""")
 def _(t):
-    return S.flatten_leaves(t.events, ["event_id"], "props", depth=3)
+    return S.flatten_leaves(t.events, ["event_id"], "props")
 
 
-@q("inspect_paths", """SELECT conv_id, '$.messages[' || CAST(i AS VARCHAR) || '].role' AS path, 'role-' || role AS names, false AS truncated FROM (
+@q("inspect_paths", """SELECT conv_id, '$.messages[' || CAST(i AS VARCHAR) || '].role' AS path, 'role-' || role AS names FROM (
    SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM {conversations}) _n WHERE role = 'assistant'""")
 def _(t):
     reg = t.conversations.filter("role = 'assistant'").select(F.col("role").alias("value"), F.concat(F.lit("role-"), "role").alias("name")).distinct()
-    return R.inspect_paths(S.flatten_leaves(_bodies(t), ["conv_id"], "body", 4), reg, ["conv_id"])
+    return R.inspect_paths(S.flatten_leaves(_bodies(t), ["conv_id"], "body"), reg, ["conv_id"])
 
 
 @q("request_meta", f"""SELECT conv_id, {_WIRE} AS wire, true AS model_set, 1 AS tool_count, CASE WHEN conv_id % 4 < 2 THEN count(*) END AS message_count,

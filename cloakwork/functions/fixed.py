@@ -297,7 +297,6 @@ SHELL_PATH_OPERAND = (
     rf"|(^|[{WS}])(?:--cwd|--workdir|--directory)[{WS}]+$"
 )
 MAX_ENTITIES, MAX_OCCURRENCES = 10_000, 100_000
-MAX_INSPECT_HITS = 80
 SAFE_KEY = r"^[A-Za-z_][A-Za-z0-9_-]{0,63}$"
 MAX_MODEL_LEN = 160
 

@@ -105,7 +105,7 @@ def designator_organizations(df: DataFrame, keys: Sequence[str], text_col: str =
     the words of a segment.
     """
     designators = "|".join(fixed.BUSINESS_DESIGNATORS)
-    hinted = df.filter(F.col(text_col).rlike(rf"(?i)\b(?:{designators})")).select(*keys, F.col(text_col).alias("_t"))
+    hinted = df.filter(F.col(text_col).rlike(rf"(?i)(?:{designators})")).select(*keys, F.col(text_col).alias("_t"))
     segments = hinted.select(*keys, F.explode(
         scan(mark_safe(F.col("_t")), r"([^\t,;:!?()\[\]{}|\r\n]+)")).alias("seg"))
     segments = segments.filter(F.col("seg.value").rlike(rf"(?i)(?:{designators})")).select(

@@ -30,7 +30,8 @@ def preserved(text: Column, start: Column, end: Column, value: Column) -> Column
 
     def judged(c: Column) -> Column:
         before = F.substring(c.left, F.lit(1), F.length(c.left) - F.length(c.head))
-        segment = F.regexp_replace(F.regexp_extract(before, r"([^\n;|&]*)$", 1), "[\"'`]+$", "")
+        # cut at the last delimiter: one anchored greedy run, so the cost stays in proportion to the line
+        segment = F.regexp_replace(F.regexp_replace(before, r"(?s)^.*[\n;|&]", ""), "[\"'`]++$", "")
         kind = path_kind(F.concat(c.head, value, c.tail))
         shell = segment.rlike(fixed.SHELL_PATH_OPERAND)
         return let(
@@ -45,8 +46,8 @@ def preserved(text: Column, start: Column, end: Column, value: Column) -> Column
     return let(
         F.struct(
             left.alias("left"),
-            F.regexp_extract(left, f"({outside}*)$", 1).alias("head"),
-            F.regexp_extract(right, f"^({outside}*)", 1).alias("tail"),
+            F.regexp_replace(left, rf"(?s)^.*[{fixed.TOKEN_BOUNDARY}]", "").alias("head"),
+            F.regexp_extract(right, f"^({outside}*+)", 1).alias("tail"),
         ),
         judged,
     )

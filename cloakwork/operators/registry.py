@@ -177,28 +177,29 @@ def registry_upsert(current: DataFrame, incoming: DataFrame, user: str, now: Col
     )
 
 
-def inspect_paths(leaves: DataFrame, registry: DataFrame, keys: Sequence[str], cap: int = fixed.MAX_INSPECT_HITS) -> DataFrame:
+_STEP = r"(\.[A-Za-z_][A-Za-z0-9_-]*|\[[0-9]+\]|\['(?:[^'\\]|\\.)*+'\])"
+
+
+def inspect_paths(leaves: DataFrame, registry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Which registered names hit which JSON path; values never appear.
 
-    A path step that holds a registered value, or is no plain identifier, shows as ``<key>``.
-    The report lists the first ``cap`` paths of a body and says when there are more.
+    A key that holds a registered value, or is no plain name, shows as ``<key#i>``, numbered within
+    its body, so that different keys stay apart.
     """
     from cloakwork.operators.match import Dictionary
 
+    keys = list(keys)
     d = Dictionary(registry)
     numbered = leaves.withColumn("leaf_path", F.when(F.col("kind") == "key", F.concat("path", F.lit(".$key"))).otherwise(F.col("path")))
-    hits = d.occurrences(numbered, [*keys, "leaf_path"], "text").filter("surface = value")
+    hits = d.occurrences(numbered, [*keys, "leaf_path"], "text")
     named = hits.groupBy(*keys, "leaf_path").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
-    unsafe = d.occurrences(leaves.filter("kind = 'key'"), [*keys, "path"], "text").filter(
-        "surface = value").select(*keys, F.col("path").alias("bad")).distinct()
-    masked = named.join(
-        unsafe.groupBy(*keys).agg(F.collect_set("bad").alias("bad")), list(keys), "left"
-    ).withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
-    shown = F.aggregate(
-        F.array_sort(F.col("bad"), lambda a, b: F.length(b) - F.length(a)), F.col("leaf_path"),
-        lambda acc, p: F.when(acc.startswith(p), F.concat(
-            F.regexp_replace(p, r"\.[^.]*$", ".<key>"), F.substring(acc, F.length(p) + 1, F.length(acc)))).otherwise(acc))
-    ranked = masked.withColumn("leaf_path", shown)
-    ranked = ranked.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("leaf_path", "names")))
-    ranked = ranked.withColumn("truncated", F.count("*").over(W.partitionBy(*keys)) > cap)
-    return ranked.filter(F.col("_n") <= cap).select(*keys, F.col("leaf_path").alias("path"), "names", "truncated")
+    last = F.regexp_extract("path", _STEP + "$", 1)
+    bearing = d.occurrences(leaves.filter("kind = 'key'"), [*keys, "path"], "text").select(*keys, last.alias("step"))
+    odd = leaves.filter("kind = 'key'").select(*keys, last.alias("step")).filter(F.col("step").startswith("['"))
+    secret = bearing.union(odd).groupBy(*keys).agg(F.array_sort(F.collect_set("step")).alias("secret"))
+    steps = F.regexp_extract_all("leaf_path", F.lit(_STEP), F.lit(1))
+    hidden = F.coalesce("secret", F.array().cast("array<string>"))
+    shown = F.transform(steps, lambda s: F.when(F.array_contains(hidden, s), F.concat(
+        F.lit(".<key#"), F.array_position(hidden, s).cast("string"), F.lit(">"))).otherwise(s))
+    path = F.concat(F.lit("$"), F.array_join(shown, ""), F.when(F.col("leaf_path").endswith(".$key"), ".$key").otherwise(""))
+    return named.join(secret, keys, "left").select(*keys, path.alias("path"), "names")

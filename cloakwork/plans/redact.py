@@ -167,10 +167,14 @@ class Redactor:
             body = F.col(redacted_col)
             strings = F.array_join(F.transform(
                 scan(mark_safe(body), f"({JSON_LITERAL})"), lambda s: json_unescape(s.value)), "\n\n")
-            out = out.withColumn("_strings", pin(F.when(F.try_parse_json(body).isNotNull(), strings).otherwise(body)))
-        seen = "_strings" if json_body else redacted_col
-        text = F.col(seen)
-        out = self.with_candidates(out, keys, seen, "_again")
+            valid = F.try_parse_json(body).isNotNull()
+            out = out.withColumn("_strings", pin(F.when(valid, strings).otherwise(body)))
+            primitives = F.array_distinct(F.regexp_extract_all(mask_json_strings(body), F.lit(r"([A-Za-z0-9_.+-]+)"), F.lit(1)))
+            out = out.withColumn("_numbers", pin(F.when(valid, primitives).otherwise(F.array().cast("array<string>"))))
+            # registered values are looked for among strings and among numbers
+            out = out.withColumn("_all", F.concat_ws("\n\n", "_strings", "_numbers"))
+        text = F.col("_strings" if json_body else redacted_col)
+        out = self.with_candidates(out, keys, "_all" if json_body else redacted_col, "_again")
         known = F.transform(F.coalesce(F.col(known_col), F.array().cast(
             "array<struct<value:string,token_bound:boolean>>")), lambda k: F.struct(
                 k.value.alias("value"), F.sha2(k.value, 256).alias("entity_id"),
@@ -184,13 +188,9 @@ class Redactor:
                          self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths)
         out = out.withColumn("leaks", pin(F.sort_array(F.array_distinct(F.transform(left, lambda c: c.info.value)))))
         if json_body:
-            masked = mask_json_strings(F.col(redacted_col))
-            numbers = F.array_distinct(F.regexp_extract_all(masked, F.lit(r"([A-Za-z0-9_.+-]+)"), F.lit(1)))
             values = F.transform(F.concat(known, F.col("_again")), lambda f: f.value)
-            numbers = F.when(F.try_parse_json(F.col(redacted_col)).isNotNull(), numbers).otherwise(
-                F.array().cast("array<string>"))
-            out = out.withColumn("leaks", pin(F.array_distinct(F.concat("leaks", F.array_intersect(values, numbers)))))
-        return out.drop("_again", "_strings")
+            out = out.withColumn("leaks", pin(F.array_distinct(F.concat("leaks", F.array_intersect(values, "_numbers")))))
+        return out.drop("_again", "_strings", "_numbers", "_all")
 
     # -------------------------------------------------------------- text surface
     def redact_text(self, df: DataFrame, keys: Sequence[str], text_col: str,
@@ -233,7 +233,10 @@ class Redactor:
                                          body_col), keys, body_col)
         none = F.array().cast(f"array<{_FORM}>")
         if self.rules:
-            found = detect(leaves, keys, "text", self.rules, self.surrogates.prefix)
+            # personal data is looked for in contents only, secrets in object keys too
+            found = detect(leaves.filter("kind <> 'key'"), keys, "text", self.rules, self.surrogates.prefix)
+            if secret := [r for r in self.rules if r.kind != "pii"]:
+                found = found.unionByName(detect(leaves.filter("kind = 'key'"), keys, "text", secret, self.surrogates.prefix))
             best = found.groupBy(*keys, "value").agg(
                 F.min_by(F.struct("rule", "source", "kind", "confidence"), F.struct("rule", "start")).alias("m"))
             per_body = best.groupBy(*keys).agg(F.collect_list(F.struct(
@@ -286,10 +289,13 @@ def body_literals(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFram
     literals = scan(mark_safe(body), f"({JSON_LITERAL})")
     valid = F.try_parse_json(body).isNotNull()
     raw = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end"), body.alias("value")))
-    leaves = df.withColumn("_json", pin(valid)).withColumn(
-        "_lits", pin(F.when(F.col("_json"), literals).otherwise(raw))
-    ).select(*[c for c in df.columns if c != body_col], "_json", body_col, F.posexplode("_lits").alias("leaf", "_l"))
-    follows = F.substring(F.col(body_col), F.col("_l.end") + 1, F.length(body_col)).rlike(r"^[ \t\r\n]*:")
+    # what stands between literals, once per body: a colon after one makes it a key
+    gaps = F.slice(F.split(mark_safe(body), JSON_LITERAL), F.lit(2), F.size("_lits"))
+    leaves = df.withColumn("_json", pin(valid)).withColumn("_lits", pin(F.when(F.col("_json"), literals).otherwise(raw))).withColumn(
+        "_gaps", F.when(F.col("_json"), gaps).otherwise(F.array().cast("array<string>"))
+    ).select(*[c for c in df.columns if c != body_col], "_json", F.when(~F.col("_json"), F.col(body_col)).alias(body_col),
+             F.posexplode(F.arrays_zip("_lits", "_gaps")).alias("leaf", "_z")).withColumn("_l", F.col("_z._lits"))
+    follows = F.coalesce(F.col("_z._gaps").rlike(r"^[ \t\r\n]*+:"), F.lit(False))
     return leaves.select(
         *[c for c in df.columns if c != body_col], "leaf",
         F.when(~F.col("_json"), "raw").when(follows, "key").otherwise("value").alias("kind"),

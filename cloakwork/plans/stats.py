@@ -104,13 +104,13 @@ def newest_events(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.col("event_index").desc()).limit(n)
 
 
-def event_limit(raw: str | None, default: int = 100, most: int = 1000) -> int:
-    """Bounded event limit from a query parameter."""
+def event_limit(raw: str | None, default: int = 100) -> int:
+    """Number of events that a query parameter asks for."""
     try:
         n = float(raw) if raw and raw.strip() else float("nan")
     except ValueError:
         n = float("nan")
-    return default if not n >= 1 else min(most, int(n))
+    return default if not n >= 1 else int(n)
 
 
 def safe_label(label: Column, protected: Column, surrogate_pattern: str, fallback: str) -> Column:

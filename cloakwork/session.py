@@ -40,23 +40,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-_SPREAD_BYTES = 1 << 20      # smallest input share worth a task of its own
-_SPREAD_LIMIT = 256 << 20    # inputs above this are left as the scan splits them
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan as many tasks as there are cores.
-
-    Text scans are bound by the processor, and a small file is often a single row group, which
-    is a single task.  Only inputs of a few row groups (by the optimizer's size estimate) are
-    moved; a large table is split by the scan itself and never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(cores, -(-size // _SPREAD_BYTES))
-    return df.repartition(tasks) if 1 < tasks and size <= _SPREAD_LIMIT else df
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder (survives executor loss).
 

@@ -225,12 +225,15 @@ def linear(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 0.3, ro
     w[-1] = -4
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-3
+    loss = lambda v: n @ (np.logaddexp(0, x @ v) - y * (x @ v)) + ridge @ v**2 / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         grad = x.T @ (n * (p - y)) + ridge * w
         h = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.clip(np.linalg.solve(h, grad), -3, 3)
-        w -= step
+        step, now = np.linalg.solve(h, grad), loss(w)
+        while np.abs(step).max() > 1e-6 and loss(w - step) > now:
+            step /= 2
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w

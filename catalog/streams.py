@@ -6,7 +6,6 @@ a memory table, so its result can be checked against the batch twin in SQL.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,7 +15,9 @@ from catalog.base import KEY, Query, Tables, duck, sql_digest
 from catalog.redaction import RULES
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.operators import detect as D
+from cloakwork.plans import restore as RS
 from cloakwork.plans.redact import Redactor
+from cloakwork.session import shared_folder
 from cloakwork.streaming import restore as SR
 from cloakwork.streaming import scopes as SS
 
@@ -33,9 +34,17 @@ def q(name: str, sql: str | None = None):
 
 
 def scratch(t: Tables) -> str:
-    """Folder for stream inputs: below the cluster's checkpoint folder when it names one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """Folder for stream inputs, below the shared folder."""
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def as_batches(t: Tables, df: DataFrame, order: str, pieces: int = 3) -> DataFrame:
+    """A stream of several micro-batches in the order of a column: state has to cross them."""
+    path = f"{scratch(t)}/in"
+    most = df.agg(F.max(order).alias("m")).first()["m"] or 0
+    for i in range(pieces):
+        df.filter(F.floor(F.col(order) * pieces / F.lit(most + 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def as_stream(t: Tables, df: DataFrame, files: int = 4) -> DataFrame:
@@ -84,18 +93,23 @@ def chunks(t: Tables) -> DataFrame:
     ).alias("seq", "c")).select("stream_id", F.col("seq").cast("bigint").alias("seq"), "c.text", "c.last")
 
 
-def lookup(t: Tables) -> dict[str, str]:
-    """Token mapping of the twenty values (a bounded dictionary)."""
-    token = SUR.mint_typed(F.concat(F.lit("value-"), F.col("k").cast("string")), F.lit("x"), F.lit("secret"))
-    rows = t.events.select((F.col("user_id") % 20).alias("k")).distinct().limit(20).select(token.alias("token"), "k")
-    return {r["token"]: f"value-{r['k']}" for r in rows.collect()}
+def mapping(t: Tables) -> DataFrame:
+    """What each stream may restore: its own value, and for odd streams a value that others own."""
+    token = lambda v: SUR.mint_typed(v, F.lit("x"), F.lit("secret"))
+    value = F.concat(F.lit("value-"), (F.col("user_id") % 20).cast("string"))
+    return t.events.select("user_id").distinct().filter("user_id % 3 <> 0").select(
+        F.col("user_id").cast("string").alias("stream_id"), token(value).alias("token"), value.alias("value"), F.lit("detected").alias("layer"), F.lit(1).alias("layer_rank"))
+
 
+# every third stream owns no value: its token stays, though others could restore it
+_RESTORED = f"""'see ' || CASE WHEN user_id % 3 = 0 THEN {_TOKEN} ELSE 'value-' || CAST(user_id % 20 AS VARCHAR) END || ' now ' || CAST(user_id AS VARCHAR) || ' CLOAK'"""
 
-@q("stream_restore_chunks", """SELECT CAST(user_id AS VARCHAR) AS stream_id, 'see value-' || CAST(user_id % 20 AS VARCHAR) || ' now ' || CAST(user_id AS VARCHAR) || ' CLOAK' AS text,
-   0 AS residuals FROM (SELECT DISTINCT user_id FROM {events}) _u""")
+
+@q("stream_restore_chunks", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, {_RESTORED} AS text,
+   CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS residuals FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
-    # one file keeps a stream's chunks in arrival order
-    out = drain(t, SR.restore_chunks(as_stream(t, chunks(t), 1), lookup(t), SUR))
+    # several micro-batches: tokens straddle them
+    out = drain(t, SR.restore_chunks(as_batches(t, chunks(t), "seq"), mapping(t), SUR))
     return out.groupBy("stream_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"), F.sum("residuals").alias("residuals"))
 
@@ -112,13 +126,22 @@ def sse_records(t: Tables) -> DataFrame:
 @q("stream_whole_fragments", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment,
    'see ' || {_TOKEN} || ' now ' || CAST(user_id AS VARCHAR) || ' CLOAK' AS text, true AS token_whole FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
-    frags = SR.record_fragments(as_stream(t, sse_records(t), 1), F.lit("anthropic"))
+    frags = SR.record_fragments(as_batches(t, sse_records(t), "seq"), F.lit("anthropic"))
     out = drain(t, SR.whole_fragments(frags, SUR))
     return out.groupBy("stream_id", "fragment").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"),
         F.bool_or(F.col("text").rlike(SUR.typed_pattern)).alias("token_whole"))
 
 
+@q("stream_restore_fragments", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment, {_RESTORED} AS text
+   FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
+def _(t):
+    frags = SR.record_fragments(as_batches(t, sse_records(t), "seq"), F.lit("anthropic"))
+    pieces = drain(t, SR.whole_fragments(frags, SUR)).groupBy("stream_id", "fragment", "kind").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"))
+    return SR.restore_fragments(pieces, mapping(t), SUR, "all", RS.restore_text).select("stream_id", "fragment", F.col("restored").alias("text"))
+
+
 @q("join_fragments_batch", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment, 'text' AS kind,
    'see ' || {_TOKEN} || ' now ' || CAST(user_id AS VARCHAR) || ' CLOAK' AS text FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
@@ -131,7 +154,7 @@ _SEEN = """SELECT CAST(user_id AS STRING) AS scope, event_id AS turn, event_type
 
 @q("stream_scope_memory", f"SELECT scope, value, min(turn) AS first_turn, 1 AS new_rows FROM ({_SEEN}) s GROUP BY scope, value")
 def _(t):
-    out = drain(t, SS.scope_memory(as_stream(t, t.sql(_SEEN), 1)))
+    out = drain(t, SS.scope_memory(as_batches(t, t.sql(_SEEN), "turn")))
     return out.groupBy("scope", "value").agg(F.min("first_turn").alias("first_turn"), F.count_if("new").alias("new_rows"))
 
 

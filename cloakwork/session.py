@@ -40,6 +40,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder (survives executor loss).
 
@@ -48,9 +57,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.getCheckpointDir() is None:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if folder is not None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -84,8 +84,9 @@ def mark_load(df: DataFrame, order: Sequence[str], min_len: int = fixed.MIN_REGI
     """Add ``reason``: null for loaded rows, first-wins ``duplicate`` per identity."""
     first = df.withColumn("reason", load_reason(F.col("name"), F.col("value"), min_len, mode))
     ok = F.col("reason").isNull()
-    # duplicates are decided by hash partitions of the identity, which is as fine as the values
-    rank = F.row_number().over(W.partitionBy(*identity, ok).orderBy(*order))
+    # only admitted rows are ranked; the others, however alike, are spread
+    alone = F.when(~ok, F.xxhash64(*order))
+    rank = F.row_number().over(W.partitionBy(*identity, ok, alone).orderBy(*order))
     return first.withColumn("_rn", rank).withColumn(
         "reason", F.when(ok & (F.col("_rn") > 1), "duplicate").otherwise(F.col("reason"))).drop("_rn")
 

@@ -6,8 +6,9 @@ lines of Python per chunk; Spark partitions, orders by micro-batch and keeps the
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,27 +23,26 @@ OUT_SCHEMA = "stream_id string, seq bigint, text string, residuals bigint"
 class _TailRestorer(StatefulProcessor):
     """Emit what can no longer be part of a token; keep the possible token start."""
 
-    def __init__(self, lookup: Mapping[str, str], pattern: str, partial: str, residual: str) -> None:
-        self.lookup, self.pattern, self.partial, self.residual = lookup, pattern, partial, residual
+    def __init__(self, pattern: str, partial: str, residual: str) -> None:
+        self.pattern, self.partial, self.residual = pattern, partial, residual
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", "text string")
         self.token, self.open = re.compile(self.pattern), re.compile(self.partial)
         self.debris = re.compile(self.residual)
 
-    def _swap(self, text: str) -> str:
-        return self.token.sub(lambda m: self.lookup.get(m.group(0), m.group(0)), text)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         chunks = pd.concat(list(rows)).sort_values("seq")
         tail = self.tail.get()[0] if self.tail.exists() else ""
-        out = []
+        own = chunks["lookup"].iloc[0]
+        lookup, out = json.loads(own) if own else {}, []
         for seq, text, last in zip(chunks["seq"], chunks["text"], chunks["last"], strict=True):
             whole = tail + (text or "")
             held = None if last else self.open.search(whole)
             ready, tail = (whole[: held.start()], whole[held.start():]) if held else (whole, "")
-            unknown = [m.group(0) for m in self.debris.finditer(ready) if m.group(0) not in self.lookup]
-            out.append((key[0], seq, self._swap(ready), len(unknown)))
+            unknown = {m.group(0) for m in self.debris.finditer(ready) if m.group(0) not in lookup}
+            restored = self.token.sub(lambda m: lookup.get(m.group(0), m.group(0)), ready)
+            out.append((key[0], seq, restored, len(unknown)))
         if tail:
             self.tail.update((tail,))
         else:
@@ -53,18 +53,16 @@ class _TailRestorer(StatefulProcessor):
         return None
 
 
-def restore_chunks(chunks: DataFrame, lookup: Mapping[str, str], surrogates: Surrogates) -> DataFrame:
+def restore_chunks(chunks: DataFrame, mapping: DataFrame, surrogates: Surrogates) -> DataFrame:
     """Restore a stream of ``(stream_id, seq, text, last)`` chunks.
 
-    ``lookup`` is the token mapping of the streams at hand, a bounded, checked dictionary; for a
-    large one restore complete fragments against the dictionary table instead
-    (:func:`restore_fragments`).
+    ``mapping`` is a table ``(stream_id, token, value)``: a chunk meets the dictionary of its own
+    stream only, by a join, so no value reaches a stream that never owned it.  ``residuals`` counts
+    the different token-like remains of a chunk.
     """
-    if len(lookup) > 100_000:
-        raise ValueError("dictionary too large to ship; use restore_fragments")
-    return chunks.groupBy("stream_id").transformWithStateInPandas(
-        _TailRestorer(dict(lookup), surrogates.pattern, surrogates.partial_pattern, surrogates.residual_pattern),
-        OUT_SCHEMA, "append", "None")
+    own = mapping.groupBy("stream_id").agg(F.to_json(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value"))))).alias("lookup"))
+    return chunks.join(own, "stream_id", "left").groupBy("stream_id").transformWithStateInPandas(
+        _TailRestorer(surrogates.pattern, surrogates.partial_pattern, surrogates.residual_pattern), OUT_SCHEMA, "append", "None")
 
 
 class _FragmentJoiner(StatefulProcessor):

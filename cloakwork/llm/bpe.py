@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
-CACHE_ENTRIES = 300_000
+SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 32
 
 
@@ -104,7 +104,8 @@ class Merger:
             out |= there & (ranks >= 0) & (ranks < rank)
         return out
 
-    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each pre-token, four bytes an id."""
         raw = np.frombuffer(b"".join([p + b"\0" for p in pieces]), np.uint8)
         n = len(raw)
         if not n:
@@ -162,11 +163,10 @@ class Merger:
         while len(i := i[~stop[i]]):
             i = after[i]
             alive[i] = True
-        kept = ids[alive].tolist()
-        out, at = [], 0
-        for size in (np.add.reduceat(alive, np.concatenate(([0], stops[:-1] + 1))) - 1).tolist():
-            out.append(tuple(kept[at:at + size]))
-            at += size + 1
+        kept, out, at = ids[alive].astype("<i4").tobytes(), [], 0
+        for size in (4 * np.add.reduceat(alive, np.concatenate(([0], stops[:-1] + 1), dtype=np.int64), dtype=np.int64)).tolist():
+            out.append(kept[at:at + size - 4])
+            at += size
         return out
 
 
@@ -177,8 +177,8 @@ class Encoder:
         import regex
 
         self.find, self.merge, self.ranks = regex.compile(pattern).findall, Merger(ranks), ranks
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = list(map(self.find, texts))
@@ -193,21 +193,18 @@ class Encoder:
                     if whole is None:
                         new.append((piece, raw))
                         continue
-                    ids = (whole,)
+                    ids = whole.to_bytes(4, "little")
                 young[piece] = ids
         for (piece, _), ids in zip(new, self.merge([raw for _, raw in new]), strict=True):
             (young if len(piece) <= CACHE_CHARS else long)[piece] = ids
         known = {**young, **long} if long else young
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32) for pieces in split]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for pieces in split]
         if len(young) >= CACHE_ENTRIES:
             self.old, self.young = young, {}
         return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, token_ids (array<int>) of every whole text; no special tokens."""
-    table = docs.sparkSession.sparkContext.broadcast({"ranks": ranks})
-
+def _encoding(table, pattern: str):
     def run(batches):
         # a broadcast value lives as long as its Python worker, and so does what the encoder remembers
         encoder = table.value.get("encoder") or table.value.setdefault("encoder", Encoder(table.value["ranks"], pattern))
@@ -217,27 +214,55 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), lists], ["doc_id", "n_tokens", "token_ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:
-    """Adds ``decoded`` (binary): the bytes of the ids.  Other columns stay."""
-    table = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
-    names = schema.names
-
+def _decoding(table, names: list[str], ids_col: str):
     def run(batches):
-        token = table.value.__getitem__
+        tokens = table.value.get("tokens") or table.value.setdefault("tokens", {i: b for b, i in table.value["ranks"].items()})
+        token = tokens.__getitem__
         for batch in slices(batches):
             lists = batch.column(names.index(ids_col))
             raw = [None if x is None else b"".join(map(token, x.values.to_numpy().tolist())) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names)
 
-    return encoded.mapInArrow(run, schema)
+    return run
+
+
+ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+
+
+def _decoded(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, token_ids (array<int>) of every whole text; no special tokens."""
+    table = docs.sparkSession.sparkContext.broadcast({"ranks": ranks})
+    return _rows(docs, id_col, text_col).mapInArrow(_encoding(table, pattern), ENCODED)
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:
+    """Adds ``decoded`` (binary): the bytes of the ids.  Other columns stay."""
+    table = encoded.sparkSession.sparkContext.broadcast({"ranks": ranks})
+    schema = _decoded(encoded.schema)
+    return encoded.mapInArrow(_decoding(table, schema.names, ids_col), schema)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, token_ids, decoded: both directions in one task."""
+    table = docs.sparkSession.sparkContext.broadcast({"ranks": ranks})
+    there, schema = _encoding(table, pattern), _decoded(ENCODED)
+    back = _decoding(table, schema.names, "token_ids")
+    return _rows(docs, id_col, text_col).mapInArrow(lambda batches: back(there(batches)), schema)
 
 
 def encode_whole(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ids and of the bytes decoded from them."""
-    both = decode(encode(docs, ranks, pattern, id_col, text_col), ranks)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    return both.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, ranks, pattern, id_col, text_col).select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -76,16 +76,20 @@ def _texts(batches, most: int = 4 << 20):
 
 
 def _blocks(batches, words: int):
-    """Symbols of blocks of about ``words`` symbols; whole texts."""
-    held, n, texts = [], 0, 0
+    """Symbols of blocks of about ``words`` symbols or more; whole texts.  What is left at the end joins the last block."""
+    def joined(parts):
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    ready, held, n, texts = [], [], 0, 0
     for h, of, count in _texts(batches):
         held.append((h, of + texts))
         n, texts = n + len(h), texts + count
         if n >= words:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, n, texts = [], 0, 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            if ready:
+                yield joined(ready)
+            ready, held, n = held, [], 0
+    if ready or held:
+        yield joined(ready + held)
 
 
 def _pairs(h: np.ndarray, of: np.ndarray, depth: int, parents: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,10 +256,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     sliced = rows.repartition("slice")
     sent = sliced.groupBy("slice").applyInArrow(_slice_counts, "slice int, h long, n long").repartition("h")
     sums = sent.groupBy("h").agg(F.sum("n").alias("c"), F.min("slice").alias("first"))
-    back = written(sent.select("h", "slice").join(sums.hint("shuffle_hash"), "h").select(
-        "slice", "h", "c", (F.col("slice") == F.col("first")).alias("once")), "symbols")
+    # n is kept so that both sides of the join read the same exchange
+    back = written(sent.join(sums.hint("shuffle_hash"), "h").select(
+        "slice", "h", "n", "c", (F.col("slice") == F.col("first")).alias("once")), "symbols")
     size = back.filter("once AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    texts = rows.filter("train").select("text")
+    # blocks must be large for their shares to tell; fewer, larger partitions where the input has small ones
+    texts = rows.filter("train").select("text").coalesce(max(1, int(size["n"]) // BLOCK_WORDS))
     frequent = back.filter("once").filter(F.col("c") >= least * max(1, size["n"])).select("h", "c").toPandas()
     root = dict(zip(frequent["h"].tolist(), frequent["c"].tolist(), strict=True))
     tree = Tree(grow(texts, size["n"], root, depth, least, g_least) if size["n"] else [])

@@ -8,12 +8,12 @@ Method: equal lines are reduced to their first occurrence.  A distinct line is c
 segments; of two lines within the distance, one segment of the shorter occurs unchanged in the
 longer, moved by a bounded shift.  So each line stores its segments under (length, segment number,
 content), and looks up its own substrings under the lengths it can be near to, at the shifts that
-leave enough edits for the rest.  What meets is verified with a banded bit-parallel edit distance:
+leave enough edits for the rest.  What meets, with letter counts that allow it, is verified with a banded bit-parallel edit distance:
 a band of 2 edits + 1 cells is one machine word.  Texts are shuffled once, by document.
 
-Cases: null texts have no lines and stay null; a null id comes last; rows with the same id and text
-are one document and keep the same lines; a line of any length is one line; empty tables give
-empty results; only the named columns are read, other columns ride along in :func:`without_repeats`.
+Cases: null texts have no lines and stay null; rows that share an id or have none come after all
+others, in the order of a hash of their texts, and equal ones among them keep the same lines; ids are
+below 2 ** 62; a line of any length is one line; empty tables give empty results; only the named columns are read, other columns ride along in :func:`without_repeats`.
 """
 
 from __future__ import annotations
@@ -95,6 +95,28 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column]
     return stored, looked
 
 
+LETTERS = "etaoinsr"
+
+
+def letter_counts(line: Column, length: Column) -> Column:
+    """How often eight frequent letters occur, modulo 256, a byte each."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = (length - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256
+        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
+    return out
+
+
+def counts_allow(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines can be within the distance: an edit changes two counts by one at most."""
+    total = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        byte = lambda x: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
+        apart = F.pmod(byte(a) - byte(b), F.lit(256))
+        total = total + F.least(apart, 256 - apart)
+    return total <= 2 * edits
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -103,51 +125,67 @@ def _counts(line: Column, shortest: int) -> Column:
     return (F.length(line) >= shortest) & line.rlike(WORD)
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """d (the order of documents, one number per id or, where ids repeat, per text) and pack (the columns), dealt by d.
+
+    The columns travel as one value that is never cut to the fields a branch needs: so every branch
+    has the same exchange, and texts are shuffled once.  Also the same rows as they are read.
+    """
+    rows = docs.select(F.array(F.struct(*docs.columns)).alias("pack"), row_key(id_col).alias("d"))
+    text = F.element_at("pack", 1)[text_col]
+    again = written(docs.select(row_key(id_col).alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "again")
+    if not again.isEmpty():
+        behind = F.lit(1 << 62) + F.xxhash64(F.col("d"), text).bitwiseAND(F.lit((1 << 62) - 1))
+        rows = rows.join(again.select(F.col("d").alias("twice")), F.col("d") == F.col("twice"), "left").withColumn(
+            "d", F.when(F.col("twice").isNull(), F.col("d")).otherwise(behind)).drop("twice")
+    return rows.repartition("d"), rows
+
+
 def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The docs' columns in ``doc``, with ``lines`` (array), ``kept`` (places from 0), ``n_equal`` and ``n_near`` (lines removed)."""
-    base = docs.select(F.struct(*docs.columns).alias("doc"), row_key(id_col).alias("key"),
-                       F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).repartition("key", "th")
-    lines = base.select("key", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(_counts(F.col("line"), shortest))
-    firsts = written(lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(
-        F.min(F.struct("key", "th", "pos")).alias("f")).select("f.*"), "lines")
-    at = firsts.groupBy("key", "th").agg(F.collect_list("pos").alias("places"))
-    text = base.select("key", "th", "text").dropDuplicates(["key", "th"])
-    named = lambda n: text.join(at, ["key", "th"]).select("key", "th", let(_lines(F.col("text")), lambda x: F.transform(
-        "places", lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line")))).alias("l")).select("key", "th", F.explode("l").alias("l")).select(
-        *[F.col(c).alias(c + n) for c in ("key", "th")], F.col("l.pos").alias("pos" + n), F.col("l.line").alias("line" + n))
-    mine = named("")
-    stored, looked = segment_keys(F.col("line"), F.length("line"), edits)
-    keyed = mine.select("key", "th", "pos", F.explode(F.concat(
-        F.transform(F.array(*stored), lambda k: F.struct(k.alias("k"), F.lit(True).alias("stored"))),
-        F.transform(F.array_compact(F.array(*looked)), lambda k: F.struct(k.alias("k"), F.lit(False).alias("stored"))))).alias("s")).select(
-        "key", "th", "pos", "s.*")
-    index = keyed.filter("stored").select("k", *[F.col(c).alias(c + "2") for c in ("key", "th", "pos")])
-    first, second = F.struct("key", "th", "pos"), F.struct("key2", "th2", "pos2")
-    # a pair of stored keys meets from both sides: once is enough
-    met = keyed.join(index.hint("shuffle_hash"), "k").filter((F.col("stored") & (first < second)) | (~F.col("stored") & (first != second)))
-    pairs = written(met.select("key", "th", "pos", "key2", "th2", "pos2").distinct(), "pairs")
-    near = written(_verified(pairs, text, edits), "near")
-    places = firsts.join(near, ["key", "th", "pos"], "left").groupBy("key", "th").agg(
+    base, read = _documents(docs, id_col, text_col)
+    # all that follows is one plan: its exchanges of texts, lines and keys are shared by the branches that need them
+    text = base.select("d", F.element_at("pack", 1)[text_col].alias("text"))
+    lines = read.select("d", F.posexplode(_lines(F.element_at("pack", 1)[text_col])).alias("pos", "line")).filter(_counts(F.col("line"), shortest))
+    firsts = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(
+        F.min(F.struct("d", "pos")).alias("f")).select("f.*")
+    mine = _picked(text, firsts.groupBy("d").agg(F.collect_list("pos").alias("places")))
+    stored, looked = segment_keys(F.col("line"), F.col("n"), edits)
+    # keys are columns of their own first: inside the generator they would be interpreted
+    keyed = mine.select("d", "pos", letter_counts(F.col("line"), F.col("n")).alias("counts"), F.array(*stored, *looked).alias("keys")).select(
+        "d", "pos", "counts", F.posexplode_outer("keys").alias("no", "k")).filter("k IS NOT NULL").repartition("k")
+    other = keyed.select(*[F.col(c).alias(c + "2") for c in ("d", "pos", "counts", "no", "k")])
+    first, second = F.struct("d", "pos"), F.struct("d2", "pos2")
+    kept_key = F.col("no2") < len(stored)
+    # one side has a stored key; two of them meet from both sides, once is enough.  (As one condition on
+    # both sides it stays in the join, so that both read the same exchange.)
+    meets = F.when(F.col("no") < len(stored), kept_key & (first < second)).otherwise(kept_key & (first != second))
+    met = keyed.join(other.hint("shuffle_hash"), (F.col("k") == F.col("k2")) & meets & counts_allow(F.col("counts"), F.col("counts2"), edits))
+    near = _verified(met.select("d", "pos", "d2", "pos2").distinct(), text, edits)
+    places = firsts.join(near, ["d", "pos"], "left").groupBy("d").agg(
         F.collect_list(F.when(F.col("near").isNull(), F.col("pos"))).alias("places"), F.count("near").alias("n_near"))
-    joined = base.join(places, ["key", "th"], "left")
+    joined = base.join(places.hint("shuffle_hash"), "d", "left").withColumn("doc", F.element_at("pack", 1))
     free = F.filter(F.transform("lines", lambda x, i: F.when(_counts(x, shortest), -1).otherwise(i)), lambda i: i >= 0)
     kept = F.array_sort(F.array_union(free, F.coalesce("places", F.array().cast("array<int>"))))
-    out = joined.withColumn("lines", F.coalesce(_lines(F.col("text")), F.array().cast("array<string>"))).withColumn("kept", kept)
+    out = joined.withColumn("lines", F.coalesce(_lines(F.col("doc")[text_col]), F.array().cast("array<string>"))).withColumn("kept", kept)
     near_here = F.coalesce("n_near", F.lit(0))
     return out.select("doc", "lines", "kept", (F.size("lines") - F.size("kept") - near_here).cast("long").alias("n_equal"), near_here.cast("long").alias("n_near"))
 
 
+def _picked(text: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines at given places: d, pos, line and its length n."""
+    lines = let(_lines(F.col("text")), lambda x: F.transform("places", lambda p: let(F.get(x, p), lambda line: F.struct(
+        p.alias("pos"), line.alias("line"), F.length(line).alias("n")))))
+    return text.join(places.hint("shuffle_hash"), "d").select("d", F.explode_outer(lines).alias("l")).select("d", "l.pos", "l.line", "l.n")
+
+
 def _verified(pairs: DataFrame, text: DataFrame, edits: int) -> DataFrame:
-    """Of the pairs within the distance, the later lines (key, th, pos, near)."""
-    sides = pairs.select("key", "th", "pos").union(pairs.select("key2", "th2", "pos2")).distinct()
-    places = sides.groupBy("key", "th").agg(F.collect_list("pos").alias("places"))
-    picked = written(text.join(places, ["key", "th"]).select("key", "th", let(_lines(F.col("text")), lambda x: F.transform(
-        "places", lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line")))).alias("l")).select("key", "th", F.explode("l").alias("l")).select(
-        "key", "th", "l.pos", "l.line"), "picked")
-    other = picked.select(*[F.col(c).alias(c + "2") for c in picked.columns])
-    both = pairs.join(picked, ["key", "th", "pos"]).join(other, ["key2", "th2", "pos2"])
+    """Of the pairs within the distance, the later lines (d, pos, near)."""
+    line = lambda at: F.get(_lines(F.col("text")), F.col(at))
+    one = text.join(pairs.hint("shuffle_hash"), "d").select("d", "pos", "d2", "pos2", line("pos").alias("line"))
+    both = text.withColumnRenamed("d", "d2").join(one.hint("shuffle_hash"), "d2").select("d", "pos", "d2", "pos2", "line", line("pos2").alias("line2"))
     close = both.filter(within(F.col("line"), F.col("line2"), edits))
-    later = F.greatest(F.struct("key", "th", "pos"), F.struct(F.col("key2").alias("key"), F.col("th2").alias("th"), F.col("pos2").alias("pos")))
+    later = F.greatest(F.struct("d", "pos"), F.struct(F.col("d2").alias("d"), F.col("pos2").alias("pos")))
     return close.select(later.alias("f")).distinct().select("f.*", F.lit(True).alias("near"))
 
 

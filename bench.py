@@ -23,6 +23,7 @@ from cloakwork.operators import detect as D  # noqa: E402
 from cloakwork.operators.match import Dictionary  # noqa: E402
 from cloakwork.plans import redact as RD  # noqa: E402
 from cloakwork.plans import restore as RS  # noqa: E402
+from cloakwork.session import shared_folder  # noqa: E402
 
 CATALOG = [
     "match_registry_join", "resolve_occurrences_rows", "resolve_occurrences_array", "span_overlap_join", "carry_forward",
@@ -71,7 +72,7 @@ def main() -> None:
     timed("detect_all_rules", lambda: sink(D.detect(docs, ["doc_id"], "text", [*D.SECRET_RULES, *D.PII_RULES])), True)
     for n in (10, 100, 1000):
         # the registry is a table of its own, as it is in production
-        path = f"/tmp/bench-registry-{os.getpid()}-{n}"
+        path = f"{shared_folder(spark)}/bench-registry-{os.getpid()}-{n}"
         registry(t, n).write.mode("overwrite").parquet(path)
         holder: dict[str, RD.Redactor] = {}
 
@@ -84,7 +85,7 @@ def main() -> None:
         timed(f"redact_gate_{n}", lambda r=r: sink(
             r.gate(r.redact(docs, ["doc_id"]), ["doc_id"]).select("doc_id", "redacted", "leaks")), True)
         if n == 100:
-            done = f"/tmp/bench-redacted-{os.getpid()}"
+            done = f"{shared_folder(spark)}/bench-redacted-{os.getpid()}"
             out = r.redact(docs, ["doc_id"])
             out.select("doc_id", "redacted", "spans").write.mode("overwrite").parquet(done)
             saved = spark.read.parquet(done)

@@ -108,13 +108,13 @@ def letter_counts(line: Column, length: Column) -> Column:
 
 
 def counts_allow(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines can be within the distance: an edit changes two counts by one at most."""
-    total = F.lit(0).cast("long")
+    """Whether two lines can be within the distance: an edit raises one count and lowers one, by one at most."""
+    more, less = F.lit(0).cast("long"), F.lit(0).cast("long")
     for i in range(len(LETTERS)):
         byte = lambda x: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
-        apart = F.pmod(byte(a) - byte(b), F.lit(256))
-        total = total + F.least(apart, 256 - apart)
-    return total <= 2 * edits
+        apart = F.pmod(byte(a) - byte(b) + 128, F.lit(256)) - 128
+        more, less = more + F.greatest(apart, F.lit(0)), less - F.least(apart, F.lit(0))
+    return (more <= edits) & (less <= edits)
 
 
 def _lines(text: Column) -> Column:

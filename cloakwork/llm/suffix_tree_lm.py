@@ -2,17 +2,18 @@
 
 A text is its words, A-Z lower-cased, and one end symbol.  Every symbol has a count over all
 training texts (the tree's root, of the size of the vocabulary).  Below the root stand contexts of
-one to ``DEPTH`` words: a context s with next symbol x enters the tree if both are frequent
-enough (``LEAST`` of all training symbols), and is retained if a divergence test (G-test of its next
-symbols against those after the context without its oldest word) is significant, or a longer
-retained context ends in it.  A retained context's next-symbol probabilities are smoothed
-with those of its parent (Witten-Bell); a text is scored with the longest retained suffix at each place.
-
-Frequencies below the root are relative to the corpus, so the tree has at most DEPTH / LEAST entries
-and can be broadcast, whatever the corpus; a (context, symbol) pair that is frequent over all is
-frequent in at least one block of texts, so blocks name candidates first and then count those only.
-The root's counts go by shuffles: documents are dealt into slices, each slice sends every distinct
-symbol once, and gets its count back.
+one to ``DEPTH`` words: a context s with next symbol x enters the tree if the pair occurs ``LEAST``
+times, and s is retained if a divergence test (G-test of its next symbols against those after the
+context without its oldest word) is significant, or a longer retained context ends in it.  A retained
+context's next-symbol probabilities are smoothed with those of its parent (Witten-Bell); a text is
+scored with the longest retained suffix at each place.
+
+The tree grows with the corpus and is never collected.  Documents are dealt into slices; level by level
+each slice sends every distinct (context, symbol) pair once, and gets its count back if it is in the
+tree.  A pair can only be frequent if it is so without the oldest and without the newest word, so a
+slice sends no others.  What a pair is tested against (its context, its parent's pair and context) occurs
+at the same place, so the slice that comes first under a pair knows all four counts; each slice sends
+its contexts once, with its part of their tests, and gets the retained ones back.
 
 Score of a text: sum over symbols of log10 P(symbol | longest retained suffix); base score: add-one
 unigrams.  With U = (c + 1) / (N + V + 1) as root, probabilities of all symbols, an unknown one
@@ -25,17 +26,19 @@ empty result; only the named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import row_key, written
-from cloakwork.llm.grams import NONE, Words, contains, mixed
+from cloakwork.llm.grams import Words, mixed
 
-DEPTH, LEAST, G_LEAST = 3, 1e-5, 30.0
-SLICE_ROWS, BLOCK_WORDS = 2048, 2_000_000
+DEPTH, LEAST, G_LEAST = 3, 2, 30.0
+SLICE_ROWS = 2048
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -68,131 +71,49 @@ def joint(context: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mixed(context * _STEP + h)
 
 
-def _texts(batches, most: int = 4 << 20):
-    for whole in batches:
-        step = int(max(1, whole.num_rows * most // max(1, whole.nbytes)))
-        for start in range(0, whole.num_rows, step):
-            yield symbols(whole.slice(start, step).column("text"))
-
-
-def _blocks(batches, words: int):
-    """Symbols of blocks of about ``words`` symbols or more; whole texts.  What is left at the end joins the last block."""
-    def joined(parts):
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-    ready, held, n, texts = [], [], 0, 0
-    for h, of, count in _texts(batches):
-        held.append((h, of + texts))
-        n, texts = n + len(h), texts + count
-        if n >= words:
-            if ready:
-                yield joined(ready)
-            ready, held, n = held, [], 0
-    if ready or held:
-        yield joined(ready + held)
-
-
-def _pairs(h: np.ndarray, of: np.ndarray, depth: int, parents: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol) at every place whose pair with the shorter context is in the tree."""
-    context = contexts(h, of, depth)
-    ok = context != 0
-    if depth > 1:
-        ok &= contains(parents, joint(contexts(h, of, depth - 1), h))
-    return context[ok], h[ok], joint(context[ok], h[ok])
-
-
-_COLUMNS = ["context", "symbol", "parent", "before", "pair", "n"]
-_ENTRY = ", ".join(f"{c} long" for c in _COLUMNS)
-
-
-def _name(depth: int, least: float, parents: np.ndarray | None):
-    """Pairs whose share of a block reaches ``least``."""
-    def run(batches):
-        for h, of in _blocks(batches, BLOCK_WORDS):
-            _, _, pair = _pairs(h, of, depth, parents)
-            pair, n = np.unique(pair, return_counts=True)
-            yield pa.record_batch([pa.array(pair[n >= least * len(h)].view(np.int64))], ["pair"])
-
-    return run
-
-
-def _count(depth: int, parents: np.ndarray | None, named: np.ndarray):
-    """Counts of the named pairs in each block."""
-    def run(batches):
-        for h, of in _blocks(batches, BLOCK_WORDS):
-            context = contexts(h, of, depth)
-            pair = joint(context, h)
-            hit = np.flatnonzero((context != 0) & contains(named, pair))
-            shorter = contexts(h, of, depth - 1) if depth > 1 else np.zeros(len(h), np.uint64)
-            _, first, n = np.unique(pair[hit], return_index=True, return_counts=True)
-            at = hit[first]
-            last = h[at - 1]
-            before = joint(shorter[at - 1], last) if depth > 1 else last  # the context itself, as a pair of the level above
-            columns = [context[at], h[at], shorter[at], before, pair[at]]
-            yield pa.record_batch([*[pa.array(x.view(np.int64)) for x in columns], pa.array(n.astype(np.int64))], _COLUMNS)
+class _Table:
+    """Values by 64-bit key; zero where a key is missing."""
 
-    return run
+    def __init__(self, keys: pa.ChunkedArray, **values: pa.ChunkedArray) -> None:
+        known = keys.to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        self.known = known[order]
+        self.values = {c: x.to_numpy()[order] for c, x in values.items()}
 
+    def __call__(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(self.known):
+            return {c: np.zeros(len(keys), x.dtype) for c, x in self.values.items()}
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        hit = self.known[at] == keys
+        return {c: np.where(hit, x[at], 0) for c, x in self.values.items()}
 
-def _uint(x) -> np.ndarray:
-    return x.to_numpy().astype(np.int64).view(np.uint64)
 
+def _of_level(table: pa.Table, level: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table["level"], level))
 
-def _level(texts: DataFrame, depth: int, least: float, total: int, parents: np.ndarray | None) -> pd.DataFrame | None:
-    """Frequent pairs of one depth with their counts; at most 1 / least rows."""
-    named = texts.mapInArrow(_name(depth, least, parents), "pair long").distinct().toPandas()
-    if not len(named):
-        return None
-    counted = texts.mapInArrow(_count(depth, parents, np.sort(_uint(named["pair"]))), _ENTRY).groupBy("pair").agg(
-        *[F.min(c).alias(c) for c in ("context", "symbol", "parent", "before")], F.sum("n").alias("n")).filter(F.col("n") >= least * total).toPandas()
-    return counted if len(counted) else None
 
+def _pairs(h: np.ndarray, of: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The context of each place (0: none) and its pair with the symbol there; at depth 0 the symbol itself."""
+    if depth == 0:
+        return np.ones(len(h), np.uint64), h
+    context = contexts(h, of, depth)
+    return context, joint(context, h)
 
-def grow(texts: DataFrame, total: int, root: dict[int, int], depth: int = DEPTH, least: float = LEAST, g_least: float = G_LEAST) -> list[pd.DataFrame]:
-    """The retained tree: per depth its pairs with columns context, symbol, parent, pair, n, total.
 
-    ``root`` has the counts of frequent symbols.  A context is followed by a symbol wherever it occurs, so its
-    total is its own count as a pair of the level above.
-    """
-    levels: list[pd.DataFrame] = []
-    parents, above = None, root
-    for d in range(1, depth + 1):
-        level = _level(texts, d, least, total, parents)
-        if level is None:
-            break
-        levels.append(level.assign(total=level["before"].map(above)))
-        parents = np.sort(_uint(level["pair"]))
-        above = dict(zip(level["pair"], level["n"], strict=True))
-    # divergence of each context from its parent, over the symbols stored under it
-    needed: np.ndarray = np.zeros(0, np.int64)
-    for d in range(len(levels), 0, -1):
-        level = levels[d - 1]
-        if d > 1:
-            up = levels[d - 2].assign(q=levels[d - 2]["n"] / levels[d - 2]["total"])[["context", "symbol", "q"]]
-            q = level.merge(up, left_on=["parent", "symbol"], right_on=["context", "symbol"], how="left")["q"].to_numpy()
-        else:
-            q = level["symbol"].map(root).to_numpy(dtype=float) / total
-        q = np.where(np.isnan(q) | (q <= 0), least, q)
-        gain = 2 * level["n"] * np.log(level["n"] / level["total"] / q)
-        keep = (gain.groupby(level["context"]).transform("sum").abs() >= g_least) | level["context"].isin(needed)
-        levels[d - 1] = level[keep]
-        needed = level.loc[keep, "parent"].unique()
-    return [x for x in levels if len(x)]
+def _before(x: np.ndarray) -> np.ndarray:
+    """Values of the place before; zero at the first."""
+    return np.concatenate((np.zeros(1, x.dtype), x[:-1]))
 
 
 class Tree:
-    """Arrays of a retained tree for lookup inside tasks."""
+    """What a slice was told of the tree, for lookup: counts of its pairs and its retained contexts."""
 
-    def __init__(self, levels: list[pd.DataFrame]) -> None:
+    def __init__(self, told: pa.Table) -> None:
+        pairs, kept = told.filter(pa.compute.is_null(told["kinds"])), told.filter(pa.compute.is_valid(told["kinds"]))
         self.levels = []
-        for level in levels:
-            pair = _uint(level["pair"])
-            order = np.argsort(pair)
-            known = level.groupby("context").agg(total=("total", "first"), kinds=("n", "size"), held=("n", "sum")).reset_index()
-            context = _uint(known["context"])
-            by = np.argsort(context)
-            self.levels.append((pair[order], level["n"].to_numpy()[order].astype(float), context[by],
-                                known["total"].to_numpy()[by].astype(float), known["kinds"].to_numpy()[by].astype(float), known["held"].to_numpy()[by].astype(float)))
+        for depth in range(1, 1 + (pa.compute.max(kept["level"]).as_py() or 0)):
+            p, k = _of_level(pairs, depth), _of_level(kept, depth)
+            self.levels.append((_Table(p["h"], n=p["c"]), _Table(k["h"], total=k["c"], kinds=k["kinds"], held=k["held"])))
 
     def probabilities(self, h: np.ndarray, of: np.ndarray, root: np.ndarray) -> np.ndarray:
         """P of each symbol, given its root probability.
@@ -201,43 +122,132 @@ class Tree:
         symbols and kinds had, to all symbols by the parent's distribution: that sums to one.
         """
         p = root.copy()
-        alive = np.ones(len(h), bool)
-        for depth, (pair, n, context, total, kinds, held) in enumerate(self.levels, 1):
-            here = contexts(h, of, depth)
-            at = np.minimum(np.searchsorted(context, here), len(context) - 1)
-            alive &= (here != 0) & (context[at] == here)
-            i = np.flatnonzero(alive)
-            if not len(i):
-                break
-            c, key = at[i], joint(here[i], h[i])
-            j = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-            own = np.where(pair[j] == key, n[j], 0.0)
-            whole = total[c] + kinds[c]
-            p[i] = (own + (whole - held[c]) * p[i]) / whole
+        i = np.arange(len(h))
+        for depth, (pairs, kept) in enumerate(self.levels, 1):
+            context, pair = _pairs(h, of, depth)
+            known = kept(context[i])
+            alive = (context[i] != 0) & (known["kinds"] > 0)
+            i, total, kinds, held = i[alive], *[known[c][alive].astype(float) for c in ("total", "kinds", "held")]
+            whole = total + kinds
+            p[i] = (pairs(pair[i])["n"] + (whole - held) * p[i]) / whole
         return p
 
 
 def _slice_counts(left: pa.Table) -> pa.Table:
     """Every distinct symbol of a slice once, with its count in the slice's training texts."""
     h, of, _ = symbols(left["text"])
+    return _counted(left, h, of)
+
+
+def _counted(left: pa.Table, keys: np.ndarray, of: np.ndarray) -> pa.Table:
     train = left["train"].to_numpy(zero_copy_only=False)[of]
-    values, at = np.unique(h, return_inverse=True)
+    values, at = np.unique(keys, return_inverse=True)
     n = np.bincount(at, train, len(values)).astype(np.int64)
     return pa.table({"slice": pa.array(np.full(len(values), left["slice"][0].as_py(), np.int32)), "h": pa.array(values.view(np.int64)), "n": pa.array(n)})
 
 
-def _scores(tree: Tree, total: int, kinds: int):
+_SENT = "slice int, h long, n long"
+
+
+def _slice_pairs(depth: int):
+    """Every distinct pair of a slice that can be in the tree, given the counts in the tree of the level above."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, of, _ = symbols(left["text"])
+        context, pair = _pairs(h, of, depth)
+        above = _Table(right["h"], c=right["c"])(_pairs(h, of, depth - 1)[1])["c"] > 0
+        ok = (context != 0) & above & _before(above)
+        return _counted(left, pair[ok], of[ok])
+
+    return run
+
+
+_ASKED = "slice int, level int, h long, parent long, total long, kinds long, held long, gain double"
+
+
+def _slice_contexts(depth: int, total: int):
+    """Every distinct context of a slice that can be in the tree, with its part of the test: the pairs this slice is first under."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, of, _ = symbols(left["text"])
+        parts = [pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})]
+        counts, whole = [], np.full(len(h), total)  # whole: the count of the context of each place
+        for d in range(depth + 1):
+            told = _of_level(right, d)
+            context, pair = _pairs(h, of, d)
+            found = _Table(told["h"], c=told["c"], once=told["once"].cast(pa.int64()))(pair)
+            counts.append(np.where(context != 0, found["c"], 0))
+            if d:
+                above, whole = whole, np.where(context != 0, _before(counts[d - 1]), 0)
+                open_ = np.flatnonzero(whole)
+                values, first, at = np.unique(context[open_], return_index=True, return_inverse=True)
+                here = np.flatnonzero((counts[d][open_] > 0) & (found["once"][open_] > 0))
+                here = here[np.unique(pair[open_[here]], return_index=True)[1]]
+                i = open_[here]
+                n = counts[d][i].astype(float)
+                gain = 2 * n * np.log(n / whole[i] / (counts[d - 1][i] / above[i]))
+                add = lambda x: np.bincount(at[here], x, len(values))  # noqa: B023, E731
+                parent = _pairs(h, of, d - 1)[0] if d > 1 else np.zeros(len(h), np.uint64)
+                k = open_[first]
+                columns = [np.full(len(k), left["slice"][0].as_py(), np.int32), np.full(len(k), d, np.int32), values.view(np.int64), parent[k].view(np.int64),
+                           whole[k].astype(np.int64), add(None).astype(np.int64), add(n).astype(np.int64), add(gain).astype(float)]
+                parts.append(pa.table(dict(zip(names, map(pa.array, columns), strict=True))))
+        return pa.concat_tables(parts)
+
+    names = [x.split()[0] for x in _ASKED.split(", ")]
+    types = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]] for x in _ASKED.split(", ")]
+    return run
+
+
+def _told(sent: DataFrame, least: float, name: str) -> DataFrame:
+    """The sums of what slices sent (slice, h, n), told to each sender: slice, h, c, and once (true for one sender that has counted any)."""
+    sent = sent.repartition("h")
+    sums = sent.groupBy("h").agg(F.sum("n").alias("c"), F.min(F.when(F.col("n") > 0, F.col("slice"))).alias("first")).filter(F.col("c") >= least)
+    # n is kept so that both sides of the join read the same exchange
+    return written(sent.join(sums.hint("shuffle_hash"), "h").select("slice", "h", "n", "c", F.coalesce(F.col("slice") == F.col("first"), F.lit(False)).alias("once")), name)
+
+
+def _with(left: DataFrame, right: DataFrame, f, schema: str) -> DataFrame:
+    return left.groupBy("slice").cogroup(right.groupBy("slice")).applyInArrow(f, schema)
+
+
+def _tree(sliced: DataFrame, root: DataFrame, total: int, depth: int, least: float, g_least: float) -> DataFrame:
+    """What each slice needs of the tree: level, h (symbol at level 0, pair, or retained context), c (its count), and kinds and held of contexts only."""
+    levels = [root.filter(F.col("c") >= least)]
+    for d in range(1, depth + 1):
+        levels.append(_told(_with(sliced, levels[-1].select("slice", "h", "c"), _slice_pairs(d), _SENT), least, f"pairs{d}"))
+    pairs = reduce(DataFrame.union, [x.select("slice", F.lit(d).alias("level"), "h", "c", "once") for d, x in enumerate(levels)])
+    asked = written(_with(sliced, pairs, _slice_contexts(depth, total), _ASKED), "contexts")
+    tree = written(asked.groupBy("h", "level").agg(F.min("parent").alias("parent"), *[F.sum(c).alias(c) for c in ("kinds", "held", "gain")]).filter("kinds > 0"), "tree")
+    kept: list[DataFrame] = []
+    for d in range(depth, 0, -1):
+        level = tree.filter(F.col("level") == d)
+        clear = F.abs("gain") >= g_least
+        if kept:
+            needed = kept[-1].select(F.col("parent").alias("h")).distinct().withColumn("needed", F.lit(True))
+            level = level.join(needed, "h", "left").filter(clear | F.col("needed")).drop("needed")
+        else:
+            level = level.filter(clear)
+        kept.append(written(level.select("level", "h", "parent", "kinds", "held"), "kept"))
+    retained = reduce(DataFrame.union, kept).select("level", "h", "kinds", "held")
+    told = asked.select("slice", "level", "h", F.col("total").alias("c")).join(retained, ["level", "h"]).select("slice", "level", "h", "c", "kinds", "held")
+    none = F.lit(None).cast("long")
+    return root.select("slice", F.lit(0).alias("level"), "h", "c", none.alias("kinds"), none.alias("held")).union(
+        pairs.filter("level > 0").select("slice", "level", "h", "c", none, none)).union(told)
+
+
+def grow(texts: DataFrame, total: int, root: dict[int, int], depth: int = DEPTH, least: float = LEAST, g_least: float = G_LEAST) -> pa.Table:
+    """The retained tree of a few texts, which are one slice, for :class:`Tree`; ``root`` has the counts of their symbols."""
+    sliced = texts.select("text", F.lit(True).alias("train"), F.lit(0).alias("slice"))
+    counts = texts.sparkSession.createDataFrame(list(root.items()), "h long, c long").select(F.lit(0).alias("slice"), "h", "c", F.lit(True).alias("once"))
+    return _tree(sliced, counts, total, depth, least, g_least).toArrow()
+
+
+def _scores(total: int, kinds: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         h, of, n = symbols(left["text"])
-        known = _uint(right["h"]) if right.num_rows else NONE
-        order = np.argsort(known)
-        known = known[order]
-        count = np.zeros(len(h), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            count = np.where(known[at] == h, right["c"].to_numpy().astype(np.int64)[order][at], 0)
+        symbol = _of_level(right, 0)
+        count = _Table(symbol["h"], c=symbol["c"])(h)["c"]
         root = (count + 1) / (total + kinds + 1)
-        p = tree.probabilities(h, of, root)
+        p = Tree(right).probabilities(h, of, root)
         add = lambda x: pa.array(np.bincount(of, x, n))
         whole = lambda x: pa.array(np.bincount(of, x, n).astype(np.int64))
         return pa.table({"doc_id": left["doc_id"], "train": left["train"], "n_tokens": whole(None), "n_known": whole(count > 0),
@@ -254,17 +264,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (part != held_out).alias("train"), F.col(text_col).alias("text"),
                        F.pmod(F.xxhash64(row_key(id_col)), F.lit(n_slices)).cast("int").alias("slice"))
     sliced = rows.repartition("slice")
-    sent = sliced.groupBy("slice").applyInArrow(_slice_counts, "slice int, h long, n long").repartition("h")
-    sums = sent.groupBy("h").agg(F.sum("n").alias("c"), F.min("slice").alias("first"))
-    # n is kept so that both sides of the join read the same exchange
-    back = written(sent.join(sums.hint("shuffle_hash"), "h").select(
-        "slice", "h", "n", "c", (F.col("slice") == F.col("first")).alias("once")), "symbols")
-    size = back.filter("once AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # blocks must be large for their shares to tell; fewer, larger partitions where the input has small ones
-    texts = rows.filter("train").select("text").coalesce(max(1, int(size["n"]) // BLOCK_WORDS))
-    frequent = back.filter("once").filter(F.col("c") >= least * max(1, size["n"])).select("h", "c").toPandas()
-    root = dict(zip(frequent["h"].tolist(), frequent["c"].tolist(), strict=True))
-    tree = Tree(grow(texts, size["n"], root, depth, least, g_least) if size["n"] else [])
-    out = sliced.groupBy("slice").cogroup(back.select("slice", "h", "c").groupBy("slice")).applyInArrow(
-        _scores(tree, size["n"], size["v"]), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    root = _told(sliced.groupBy("slice").applyInArrow(_slice_counts, _SENT), 0, "symbols")
+    size = root.filter("once").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    told = _tree(sliced, root, size["n"], depth, least, g_least)
+    out = _with(sliced, told, _scores(size["n"], size["v"]), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -284,6 +284,15 @@ def test_suffix_tree_probabilities_sum_to_one(spark):
         assert math.isclose(p, 1, rel_tol=1e-9)
 
 
+def test_suffix_tree_keeps_what_is_attested_however_large_the_corpus(spark):
+    phrase = [(7 * i, "zeta eta theta") for i in range(12)]
+    base = lambda r: r["score"] - r["base_score"]
+    for filler in (20, 1400):
+        rows = phrase + [(1_000_000 + i, " ".join(["alpha beta gamma"] * 350)) for i in range(filler)]
+        got = suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), slice_rows=200).filter("doc_id < 1000000").collect()
+        assert len(got) == 12 and all(base(r) > 8 for r in got), filler
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

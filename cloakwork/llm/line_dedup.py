@@ -2,7 +2,8 @@
 
 Rule: a line goes if a line that stands earlier (smaller document id, then place) is equal or at
 most ``edits`` insertions, deletions or substitutions away.  Lines shorter than ``shortest``
-characters, and lines without a word, always stay.
+characters are near to none, for two edits are much of them; those shorter than ``equal_from``
+characters (``shortest`` unless given), and lines without a word, always stay.
 
 Method: equal lines are reduced to their first occurrence.  A distinct line is cut into edits + 1
 segments; of two lines within the distance, one segment of the shorter occurs unchanged in the
@@ -141,15 +142,17 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return rows.repartition("d"), rows
 
 
-def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text",
+               equal_from: int | None = None) -> DataFrame:
     """The docs' columns in ``doc``, with ``lines`` (array), ``kept`` (places from 0), ``n_equal`` and ``n_near`` (lines removed)."""
+    equal_from = shortest if equal_from is None else equal_from
     base, read = _documents(docs, id_col, text_col)
     # all that follows is one plan: its exchanges of texts, lines and keys are shared by the branches that need them
     text = base.select("d", F.element_at("pack", 1)[text_col].alias("text"))
-    lines = read.select("d", F.posexplode(_lines(F.element_at("pack", 1)[text_col])).alias("pos", "line")).filter(_counts(F.col("line"), shortest))
+    lines = read.select("d", F.posexplode(_lines(F.element_at("pack", 1)[text_col])).alias("pos", "line")).filter(_counts(F.col("line"), equal_from))
     firsts = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(
-        F.min(F.struct("d", "pos")).alias("f")).select("f.*")
-    mine = _picked(text, firsts.groupBy("d").agg(F.collect_list("pos").alias("places")))
+        F.min(F.struct("d", "pos")).alias("f"), F.first(F.length("line")).alias("n")).select("f.*", "n")
+    mine = _picked(text, firsts.filter(F.col("n") >= shortest).groupBy("d").agg(F.collect_list("pos").alias("places")))
     stored, looked = segment_keys(F.col("line"), F.col("n"), edits)
     # keys are columns of their own first: inside the generator they would be interpreted
     keyed = mine.select("d", "pos", letter_counts(F.col("line"), F.col("n")).alias("counts"), F.array(*stored, *looked).alias("keys")).select(
@@ -165,7 +168,7 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id
     places = firsts.join(near, ["d", "pos"], "left").groupBy("d").agg(
         F.collect_list(F.when(F.col("near").isNull(), F.col("pos"))).alias("places"), F.count("near").alias("n_near"))
     joined = base.join(places.hint("shuffle_hash"), "d", "left").withColumn("doc", F.element_at("pack", 1))
-    free = F.filter(F.transform("lines", lambda x, i: F.when(_counts(x, shortest), -1).otherwise(i)), lambda i: i >= 0)
+    free = F.filter(F.transform("lines", lambda x, i: F.when(_counts(x, equal_from), -1).otherwise(i)), lambda i: i >= 0)
     kept = F.array_sort(F.array_union(free, F.coalesce("places", F.array().cast("array<int>"))))
     out = joined.withColumn("lines", F.coalesce(_lines(F.col("doc")[text_col]), F.array().cast("array<string>"))).withColumn("kept", kept)
     near_here = F.coalesce("n_near", F.lit(0))
@@ -200,8 +203,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, i
     return out.select(F.col(f"doc.{id_col}").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), "n_equal", "n_near", kept_text().alias("kept"))
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text",
+                    equal_from: int | None = None) -> DataFrame:
     """The documents with their columns, repeated lines removed from the text."""
-    out = kept_lines(docs, edits, shortest, id_col, text_col)
+    out = kept_lines(docs, edits, shortest, id_col, text_col, equal_from)
     text = F.when(F.col(f"doc.{text_col}").isNotNull(), kept_text())
     return out.select(*[(text if c == text_col else F.col(f"doc.{c}")).alias(c) for c in docs.columns])

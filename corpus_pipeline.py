@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand (or nearly stand) earlier in the corpus; every document stays."""
-    return line_dedup.without_repeats(docs)
+    """Texts without lines that stand (of 16 characters and more: or nearly stand) earlier in the corpus; every document stays."""
+    return line_dedup.without_repeats(docs, equal_from=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,6 +340,16 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_pipeline_removes_equal_lines_of_any_length(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = "a line of some length here"
+    rows = [(1, f"Les.\n\n{long}\nLes!\n--", "a"), (2, f"Les.\nx\n\n{long}s\n--", "b"), (3, "x\nLes.\nLes", "c"), (4, None, "d"), (5, "x", "e")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in pipeline.lines(spark, t, "").collect()}
+    assert got == {1: f"Les.\n\n{long}\nLes!\n--", 2: "x\n", 3: "Les", 4: None, 5: ""}
+    assert {r["doc_id"]: r["n_equal"] for r in line_dedup.dedup_lines(t).collect()} == dict.fromkeys(range(1, 6), 0)
+
+
 def test_toxicity(spark, docs, none):
     rnd = random.Random(4)
     mild, foul = ["tree", "river", "stone", "cloud", "quiet"], ["idiot", "worthless", "zorblax"]

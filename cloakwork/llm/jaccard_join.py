@@ -1,7 +1,8 @@
 """Near-duplicate documents by n-gram Jaccard similarity: MinHash LSH forest, then exact verification.
 
 1. Each text becomes the set of its word n-grams (a text with fewer words: one gram of all words)
-   and a MinHash signature.  Texts with equal sets are one class; only its first document goes on.
+   and a MinHash signature.  Texts with equal sets are one node, named by a hash of the set; only
+   the text of its first row (by id, then hash of the text) goes on.
 2. Every tree of the forest labels a signature with ``DEPTH`` hash values of its own.  Prefixes of
    the labels are shortened, level by level, until the recall expected at the threshold reaches the
    target; signatures that share a prefix of that length in some tree, sorted by their labels, are
@@ -16,9 +17,9 @@ pairs.
 Links join documents of similarity ``threshold`` or more; copies (equal sets) count as links of each
 other.  A class is a connected component of links, named by its smallest document id.
 
-Cases: texts without a word have no grams and are alone; null ids count as the largest id; rows with
-the same id are one document for the class but count as links; ties cannot change classes; empty
-tables give empty results; only the named columns are read.
+Cases: texts without a word have no grams and are alone; null ids count as the largest id; rows that
+share an id, or have none, are documents of their own, with the classes of their texts, and count as
+links; ties cannot change classes; empty tables give empty results; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def gram_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(size: int):
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("sig", pa.binary())])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(batch.column("text"))
@@ -81,7 +82,7 @@ def _signatures(size: int):
             for i, (a, x) in enumerate(zip(_ODD, _XOR, strict=True)):
                 sig[some, i] = np.minimum.reduceat((low ^ x) * a, starts)
             h[some], g[some] = np.add.reduceat(grams, starts), np.bitwise_xor.reduceat(grams * np.uint64(0x9FB21C651E98DF25), starts)
-        return pa.record_batch([batch.column("key"), pa.array(n), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)),
+        return pa.record_batch([batch.column("key"), batch.column("t"), pa.array(n), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)),
                                 pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
 
     def run(batches):
@@ -212,14 +213,14 @@ def _block_pairs(rows: DataFrame, group: str, size_col: str, block: int) -> Data
         "*", "p.i", "p.j", F.col("own").alias("side")).drop("blocks", "own", "p")
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL,
-                    id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (smallest id of the class), n_links (other documents at the threshold or above)."""
-    base = docs.select(row_key(id_col).alias("key"), F.col(text_col).alias("text"))
-    signed = written(base.mapInArrow(_signatures(size), "key long, n long, h long, g long, sig binary"), "signatures")
-    sets = written(signed.filter("n > 0").groupBy("h", "g", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "sets")
-    reps = signed.join(sets.withColumnRenamed("rep", "key"), ["key", "h", "g", "n"]).select(
-        F.col("key").alias("rep"), "copies", "sig").dropDuplicates(["rep"])
+def _classes(docs: DataFrame, size: int, threshold: float, recall: float, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with key, t (hash of the text), h, g, n (their gram set), and gram sets with first (their first row), label (of the class) and links."""
+    base = docs.select(row_key(id_col).alias("key"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    signed = written(base.mapInArrow(_signatures(size), "key long, t long, n long, h long, g long, sig binary"), "signatures")
+    sets = written(signed.filter("n > 0").groupBy("h", "g", "n").agg(F.min(F.struct("key", "t")).alias("first"), F.count("*").alias("copies")).select(
+        F.xxhash64("h", "g", "n").alias("rep"), "*"), "sets")
+    reps = signed.join(sets.select("rep", "copies", "first.*", "h", "g", "n"), ["key", "t", "h", "g", "n"]).select(
+        "rep", "copies", "sig").dropDuplicates(["rep"])
 
     depth = prefix_length(threshold, recall)
     prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * depth)) for t in range(TREES)])
@@ -232,27 +233,38 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     clusters = written(components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
 
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    texts = clusters.join(sizes, "cluster").join(sets.select("rep", "copies"), "rep").join(
-        base.withColumnRenamed("key", "rep").dropDuplicates(["rep"]), "rep")
+    texts = clusters.join(sizes, "cluster").join(sets.select("rep", "copies", "first.*"), "rep").join(
+        base.dropDuplicates(["key", "t"]), ["key", "t"])
     blocks = _block_pairs(texts, "cluster", "m", block).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     linked = written(blocks.select("cluster", "i", "j", "side", "rep", "copies", "text").mapInArrow(
         _links(size, threshold), "a long, b long, links long"), "links")
-    classes = components(linked.select("a", "b")).select(F.col("node").alias("rep"), F.col("label").alias("class"))
+    classes = components(linked.select("a", "b")).select(F.col("node").alias("rep"), "label")
     links = linked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     known = sets.join(classes, "rep", "left").join(links, "rep", "left").select(
-        "h", "g", "n", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    named = signed.select("key", "h", "g", "n").join(known, ["h", "g", "n"], "left")
+        "h", "g", "n", "first", F.coalesce("label", "rep").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return signed.select("key", "t", "h", "g", "n"), known
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL,
+                    id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (smallest id of the class), n_links (other documents at the threshold or above)."""
+    rows, known = _classes(docs, size, threshold, recall, id_col, text_col, block)
+    known = written(known, "classes")
+    ids = known.groupBy("label").agg(F.min("first.key").alias("class"))
+    named = rows.join(known.join(ids, "label").select("h", "g", "n", "class", "links"), ["h", "g", "n"], "left")
     real = lambda c: F.when(c != LAST_ID, c)
     return named.select(real(F.col("key")).alias("doc_id"), real(F.coalesce("class", "key")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, with their columns, of which one of each class stays: the one with the smallest id.
+def one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL,
+                id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The documents, with their columns, of which one of each class stays: the first by id, then hash of the text.
 
-    Of rows that share id and text one stays; rows that share an id (or have none) but not the text all count as it.
+    Of rows that share id and text one stays; so of texts without a word, which are alone.
     """
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("_key")).distinct()
-    kept = docs.withColumn("_own_key", row_key(id_col)).join(stay, F.col("_own_key") == F.col("_key"), "left_semi")
+    rows, known = _classes(docs, size, threshold, recall, id_col, text_col, block)
+    first = known.groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    stay = first.union(rows.filter("n = 0").select("key", "t").distinct()).select(F.col("key").alias("_key"), F.col("t").alias("_t"))
+    kept = docs.withColumn("_own_key", row_key(id_col)).withColumn("_own_t", F.xxhash64(text_col)).join(
+        stay, (F.col("_own_key") == F.col("_key")) & (F.col("_own_t") == F.col("_t")), "left_semi")
     return kept.dropDuplicates(["_own_key", text_col]).select(*docs.columns)

@@ -85,12 +85,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     A text with no word stays in the mix once.
     """
     taken = mix(docs, id_col, source_col, text_col, **how)
-    same = Window.partitionBy("doc_id").orderBy("size", "taken")
-    numbered = taken.select(F.col("doc_id").alias("_mix_id"), F.row_number().over(same).alias("_mix_no"), "size", "taken").select(
-        "_mix_id", "_mix_no", F.struct("size", "taken").alias("_mix"))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
-    here = docs.withColumn("_row_no", F.row_number().over(Window.partitionBy(id_col).orderBy(size)))
-    both = here.join(numbered, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_row_no") == F.col("_mix_no")))
+    # rows of one id, source and size are numbered on both sides; which of them takes which share is all one
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("taken")
+    numbered = taken.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.row_number().over(same).alias("_mix_no"),
+                            F.struct("size", "taken").alias("_mix"))
+    here = docs.withColumn("_row_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    here = here.withColumn("_row_no", F.row_number().over(Window.partitionBy(id_col, source_col, "_row_size").orderBy(F.xxhash64(text_col))))
+    both = here.join(numbered, F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source"))
+                     & (F.col("_row_size") == F.col("_mix.size")) & (F.col("_row_no") == F.col("_mix_no")))
     size, words = F.col("_mix.size"), F.col("_mix.taken")
     whole = F.when(size == 0, F.lit(1)).otherwise(F.floor(words / size)).cast("int")
     cut = F.when(size == 0, F.lit(0)).otherwise(words % size)

@@ -149,6 +149,31 @@ def test_jaccard_join(docs, none, rows):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_jaccard_join_tells_rows_that_share_an_id_apart(spark):
+    rnd = random.Random(8)
+    say = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(5, a), (None, a + " end"), (None, b), (None, c), (None, c + " end"), (7, d), (7, e), (8, d + " end"), (9, e + " end"), (9, e)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(t).collect())
+    assert got == Counter({(5, 5, 1): 1, (None, 5, 1): 1, (None, None, 0): 1, (None, None, 1): 2, (7, 7, 1): 1, (7, 7, 2): 1, (8, 7, 1): 1, (9, 7, 2): 2})
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(t).collect())
+    one_c = next(x for i, x in kept if i is None and x.startswith(c))
+    assert kept == Counter({(5, a): 1, (None, b): 1, (None, one_c): 1, (7, d): 1, (7, e): 1})
+
+
+def test_mix_takes_rows_that_share_an_id_by_source(spark):
+    rows = [(None, f"{s}{i} x y z", s) for s in "abc" for i in range(10)] + [(None, f"{s} one two", s) for s in "cab"]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix(t).collect():
+        want[r["source"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed_documents(t).collect():
+        got[r["source"]] += len(words(r["text"]))
+    assert got == +want
+
+
 def test_prefix_length_keeps_the_recall():
     d = jaccard_join.prefix_length(0.8)
     assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES

@@ -1,12 +1,12 @@
-"""Near-duplicate documents by n-gram Jaccard similarity: MinHash LSH forest, then exact verification.
+"""Near-duplicate documents by n-gram Jaccard similarity: MinHash banding, then exact verification.
 
 1. Each text becomes the set of its word n-grams (a text with fewer words: one gram of all words)
    and a MinHash signature.  Texts with equal sets are one node, named by a hash of the set; only
    the text of its first row (by id, then hash of the text) goes on.
-2. Every tree of the forest labels a signature with ``DEPTH`` hash values of its own.  Prefixes of
-   the labels are shortened, level by level, until the recall expected at the threshold reaches the
-   target; signatures that share a prefix of that length in some tree, sorted by their labels, are
-   candidates.  An estimate from the whole signature, with a margin of five standard errors, drops
+2. Each of ``TREES`` bands labels a signature with ``DEPTH`` hash values of its own.  The prefix of a
+   label that counts has one fixed length, the longest at which the recall expected at the threshold
+   reaches the target; signatures that share a prefix in some band are candidates.
+   An estimate from the whole signature, with a margin of five standard errors, drops
    chance meetings.
 3. Candidates that hang together are verified exactly on their gram sets.
 

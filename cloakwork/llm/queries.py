@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_tree_lm, toxicity, url_filter
+from cloakwork.llm import (
+    ann, bpe, decontaminate, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_tree_lm, toxicity, turn_repair, url_filter,
+    whitening,
+)
 
 Call = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -183,6 +186,82 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
 
 
+# ----------------------------------------------------------------------------- conversation repair
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII text."""
+    step = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda y: ord(y)::BIGINT)), lambda c, b: {step}), 4294967295)"""
+
+
+def _sql11() -> str:
+    after = {"s0": "s2", "s1": "s2", "s2": "s3", "s3": "s2"}
+    way = lambda v, cost, letter: f"{{'c': {v}.c + {cost}, 'a': '{letter}' || {v}.a}}"
+    rows, ins = [], []
+    for s, t in after.items():
+        stay = f"CASE WHEN initial = 'a' THEN {way('s3', 'more', 'K')} END" if s == "s2" else f"CASE WHEN initial = 'u' THEN {way('s2', 'more', 'K')} END"
+        if s == "s0":
+            stay = f"CASE initial WHEN 's' THEN {way('s1', 'more', 'K')} WHEN 'u' THEN {way('s2', 'more', 'K')} END"
+        rows.append(f"list_min([{way(s, 4, 'D')}, CASE WHEN NOT must_go THEN {stay} END, CASE WHEN NOT must_go THEN {way(t, '3 + more', 'R')} END]) AS {s}")
+        ins.append(f"list_min([{s}, {way(t, 3, 'I')}, {way(after[t], 6, 'II')}]) AS {s}")
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, {sql_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '{WORD}') AS blank,
+    right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS cut FROM d),
+f AS (SELECT *, blank OR again AS must_go, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS more,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair, count(*) OVER (PARTITION BY conv_id) AS rows FROM n),
+p AS (SELECT conv_id, rows + 1 AS i, {{'c': 0, 'a': ''}} AS s0, {{'c': 6, 'a': 'II'}} AS s1, {{'c': 3, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3 FROM f WHERE i = 1
+  UNION ALL SELECT conv_id, i, {', '.join(ins)} FROM (SELECT f.conv_id, f.i, {', '.join(rows)} FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i = f.i + 1)),
+b AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM p WHERE i = 1),
+l AS (SELECT conv_id, at, letter, CASE WHEN letter <> 'I' THEN count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY at) END AS i
+  FROM (SELECT conv_id, at, audit[at] AS letter FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS at FROM b))),
+o AS (SELECT l.conv_id, at, letter, f.role, coalesce(f.text, '') AS text, row_number() OVER (PARTITION BY l.conv_id ORDER BY at) AS j,
+    first_value(letter = 'K' AND f.initial = 's') OVER (PARTITION BY l.conv_id ORDER BY at) AS led
+  FROM l LEFT JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i WHERE letter <> 'D'),
+r AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j % 2 = 1) <> led THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY at) AS turns
+  FROM o GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (more = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(turns, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+# ----------------------------------------------------------------------------- whitening
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+# ----------------------------------------------------------------------------- benchmark passages
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def _sql13(width: int = decontaminate.WINDOW) -> str:
+    split = (f"list_filter(string_split_regex(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), "
+             "'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+    return f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {split} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), {width}) AS k, array_to_string(w[p:p + {width - 1}], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT doc_id, {split} AS w FROM documents)),
+h AS (SELECT r, p, k, item FROM (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+    FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)) JOIN g USING (k, g)),
+n AS (SELECT r, count(DISTINCT p + q) AS n_hit FROM h, range({width}) t(q) WHERE q < k GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)"""
+
+
 QUERIES: dict[str, Call] = {
     "op1_substring_dedup": op1,
     "op2_url_filter": op2,
@@ -194,6 +273,9 @@ QUERIES: dict[str, Call] = {
     "op8_suffix_tree": op8,
     "op9_line_dedup": op9,
     "op10_toxicity": op10,
+    "op11_turn_repair": op11,
+    "op12_whitening": op12,
+    "op13_decontaminate": op13,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SQL1,
@@ -201,4 +283,6 @@ ORACLES: dict[str, str] = {
     "op5_source_mix": SQL5,
     "op7_quality_rules": SQL7,
     "op9_line_dedup": SQL9,
+    "op11_turn_repair": _sql11(),
+    "op13_decontaminate": _sql13(),
 }

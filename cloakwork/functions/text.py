@@ -31,6 +31,37 @@ def pin(col: Column) -> Column:
     return F.when(F.rand(0) + 1.0 > 0.5, col)
 
 
+def prefix_fold(items: Column, zero: Column, step: Callable[[Column, Column], Column],
+                emit: Callable[[Column, Column], Column], out_type: str) -> Column:
+    """``emit(state, item)`` for every item, where ``state`` folds the items up to and with it.
+
+    An array that grows along a fold is copied at each step, so the items are folded in blocks of
+    about the square root of their number: the states between blocks first, then each block for itself.
+    """
+    def of(b: Column) -> Column:
+        def block(k: Column) -> Column:
+            return F.slice(b["items"], k * b["width"] + 1, b["width"])
+
+        between = F.aggregate(
+            F.filter(F.sequence(F.lit(0), F.greatest(b["blocks"] - 2, F.lit(0))), lambda k: k < b["blocks"] - 1),
+            F.struct(zero.alias("state"), F.array(zero).alias("out")),
+            lambda a, k: let(F.aggregate(block(k), a["state"], step), lambda s: F.struct(
+                s.alias("state"), F.concat(a["out"], F.array(s)).alias("out"))),
+            lambda a: a["out"])
+        return F.flatten(F.transform(between, lambda start, k: F.aggregate(
+            block(k), F.struct(start.alias("state"), F.array().cast(out_type).alias("out")),
+            lambda a, x: let(step(a["state"], x), lambda s: F.struct(
+                s.alias("state"), F.concat(a["out"], F.array(emit(s, x)).cast(out_type)).alias("out"))),
+            lambda a: a["out"])))
+
+    def sized(x: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        return let(width, lambda w: let(F.struct(
+            x.alias("items"), w.alias("width"), F.ceil(F.size(x) / w).cast("int").alias("blocks")), of))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, sized(x)).otherwise(F.array().cast(out_type)))
+
+
 def trim_ws(col: Column) -> Column:
     """Strip leading and trailing ECMAScript white space."""
     return F.regexp_replace(col, rf"^[{fixed.WS}]+|[{fixed.WS}]+$", "")

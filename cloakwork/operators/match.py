@@ -3,12 +3,14 @@
 The cost per text does not grow with the registry.  Each form is represented by one *anchor*:
 its links of three (else two) neighbouring words, edge words cut to their inner three
 characters, the one rarest in the registry; for a single-word form the rarest 8-, 4-, 2- or
-1-character gram.  A text can only contain the form if it contains the anchor, so anchors select
-candidates and only those are scanned for real.  Two exact physical ways:
+1-character gram.  A word of 15 characters and more is anchored by its first eight 8-grams at once:
+the text then needs to be cut into 8-blocks only, because one of eight neighbouring grams starts a
+block.  A text can only contain the form if it contains an anchor, so anchors select candidates and
+only those are scanned for real.  Two exact physical ways:
 
 * inline - a registry of checked size travels as one broadcast row; texts never move;
-* join - any size: distinct text grams meet the anchors in an equi-join, candidates return to
-  their text by key.
+* join - any size: a Bloom filter of the anchors drops the other grams inside the row, what is left
+  meets the anchors in an equi-join, candidates return to their text by key.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions.predicates import is_case_expandable, is_lowercase_single_word
 from cloakwork.functions.text import flexible_pattern, key_fold, let, pin
+from cloakwork.operators.prefilter import KeyFilter
 from cloakwork.operators.spans import mark_safe, scan
 
-CLASSES = (-3, -2, 8, 4, 2, 1)  # anchor classes, most selective first
+BLOCKS = 88                   # class of 8-grams at every eighth character
+_BLOCK = 8
+CLASSES = (-3, -2, BLOCKS, 8, 4, 2, 1)  # anchor classes, most selective first
 _EDGE = 3                     # characters either side of a word gap
 _LONG_RUN = 128
 INLINE_FORMS = 4_000          # forms that may travel in the broadcast row
 INLINE_BYTES = 2_000_000      # and their total value bytes
-_ANCHOR_POSITIONS = 64        # anchor choice looks at the head of each run
 
 FORM_DEFAULTS = {
     "entity_id": None, "entity_type": None, "protection_kind": "literal", "canonical": None,
@@ -94,16 +98,24 @@ def _grams(run: Column, size: int) -> Column:
     return F.when(F.length(run) > _LONG_RUN, long).otherwise(short)
 
 
-def _word_grams(words: Column, size: int, head: int | None = None) -> Column:
-    long_enough = F.filter(words, lambda w: F.length(w) >= size)
-    return F.flatten(F.transform(
-        long_enough, lambda w: _grams(w if head is None else F.substring(w, 1, head), size)))
+def _word_grams(words: Column, size: int) -> Column:
+    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: _grams(w, size)))
+
+
+def _blocks(words: Column) -> Column:
+    """Hashes of the 8-blocks of words that are long enough to hold eight neighbouring 8-grams."""
+    cut = rf"(?s)(.{{{_BLOCK}}})"
+    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2 * _BLOCK - 1), lambda w: F.transform(
+        F.regexp_extract_all(w, F.lit(cut), F.lit(1)), lambda g: F.xxhash64(g))))
 
 
 def text_anchors(text: Column, classes: Sequence[int]) -> Column:
     """Anchor hashes of a text for the given classes (negative: words linked, positive: gram size)."""
+    def of_class(words: Column, c: int) -> Column:
+        return _links(words, -c) if c < 0 else _blocks(words) if c == BLOCKS else _word_grams(words, c)
+
     def of_words(words: Column) -> Column:
-        parts = [_links(words, -c) if c < 0 else _word_grams(words, c) for c in classes]
+        parts = [of_class(words, c) for c in classes]
         return F.concat(*parts) if parts else F.array().cast("array<bigint>")
     return let(_split_words(key_fold(text)), of_words)
 
@@ -114,26 +126,33 @@ def _form_anchors(value: Column) -> Column:
         longest = F.array_max(F.transform(words, lambda w: F.length(w)))
         cls, keys = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.array().cast("array<bigint>"))
         for c in CLASSES:
-            found = _form_links(words, -c) if c < 0 else _word_grams(words, c, _ANCHOR_POSITIONS)
-            usable = F.size(found) > 0 if c < 0 else longest >= c
+            if c == BLOCKS:
+                # all eight are needed: which of them starts a block depends on the text
+                first = F.get(F.filter(words, lambda w: F.length(w) >= 2 * _BLOCK - 1), F.lit(0))
+                found, usable = F.slice(_grams(first, _BLOCK), F.lit(1), F.lit(_BLOCK)), longest >= 2 * _BLOCK - 1
+            else:
+                found = _form_links(words, -c) if c < 0 else _word_grams(words, c)
+                usable = F.size(found) > 0 if c < 0 else longest >= c
             cls, keys = cls.when(usable, F.lit(c)), keys.when(usable, found)
         return F.struct(cls.alias("cls"), F.array_distinct(keys).alias("keys"))
     return let(F.filter(_split_words(key_fold(value)), lambda w: w != ""), pick)
 
 
 def anchored(forms: DataFrame) -> DataFrame:
-    """Add ``cls`` (anchor class) and ``anchor`` (hash of the form's rarest anchor)."""
+    """Add ``cls`` (anchor class) and ``anchor``: the hash of the form's rarest anchor, or a row for each it needs."""
     cols = forms.columns
     keyed = forms.withColumn("_a", _form_anchors(F.col("value"))).filter("_a.cls is not null")
     pairs = keyed.select(*cols, F.col("_a.cls").alias("cls"), F.explode("_a.keys").alias("_key")).withColumn(
         "_form", F.xxhash64(*cols))
-    counts = pairs.groupBy("_key").agg(F.count("*").alias("_n"))
+    chosen = pairs.filter(F.col("cls") != BLOCKS)
+    counts = chosen.groupBy("_key").agg(F.count("*").alias("_n"))
     best = (
-        pairs.select("_form", "_key").join(counts, "_key")
+        chosen.select("_form", "_key").join(counts, "_key")
         .groupBy("_form").agg(F.min(F.struct("_n", "_key")).alias("_best"))
     )
-    return keyed.select(*cols, F.col("_a.cls").alias("cls"), F.xxhash64(*cols).alias("_form")).join(
+    rarest = keyed.select(*cols, F.col("_a.cls").alias("cls"), F.xxhash64(*cols).alias("_form")).join(
         best, "_form").select(*cols, "cls", F.col("_best._key").alias("anchor"))
+    return rarest.unionByName(pairs.filter(F.col("cls") == BLOCKS).select(*cols, "cls", F.col("_key").alias("anchor")))
 
 
 def may_occur(folded: Column, value: Column) -> Column:
@@ -188,6 +207,7 @@ class Dictionary:
             F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes"),
             F.collect_set("cls").alias("classes")).first()
         self.inline = size["n"] <= inline_forms and (size["bytes"] or 0) <= inline_bytes
+        self.size = size["n"]
         self.empty = size["n"] == 0
         self.classes = sorted(size["classes"])
 
@@ -215,8 +235,8 @@ class Dictionary:
             # bound with let: a pushed-down filter may inline this, and it must run once per text
             picked = let(
                 F.array_intersect("_anchors", self.hashes(F.col(text_col))),
-                lambda hits: F.when(F.size(hits) > 0, F.transform(
-                    F.filter("_forms", lambda f: F.array_contains(hits, f.anchor)), lambda f: f.form)),
+                lambda hits: F.when(F.size(hits) > 0, F.array_distinct(F.transform(
+                    F.filter("_forms", lambda f: F.array_contains(hits, f.anchor)), lambda f: f.form))),
             )
             return joined.withColumn(out, pin(F.coalesce(picked, none))).drop("_one", "_dict", "_anchors", "_forms")
         found = self.candidate_rows(df, keys, text_col).groupBy(*keys).agg(F.collect_set("form").alias(out))
@@ -224,8 +244,8 @@ class Dictionary:
 
     def candidate_rows(self, df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
         """(keys, form) pairs by an equi-join of distinct text grams with the anchors."""
-        grams = df.select(*keys, pin(F.array_distinct(self.hashes(F.col(text_col)))).alias("_as")).select(
-            *keys, F.explode("_as").alias("anchor"))
+        maybe = KeyFilter(self.anchored, "anchor", self.size).keep(df.select(*keys, text_col), self.hashes(F.col(text_col)), "_as")
+        grams = maybe.select(*keys, pin(F.array_distinct("_as")).alias("_as")).select(*keys, F.explode("_as").alias("anchor"))
         return grams.join(self.anchored.select("anchor", form_struct().alias("form")), "anchor").drop("anchor")
 
     def occurrences(self, df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
@@ -238,23 +258,35 @@ class Dictionary:
         )
 
 
-def match_scoped(df: DataFrame, keys: Sequence[str], text_col: str, forms: DataFrame, scope: Sequence[str],
-                 turn: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
-    """Occurrences of forms that belong to the text's own scope (``scope`` columns on both sides).
+def scoped_candidates(df: DataFrame, keys: Sequence[str], text_col: str, forms: DataFrame, scope: Sequence[str],
+                      turn: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
+    """(keys, carried columns, form) of forms whose anchor occurs in a text of their own scope.
 
-    ``keep`` is a residual condition over form columns and the text's ``turn`` columns.  Texts
-    meet only forms whose anchor they contain, never all forms of their scope.
+    Texts meet only forms whose anchor they contain, never all forms of their scope; anchor classes
+    that no form has are not looked for.
     """
     carried = [c for c in forms.columns if c not in {*scope, "value", *FORM_DEFAULTS}]
-    full = with_form_defaults(forms)
-    prepared = anchored(full.select(*scope, *carried, "value", *FORM_DEFAULTS).distinct())
+    prepared = anchored(with_form_defaults(forms).select(*scope, *carried, "value", *FORM_DEFAULTS).distinct())
+    prepared = prepared.withColumn("_at", F.xxhash64("anchor", *scope))
+    size = prepared.agg(F.count("*").alias("n"), F.collect_set("cls").alias("classes")).first()
     own = [*keys, *[c for c in scope if c not in keys], *[c for c in turn if c not in keys]]
-    grams = df.select(*own, pin(F.array_distinct(text_anchors(F.col(text_col), CLASSES))).alias("_as")).select(
-        *own, F.explode("_as").alias("anchor"))
-    hit = grams.join(prepared, [*scope, "anchor"]).drop("anchor", "cls")
+    hashes = F.transform(text_anchors(F.col(text_col), sorted(size["classes"])), lambda a: F.xxhash64(a, *[F.col(c) for c in scope]))
+    maybe = KeyFilter(prepared, "_at", size["n"]).keep(df.select(*own, text_col), hashes, "_as")
+    grams = maybe.select(*own, pin(F.array_distinct("_as")).alias("_as")).select(*own, F.explode("_as").alias("_at"))
+    hit = grams.join(prepared, [*scope, "_at"]).drop("anchor", "cls", "_at")
     if keep is not None:
         hit = hit.filter(keep)
-    found = hit.select(*keys, *carried, form_struct().alias("form")).distinct()
+    return hit.select(*keys, *carried, form_struct().alias("form")).distinct()
+
+
+def match_scoped(df: DataFrame, keys: Sequence[str], text_col: str, forms: DataFrame, scope: Sequence[str],
+                 turn: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
+    """Occurrences of forms that belong to the text's own scope (``scope`` columns on both sides).
+
+    ``keep`` is a residual condition over form columns and the text's ``turn`` columns.
+    """
+    carried = [c for c in forms.columns if c not in {*scope, "value", *FORM_DEFAULTS}]
+    found = scoped_candidates(df, keys, text_col, forms, scope, turn, keep)
     scanned = df.select(*keys, text_col).join(found, list(keys))
     return scanned.select(
         *keys, *carried, pin(expand(F.col(text_col), F.array("form"))).alias("_os")

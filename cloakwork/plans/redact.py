@@ -10,20 +10,19 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
 from cloakwork.functions.surrogates import Surrogates
-from cloakwork.functions.text import (
-    JSON_LITERAL, decode_query, encode_query, json_escape, json_unescape, key_fold, let, mask_json_strings, pin,
-)
-from cloakwork.operators.detect import Rule, detect, findings, first_values
-from cloakwork.operators.match import Dictionary, expand, may_occur
+from cloakwork.functions.text import decode_query, encode_query, json_escape, key_fold, let, mask_json_strings, pin
+from cloakwork.operators.bodies import literals, structural_values
+from cloakwork.operators.detect import FINDING, Rule, findings, first_values
+from cloakwork.operators.match import INLINE_BYTES, INLINE_FORMS, Dictionary, expand, link_anchors, may_occur, short_key
 from cloakwork.operators.paths import PATH_HINT, preserved
 from cloakwork.operators.spans import (
     longest_first, mark_safe, overlaps, priority, resolve_array, scan, splice,
 )
 
-_FORM = (
-    "struct<value:string,entity_id:string,entity_type:string,protection_kind:string,canonical:string,"
-    "boundary:string,name:string,source:string,kind:string,confidence:string,authority:string>"
-)
+_FIELDS = ("value", "entity_id", "entity_type", "protection_kind", "canonical", "boundary", "name", "source", "kind",
+           "confidence", "authority")
+_FORM = "struct<" + ",".join(f"{c}:string" for c in _FIELDS) + ">"
+_LOCATED = f"array<struct<start:int,end:int,value:string,form:{_FORM}>>"
 
 
 def detected_forms(found: Column) -> Column:
@@ -43,8 +42,10 @@ def _claim(start: Column, end: Column, value: Column, form: Column, origin: str)
         "authority": form.authority, "confidence": form.confidence, "source": form.source,
         "entity_id": form.entity_id,
         "detection_source": F.when(form.authority == "registry", "registry").otherwise("detector"),
-        "link_source": F.when(form.authority == "registry", "explicit_form").otherwise("none"),
-        "link_confidence": F.lit(""), "origin": F.lit(origin),
+        "link_source": F.when(form.authority == "registry", "explicit_form").when(
+            form.protection_kind == "entity", "deterministic_alias").otherwise("none"),
+        "link_confidence": F.when((form.authority != "registry") & (form.protection_kind == "entity"), "high").otherwise(""),
+        "origin": F.lit(origin),
     }
     return F.struct(
         priority(start, end, value, attributes.__getitem__).alias("pri"),
@@ -84,10 +85,22 @@ class Redactor:
     max_entities: int = fixed.MAX_ENTITIES
     max_occurrences: int = fixed.MAX_OCCURRENCES
     dictionary: Dictionary | None = field(default=None)
+    inline_links: int = INLINE_FORMS
 
     def __post_init__(self) -> None:
         if self.dictionary is None and self.registry is not None:
             self.dictionary = Dictionary(self.registry)
+        self.links = self._link_table()
+
+    def _link_table(self) -> DataFrame | None:
+        """(key, owner) of registered organizations that one short name belongs to alone, if the registry has any."""
+        if self.dictionary is None:
+            return None
+        entities = self.dictionary.forms.filter("protection_kind = 'entity' and entity_type = 'organization'")
+        found = link_anchors(entities).filter("owners = 1").select("key", "owner")
+        size = found.agg(F.count("*").alias("n"), F.sum(F.octet_length("key") + F.octet_length("owner")).alias("bytes")).first()
+        self.links_inline = size["n"] <= self.inline_links and (size["bytes"] or 0) <= INLINE_BYTES
+        return found if size["n"] else None
 
     # ------------------------------------------------------------------ stages
     def with_candidates(self, df: DataFrame, keys: Sequence[str], text_col: str, out: str) -> DataFrame:
@@ -165,10 +178,9 @@ class Redactor:
         if json_body:
             # the decoded strings, kept apart by an empty line that no match can bridge
             body = F.col(redacted_col)
-            strings = F.array_join(F.transform(
-                scan(mark_safe(body), f"({JSON_LITERAL})"), lambda s: json_unescape(s.value)), "\n\n")
+            strings = F.array_join(F.transform(literals(body), lambda x: x["text"]), "\n\n")
             valid = F.try_parse_json(body).isNotNull()
-            out = out.withColumn("_strings", pin(F.when(valid, strings).otherwise(body)))
+            out = out.withColumn("_strings", pin(strings))
             primitives = F.array_distinct(F.regexp_extract_all(mask_json_strings(body), F.lit(r"([A-Za-z0-9_.+-]+)"), F.lit(1)))
             out = out.withColumn("_numbers", pin(F.when(valid, primitives).otherwise(F.array().cast("array<string>"))))
             # registered values are looked for among strings and among numbers
@@ -221,87 +233,120 @@ class Redactor:
         )).drop("_registry", "_found", "_forms")
 
     # --------------------------------------------------------------- JSON bodies
-    def redact_bodies(self, df: DataFrame, keys: Sequence[str], body_col: str = "body",
-                      context_col: str | None = None) -> DataFrame:
-        """JSON bodies: string keys and values are redacted, every other byte stays as it was.
-
-        The string literals of the raw body are its leaves, in structural order.  Values found in
-        one leaf are replaced in all leaves of that body.  Invalid JSON is one raw leaf.
+    def with_links(self, df: DataFrame, keys: Sequence[str], forms_col: str) -> DataFrame:
+        """Give single-word organization mentions the entity of their only registered owner."""
+        if self.links is None:
+            return df
+
+        def key_of(f: Column) -> Column:
+            named = F.translate(F.lower(F.trim(f["name"])), "_", "-") == "organization"
+            return F.when(f.confidence.isin("exact", "high") & named & (f.authority == "detected"), short_key(f.value, False))
+
+        def linked(f: Column) -> Column:
+            owner = F.get(F.filter("_owners", lambda o: o["key"] == key_of(f)), F.lit(0))["owner"]
+            new = {"entity_type": F.lit("organization"), "protection_kind": F.lit("entity")}
+            return let(owner, lambda o: F.when(o.isNotNull(), F.struct(*[
+                (o if c == "entity_id" else new.get(c, f[c])).alias(c) for c in _FIELDS]).cast(_FORM)).otherwise(f))
+
+        pair = F.struct("key", "owner")
+        if self.links_inline:
+            # one row: bounded by the size check in _link_table
+            row = self.links.agg(F.collect_list(pair).alias("_owners"), F.lit(1).alias("_link_row"))
+            out = df.withColumn("_one", F.lit(1)).join(F.broadcast(row), F.col("_one") == F.col("_link_row"), "left").drop("_one", "_link_row")
+        else:
+            mentions = df.select(*keys, F.explode(F.array_distinct(F.array_compact(F.transform(forms_col, key_of)))).alias("key"))
+            owners = mentions.join(self.links, "key").groupBy(*keys).agg(F.collect_list(pair).alias("_owners"))
+            out = df.join(owners, list(keys), "left")
+        none = F.array().cast("array<struct<key:string,owner:string>>")
+        return out.withColumn("_owners", F.coalesce("_owners", none)).withColumn(
+            forms_col, pin(F.transform(forms_col, linked))).drop("_owners")
+
+    def body_values(self, df: DataFrame, keys: Sequence[str], body_col: str = "body", detections: str | None = None) -> DataFrame:
+        """Read bodies: ``_lits`` (string literals), ``_found`` (per literal, what the rules find) and ``_detected``.
+
+        ``_detected`` has the distinct values as forms: those of the rules, those that secret-ish keys
+        own by path, and ``detections`` (array column of further findings: identity rules,
+        analyzers).  Personal data is looked for in contents only, secrets in object keys too.
+        Mentions of one registered organization belong to it.
         """
-        keys = list(keys)
-        leaves = body_literals(df.select(*keys, *([context_col] if context_col and context_col not in keys else []),
-                                         body_col), keys, body_col)
-        none = F.array().cast(f"array<{_FORM}>")
+        none = F.array().cast(FINDING)
+        out = df.withColumn("_lits", pin(literals(F.col(body_col))))
         if self.rules:
-            # personal data is looked for in contents only, secrets in object keys too
-            found = detect(leaves.filter("kind <> 'key'"), keys, "text", self.rules, self.surrogates.prefix)
-            if secret := [r for r in self.rules if r.kind != "pii"]:
-                found = found.unionByName(detect(leaves.filter("kind = 'key'"), keys, "text", secret, self.surrogates.prefix))
-            best = found.groupBy(*keys, "value").agg(
-                F.min_by(F.struct("rule", "source", "kind", "confidence"), F.struct("rule", "start")).alias("m"))
-            per_body = best.groupBy(*keys).agg(F.collect_list(F.struct(
-                F.col("value"), F.concat(F.lit("detected:"), F.sha2("value", 256)).alias("entity_id"),
-                F.lit(None).cast("string").alias("entity_type"), F.lit("literal").alias("protection_kind"),
-                F.col("value").alias("canonical"), F.lit("substring").alias("boundary"),
-                F.col("m.rule").alias("name"), F.col("m.source").alias("source"), F.col("m.kind").alias("kind"),
-                F.col("m.confidence").alias("confidence"), F.lit("detected").alias("authority"),
-            )).alias("_body"))
-            leaves = leaves.join(per_body, keys, "left")
+            out = out.withColumn("_found", pin(F.transform("_lits", lambda x: F.filter(
+                findings(x["text"], self.rules, self.surrogates.prefix), lambda f: (x["kind"] != "key") | (f["kind"] != "pii")))))
         else:
-            leaves = leaves.withColumn("_body", none)
-        # only leaves that can hold a form of their body or of the registry go on
-        leaves = self.with_candidates(leaves, [*keys, "leaf"], "text", "_reg")
-        own = let(key_fold(F.col("text")), lambda folded: F.filter(
-            F.coalesce("_body", none), lambda f: may_occur(folded, f.value)))
-        leaves = leaves.withColumn("_forms_here", pin(F.concat(own, "_reg"))).withColumn(
-            "_entities", F.coalesce(F.size("_body"), F.lit(0))).drop("_body", "_reg")
-        leaves = leaves.filter(F.size("_forms_here") > 0)
-        plain = Redactor(self.surrogates, (), None, self.preserve_paths, self.max_entities, self.max_occurrences)
-        done = plain.redact(leaves, [*keys, "leaf"], "text", context_col, "_forms_here")
-        changed = done.filter((F.size("spans") > 0) | F.col("over_limit"))
-        edits = changed.groupBy(*keys).agg(
-            F.collect_list(F.struct(
-                F.col("at").alias("start"), F.col("at_end").alias("end"),
-                F.when(F.col("kind") == "raw", F.col("redacted")).otherwise(
-                    F.concat(F.lit('"'), json_escape(F.col("redacted")), F.lit('"'))).alias("token"),
-            )).alias("_edits"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"),
-            F.bool_or(F.col("over_limit") | (F.col("_entities") > self.max_entities)).alias("over_limit"),
-            F.sum(F.size("spans")).alias("_n"),
-        )
-        out = df.join(edits, keys, "left")
-        blocked = F.coalesce("over_limit", F.lit(False)) | (F.coalesce("_n", F.lit(0)) > self.max_occurrences)
-        return out.withColumn("over_limit", blocked).withColumn(
-            "redacted",
-            F.when(F.col("over_limit"), None)
-            .when(F.col("_edits").isNull(), F.col(body_col))
-            .otherwise(splice(F.col(body_col), F.col("_edits"), lambda e: e.token)),
-        ).drop("_edits", "_n")
+            out = out.withColumn("_found", F.transform("_lits", lambda x: none))
+        owned = structural_values(F.col("_lits"), FINDING) if any(r.kind == "secret" for r in self.rules) else none
+        more = F.coalesce(F.col(detections).cast(FINDING), none) if detections else none
+        # the first rule by name that finds a value names it
+        ranked = F.transform(F.concat(F.flatten("_found"), owned, more), lambda f, i: F.struct(
+            f["rule"].alias("rule"), F.coalesce(f["start"], F.lit(0)).alias("start"), i.alias("i"), f.alias("f")))
+        ranked = let(ranked, lambda r: F.when(F.size(r) > 1, F.array_sort(r)).otherwise(r))
+        out = out.withColumn("_every", pin(F.transform(ranked, lambda r: r["f"])))
+        out = out.withColumn("_detected", pin(detected_forms(F.col("_every")).cast(f"array<{_FORM}>"))).drop("_every")
+        return self.with_links(out, keys, "_detected")
+
+    def redact_bodies(self, df: DataFrame, keys: Sequence[str], body_col: str = "body", context_col: str | None = None,
+                      extra_forms: str | None = None, detections: str | None = None) -> DataFrame:
+        """JSON bodies: string keys and values are redacted, every other byte stays as it was.
 
+        Everything happens in the row of the body: its literals are read once, values found anywhere
+        in it are replaced in all of them, and the literals that changed are spliced back.  Bodies
+        are not shuffled, unless the registry is too large to travel.  Invalid JSON is one raw leaf.
 
-def body_literals(df: DataFrame, keys: Sequence[str], body_col: str) -> DataFrame:
-    """String leaves of raw JSON bodies with their place in the body.
+        ``extra_forms`` names an array column of further forms: what the scope has seen before, what
+        its user selected.  ``detections``: see :meth:`body_values`.
+        """
+        keys, none = list(keys), F.array().cast(f"array<{_FORM}>")
+        out = self.body_values(df, keys, body_col, detections)
+        if self.dictionary is not None and not self.dictionary.empty:
+            # literals stand apart by an empty line that no match can bridge
+            out = out.withColumn("_joined", F.array_join(F.transform("_lits", lambda x: x["text"]), "\n\n"))
+            out = self.with_candidates(out, keys, "_joined", "_registry").drop("_joined")
+        else:
+            out = out.withColumn("_registry", none)
+        extra = F.coalesce(F.col(extra_forms).cast(f"array<{_FORM}>"), none) if extra_forms else none
+        out = out.withColumn("_forms", pin(F.concat("_registry", extra, "_detected"))).drop("_registry")
+
+        def claims(x: Column, i: Column) -> Column:
+            located = F.transform(F.get("_found", i), lambda f: F.struct(
+                f.start.alias("start"), f.end.alias("end"), f.value.alias("value"),
+                F.get(F.filter("_detected", lambda d: d.value == f.value), F.lit(0)).alias("form")))
+            here = let(key_fold(x["text"]), lambda folded: F.filter("_forms", lambda f: may_occur(folded, f.value)))
+            # a literal that can hold no form is done
+            return let(F.struct(here.alias("forms"), located.cast(_LOCATED).alias("found")), lambda b: F.when(
+                F.size(b["forms"]) + F.size(b["found"]) > 0,
+                claims_of(x["text"], b["forms"], b["found"], self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths)))
+
+        out = out.withColumn("_claims", pin(F.transform("_lits", claims)))
+        count = F.aggregate("_claims", F.lit(0), lambda n, c: n + F.coalesce(F.size(c), F.lit(0)) * c.isNotNull().cast("int"))
+        out = out.withColumn("over_limit", (F.size("_forms") > self.max_entities) | (count > self.max_occurrences))
+        context = F.col(context_col).cast("string") if context_col else None
 
-    Adds ``leaf`` (order), ``kind`` (key, value or raw), ``at``/``at_end`` and decoded ``text``.
-    """
-    body = F.col(body_col)
-    literals = scan(mark_safe(body), f"({JSON_LITERAL})")
-    valid = F.try_parse_json(body).isNotNull()
-    raw = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end"), body.alias("value")))
-    # what stands between literals, once per body: a colon after one makes it a key
-    gaps = F.slice(F.split(mark_safe(body), JSON_LITERAL), F.lit(2), F.size("_lits"))
-    leaves = df.withColumn("_json", pin(valid)).withColumn("_lits", pin(F.when(F.col("_json"), literals).otherwise(raw))).withColumn(
-        "_gaps", F.when(F.col("_json"), gaps).otherwise(F.array().cast("array<string>"))
-    ).select(*[c for c in df.columns if c != body_col], "_json", F.when(~F.col("_json"), F.col(body_col)).alias(body_col),
-             F.posexplode(F.arrays_zip("_lits", "_gaps")).alias("leaf", "_z")).withColumn("_l", F.col("_z._lits"))
-    follows = F.coalesce(F.col("_z._gaps").rlike(r"^[ \t\r\n]*+:"), F.lit(False))
-    return leaves.select(
-        *[c for c in df.columns if c != body_col], "leaf",
-        F.when(~F.col("_json"), "raw").when(follows, "key").otherwise("value").alias("kind"),
-        F.col("_l.start").alias("at"), F.col("_l.end").alias("at_end"),
-        F.when(F.col("_json"), json_unescape(F.col("_l.value"))).otherwise(F.col(body_col)).alias("text"),
-    )
+        def edit(x: Column, i: Column) -> Column:
+            claimed = F.get("_claims", i)
+            spans = F.transform(resolve_array(claimed), lambda r: F.struct(
+                r.start.alias("start"), r.end.alias("end"), r.value.alias("value"), self.token(r.value, r.info, context).alias("token"),
+                r.clipped.alias("clipped"), r.clipped_by.alias("clipped_by"), r.info.entity_id.alias("entity_id"),
+                r.info["name"].alias("name"), r.info.source.alias("source"), r.info.kind.alias("kind"),
+                r.info.confidence.alias("confidence"), r.info.authority.alias("authority"), r.info.boundary.alias("boundary"),
+                r.info.protection_kind.alias("protection_kind"), i.alias("leaf")))
+
+            def whole(s: Column) -> Column:
+                text = splice(x["text"], s, lambda t: t["token"])
+                return F.struct(x["at"].alias("start"), x["at_end"].alias("end"), F.when(x["kind"] == "raw", text).otherwise(
+                    F.concat(F.lit('"'), json_escape(text), F.lit('"'))).alias("token"), s.alias("spans"))
+
+            return F.when(F.coalesce(F.size(claimed), F.lit(0)) > 0, let(spans, whole))
+
+        out = out.withColumn("_edits", pin(F.when(~F.col("over_limit"), F.filter(
+            F.transform("_lits", edit), lambda e: e.isNotNull() & (F.size(e["spans"]) > 0)))))
+        out = out.withColumn("redacted", pin(F.when(~F.col("over_limit"), splice(F.col(body_col), F.col("_edits"), lambda e: e["token"]))))
+        out = out.withColumn("spans", pin(F.flatten(F.transform("_edits", lambda e: e["spans"]))))
+        surfaces = F.transform(F.filter("spans", lambda s: ~s.clipped), lambda s: F.struct(
+            s.value.alias("value"), (s.boundary == "token").alias("token_bound")))
+        known = F.concat(F.transform("_detected", lambda f: F.struct(f.value.alias("value"), F.lit(False).alias("token_bound"))), surfaces)
+        return out.withColumn("known", F.array_distinct(known)).drop("_lits", "_found", "_detected", "_forms", "_claims", "_edits")
 
 
 def dictionary_of(redacted: DataFrame, scope: Sequence[str]) -> DataFrame:

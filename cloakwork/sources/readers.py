@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cloakwork.functions import fixed
-from cloakwork.functions.text import fold_ws, mask_json_strings, normalize_form, trim_ws
+from cloakwork.functions.text import fold_ws, normalize_form, pin, trim_ws
 from cloakwork.operators.spans import MARK
 
 # ------------------------------------------------------------------- S1 dotenv
@@ -293,54 +293,16 @@ def read_bodies(df: DataFrame, path_col: str = "path", body_col: str = "body") -
 
 
 # -------------------------------------------------------------------- S7 leaves
-def nesting(body: Column) -> Column:
-    """How deep the containers of a JSON text lie in each other."""
-    brackets = F.split(F.regexp_replace(mask_json_strings(body), r"[^\[\]{}]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(a: Column, c: Column) -> Column:
-        now = a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
-
-    return F.aggregate(brackets, start, step, lambda a: a["most"])
-
-
 def flatten_leaves(df: DataFrame, keys: Sequence[str], body_col: str = "body") -> DataFrame:
     """String leaves ``(keys, path, kind, text)``: object keys and string values, by JSON path.
 
-    One lateral explode per nesting level, as many as the deepest body of the table has; invalid
-    JSON is a single raw leaf.  Keys that are no plain names stand quoted in brackets in a path.
+    One bracket-stack pass inside each row, whatever the nesting; invalid JSON is a single raw
+    leaf.  Keys that are no plain names stand quoted in brackets in a path.
     """
-    keys = list(keys)
-    spark = df.sparkSession
-    nothing = F.lit(None).cast("variant")
-    v = F.try_parse_json(F.col(body_col))
-    nodes = df.select(*keys, F.lit("$").alias("path"), v.alias("v"), F.col(body_col).alias("_body")).select(
-        *keys, "path", F.when(F.col("v").isNull(), "raw").otherwise("node").alias("kind"),
-        F.when(F.col("v").isNull(), F.col("_body")).alias("text"), "v")
-    depth = df.agg(F.max(F.when(F.try_parse_json(F.col(body_col)).isNotNull(), nesting(F.col(body_col)))).alias("d")).first()["d"]
-    for _ in range(depth or 0):
-        # a finished leaf passes through as one row, so each level is computed exactly once
-        x = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
-        child = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-                       ).when(F.col("key").rlike(fixed.SAFE_KEY), F.concat("path", F.lit("."), "key")
-                        ).otherwise(F.concat("path", F.lit("['"), F.regexp_replace("key", r"([\\'])", r"\\$1"), F.lit("']")))
-
-        def row(path: Column, kind: Column, text: Column, value: Column) -> Column:
-            return F.struct(path.alias("path"), kind.alias("kind"), text.alias("text"), value.alias("v"))
-
-        none = F.lit(None).cast("string")
-        inner = row(child, F.lit("node"), none, F.col("value"))
-        out = F.when(F.col("pos").isNull(), F.array(row(F.col("path"), F.col("kind"), F.col("text"), F.col("v")))).when(
-            F.col("key").isNotNull(), F.array(row(child, F.lit("key"), F.col("key"), nothing), inner)
-        ).otherwise(F.array(inner))
-        nodes = x.select(*keys, F.explode(out).alias("_n")).select(*keys, "_n.*")
-    shape = F.schema_of_variant("v")
-    is_node = F.col("kind") == "node"
-    kind = F.when(~is_node, F.col("kind")).when(shape == "STRING", "value")
-    text = F.when(~is_node, F.col("text")).when(shape == "STRING", F.col("v").cast("string")).otherwise(F.to_json("v"))
-    return nodes.select(*keys, "path", kind.alias("kind"), F.when(kind.isNotNull(), text).alias("text")).filter(
-        "kind is not null")
+    from cloakwork.operators.bodies import literals, path_of
+
+    return df.select(*keys, pin(literals(F.col(body_col))).alias("_ls")).select(*keys, F.explode("_ls").alias("_l")).select(
+        *keys, path_of(F.col("_l.steps")).alias("path"), F.col("_l.kind").alias("kind"), F.col("_l.text").alias("text"))
 
 
 # ----------------------------------------------------------------------- S8 SSE

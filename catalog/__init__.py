@@ -8,9 +8,9 @@ from catalog.base import Query
 
 
 def all_queries() -> list[Query]:
-    from catalog import accounting, detection, redaction, registry, streams
+    from catalog import accounting, bodies, detection, redaction, registry, streams
 
-    out = [*redaction.QUERIES, *detection.QUERIES, *registry.QUERIES, *accounting.QUERIES, *streams.QUERIES]
+    out = [*redaction.QUERIES, *bodies.QUERIES, *detection.QUERIES, *registry.QUERIES, *accounting.QUERIES, *streams.QUERIES]
     names = [q.name for q in out]
     twice = {n for n in names if names.count(n) > 1}
     if twice:

@@ -12,7 +12,7 @@ from cloakwork.functions import fixed
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.functions.text import decode_query, encode_query, json_escape, key_fold, let, mask_json_strings, pin
 from cloakwork.operators.bodies import literals, structural_values
-from cloakwork.operators.detect import FINDING, Rule, findings, first_values
+from cloakwork.operators.detect import FINDING, Detector, Rule, findings, first_values, run_detectors
 from cloakwork.operators.match import INLINE_BYTES, INLINE_FORMS, Dictionary, expand, link_anchors, may_occur, short_key
 from cloakwork.operators.paths import PATH_HINT, preserved
 from cloakwork.operators.spans import (
@@ -349,6 +349,31 @@ class Redactor:
         return out.withColumn("known", F.array_distinct(known)).drop("_lits", "_found", "_detected", "_forms", "_claims", "_edits")
 
 
+def with_detections(df: DataFrame, keys: Sequence[str], body_col: str, detectors: Sequence[tuple[str, Detector, str]],
+                    out: str = "detections", threshold: float = fixed.SCORE_THRESHOLD) -> DataFrame:
+    """Add what detectors ``(name, callable, view)`` find in the literals of each body, as findings for ``detections``.
+
+    A detector gets leaf rows (keys, leaf, text) and gives spans ``(…, start, end, rule)``, with score,
+    confidence, source and kind where it knows them.  Only spans are shuffled.
+    """
+    keys = list(keys)
+    read = df.select(*keys, pin(literals(F.col(body_col))).alias("_lits"))
+    leaves = read.select(*keys, F.posexplode("_lits").alias("leaf", "_l")).select(
+        *keys, "leaf", F.col("_l.kind").alias("kind"), F.col("_l.text").alias("text"))
+    found = run_detectors(leaves, [*keys, "leaf"], "text", detectors)
+    have = lambda c, default: F.coalesce(F.col(c), default) if c in found.columns else default
+    score = have("score", F.lit(1.0)).cast("double")
+    certain = F.when(score >= fixed.HIGH_SCORE, "high").otherwise("probabilistic")
+    spans = found.filter(score >= threshold).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(
+        F.col("rule"), "leaf", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), have("kind", F.lit("pii")).alias("kind"),
+        have("confidence", certain).alias("confidence"), have("source", F.lit("pii-analyzer")).alias("source"), score.alias("score")))).alias("_spans"))
+    # a surface is read from its literal in the row of the body
+    valued = F.transform("_spans", lambda f: let(F.get("_lits", f["leaf"])["text"], lambda t: F.struct(
+        f["rule"], f["start"], f["end"], F.substring(t, f["start"] + 1, f["end"] - f["start"]), f["kind"], f["confidence"], f["source"], f["score"])))
+    joined = df.join(spans, keys, "left").withColumn("_lits", literals(F.col(body_col)))
+    return joined.withColumn(out, pin(F.coalesce(valued.cast(FINDING), F.array().cast(FINDING)))).drop("_lits", "_spans")
+
+
 def dictionary_of(redacted: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Reversible mapping rows of a redaction run: ``(scope, token, value, layer, …)``.
 

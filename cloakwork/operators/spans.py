@@ -172,10 +172,11 @@ def _trimmed(surface: Column, start: Column) -> Column:
 
 
 def islands(claims: Column) -> Column:
-    """Split claims into runs, in order of start, that touch no claim outside the run."""
-    ordered = F.transform(
+    """Split the different claims into runs, in order of start, that touch no claim outside the run."""
+    ordered = let(
         F.sort_array(F.transform(claims, lambda x: F.struct(x.start.alias("s"), x.end.alias("e"), x.alias("x")))),
-        lambda k: k.x)
+        # equal claims stand side by side and count once
+        lambda k: F.transform(F.filter(k, lambda y, i: (i == 0) | ~y.eqNullSafe(F.get(k, i - 1))), lambda y: y.x))
 
     def split(c: Column) -> Column:
         return running(F.transform(c, lambda x: x.end), lambda a, e: F.greatest(a, e), lambda reach: let(
@@ -187,13 +188,44 @@ def islands(claims: Column) -> Column:
     return let(ordered, split)
 
 
+def _owners(c: Column, b: Column) -> Column:
+    """Index of the best claim over each elementary segment of an island (null: none); ``b`` has the sorted boundaries.
+
+    Segments go in blocks of about the square root of their number.  A block looks at all claims
+    once: of those that cover it whole only the best can win, the others have an end inside it.
+    """
+    spans = F.transform(c, lambda x, i: F.struct(i.alias("i"), x.start.alias("s"), x.end.alias("e")))
+
+    def of(g: Column) -> Column:
+        n, width = F.size(b) - 1, g["width"]
+
+        def block(k: Column) -> Column:
+            first, behind = k * width, F.least((k + 1) * width, n)
+            low, high = F.get(b, first), F.get(b, behind)
+            cover = F.get(F.filter(g["spans"], lambda x: (x["s"] <= low) & (x["e"] >= high)), F.lit(0))["i"]
+            return let(F.struct(first.alias("first"), behind.alias("behind"), low.alias("low"), high.alias("high"), cover.alias("cover")), lambda q: let(
+                F.filter(g["spans"], lambda x: (x["s"] < q["high"]) & (x["e"] > q["low"])
+                         & (~((x["s"] <= q["low"]) & (x["e"] >= q["high"])) | (x["i"] == q["cover"]))),
+                lambda near: F.transform(F.sequence(q["first"], q["behind"] - 1), lambda j: F.get(F.filter(
+                    near, lambda x: (x["s"] <= F.get(b, j)) & (x["e"] >= F.get(b, j + 1))), F.lit(0))["i"])))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), block))
+
+    width = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(b).cast("double"))).cast("int"))
+    return let(F.struct(spans.alias("spans"), width.alias("width")), of)
+
+
 def _resolve_island(c: Column) -> Column:
     """Owners of one island; ``c`` is sorted by priority and bound."""
-    def owner_at(s: Column, e: Column) -> Column:
-        spans = F.transform(c, lambda x, i: F.struct(i.alias("i"), x.start.alias("s"), x.end.alias("e")))
-        return F.get(F.filter(spans, lambda x: (x.s <= s) & (x.e >= e)), F.lit(0))["i"]
+    registry = -AUTHORITY["registry"]
 
     def runs(b: Column, o: Column, st: Column) -> Column:
+        # a registered claim owns every segment it covers that no other registered one owns, so a
+        # detected claim is beaten by the registry where some of its segments have such an owner
+        owned = F.transform(o, lambda i: (F.get(c, i).pri.p_authority == registry).cast("int"))
+        return running(F.transform(owned, lambda x: F.coalesce(x, F.lit(0))), lambda a, w: a + w, lambda at: found(b, st, o, at))
+
+    def found(b: Column, st: Column, o: Column, at) -> Column:
         return F.transform(
             F.filter(
                 F.transform(st, lambda k, n: F.struct(
@@ -202,24 +234,21 @@ def _resolve_island(c: Column) -> Column:
                 )),
                 lambda r: r.i.isNotNull(),
             ),
-            lambda r: finish(r, F.get(c, r.i)),
+            lambda r: finish(r, F.get(c, r.i), b, at),
         )
 
-    def finish(r: Column, owner: Column) -> Column:
+    def finish(r: Column, owner: Column, b: Column, at) -> Column:
         def build(x: Column) -> Column:
             clipped = (r.s != x.start) | (r.e != x.end)
             kept = F.when(
                 clipped, _trimmed(F.substring(x.value, r.s - x.start + 1, r.e - r.s), r.s)
             ).otherwise(F.struct(x.start.alias("start"), x.end.alias("end"), x.value.alias("value")))
-            beaten_by = F.array_max(F.transform(
-                F.filter(c, lambda y: overlaps(y.start, y.end, x.start, x.end) & (y.pri < x.pri)),
-                lambda y: -y.pri.p_authority,
-            ))
+            place = lambda v: (F.array_position(b, v) - 1).cast("int")
+            by_registry = (x.pri.p_authority == registry) | (at(place(x.end)) > at(place(x.start)))
             return let(kept, lambda k: F.struct(
                 k.start.alias("start"), k.end.alias("end"), k.value.alias("value"),
                 (clipped | (x.pri.p_origin == -ORIGIN["clipped"])).alias("clipped"),
-                F.when(clipped, F.when(beaten_by == 2, "registry").when(beaten_by == 1, "detected"))
-                .alias("clipped_by"),
+                F.when(clipped, F.when(by_registry, "registry").otherwise("detected")).alias("clipped_by"),
                 x.info.alias("info"),
             ))
         return let(owner, build)
@@ -227,7 +256,7 @@ def _resolve_island(c: Column) -> Column:
     bounds = F.sort_array(F.array_distinct(F.concat(
         F.transform(c, lambda x: x.start), F.transform(c, lambda x: x.end))))
     return let(bounds, lambda b: let(
-        F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: owner_at(F.get(b, k), F.get(b, k + 1))),
+        _owners(c, b),
         lambda o: let(
             F.filter(
                 F.sequence(F.lit(0), F.size(o) - 1),
@@ -252,12 +281,30 @@ def resolve_array(claims: Column) -> Column:
             F.lit(None).cast("string").alias("clipped_by"), x.info.alias("info")))
 
     many = F.flatten(F.transform(
-        islands(F.array_distinct(claims)),
+        islands(claims),
         lambda isle: F.when(F.size(isle) == 1, plain(isle)).otherwise(let(F.sort_array(isle), _resolve_island)),
     ))
     return F.when(F.size(claims) <= 1, plain(claims)).otherwise(F.filter(many, lambda r: r.end > r.start))
 
 
+def dyadic_cover(first: Column, behind: Column) -> Column:
+    """``array<struct<level,node>>``: the fewest runs ``[node * 2^level, (node + 1) * 2^level)`` that make up ``[first, behind)``."""
+    kind = "array<struct<level:int,node:int>>"
+    start = F.struct(first.cast("int").alias("l"), behind.cast("int").alias("r"), F.array().cast(kind).alias("out"))
+
+    def run(k: Column, node: Column, wanted: Column) -> Column:
+        return F.when(wanted, F.array(F.struct(k.alias("level"), node.alias("node"))).cast(kind)).otherwise(F.array().cast(kind))
+
+    def step(a: Column, k: Column) -> Column:
+        left, right = (a["l"] < a["r"]) & (a["l"] % 2 == 1), (a["l"] < a["r"]) & (a["r"] % 2 == 1)
+        return F.struct(
+            F.shiftright(a["l"] + left.cast("int"), 1).alias("l"), F.shiftright(a["r"], 1).alias("r"),
+            F.concat(a["out"], run(k, a["l"], left), run(k, a["r"] - 1, right & (a["l"] + left.cast("int") < a["r"]))).alias("out"))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((behind + 1).cast("double"))).cast("int"))
+    return F.aggregate(levels, start, step, lambda a: a["out"])
+
+
 def resolve_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Resolve overlapping claims given as rows ``(keys, start, end, value, attributes…)``.
 
@@ -285,53 +332,46 @@ def resolve_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     lone = base.filter("_n = 1").select(
         *carried, (F.col("origin") == "clipped").alias("clipped"), F.lit(None).cast("string").alias("clipped_by")
     )
-    shared = base.filter("_n > 1")
-    cuts = shared.select(*island, F.explode(F.array("start", "end")).alias("s")).distinct()
-    segments = cuts.withColumn("e", F.lead("s").over(W.partitionBy(*island).orderBy("s"))).filter("e is not null")
-    claim = F.struct("pri", "start", "end", "value", *attrs, *extra).alias("claim")
-    owned = (
-        segments.join(shared.select(*island, claim), island)
-        .filter((F.col("claim.start") <= F.col("s")) & (F.col("claim.end") >= F.col("e")))
-        .groupBy(*island, "s", "e")
-        .agg(F.min(F.struct(F.col("claim.pri").alias("pri"), F.col("claim").alias("claim"))).alias("best"))
-        .select(*island, "s", "e", "best.claim")
-    )
+    # inside an island a claim is its rank: surfaces and attributes come back at the end
+    shared = base.filter("_n > 1").withColumn("_rank", F.row_number().over(W.partitionBy(*island).orderBy("pri")))
+    registered = F.col("pri.p_authority") == -AUTHORITY["registry"]
+    slim = shared.select(*island, "_rank", "start", "end", registered.alias("_reg"))
+    at = W.partitionBy(*island).orderBy("s")
+    cuts = slim.select(*island, F.explode(F.array("start", "end")).alias("s")).distinct()
+    segments = cuts.withColumn("e", F.lead("s").over(at)).withColumn("i", F.row_number().over(at) - 1)
+    place = segments.select(*island, "s", "i")
+    placed = slim.join(place.withColumnsRenamed({"s": "start", "i": "_from"}), [*island, "start"]).join(
+        place.withColumnsRenamed({"s": "end", "i": "_to"}), [*island, "end"]).select(*island, "_rank", "_reg", "_from", "_to")
+    # a claim is few dyadic runs of segments, a segment lies in one run of each length: neither meets all of the other
+    covered = placed.select(*island, "_rank", "_reg", F.explode(dyadic_cover(F.col("_from"), F.col("_to"))).alias("d"))
+    best = covered.groupBy(*island, "d.level", "d.node").agg(F.min(F.struct("_rank", "_reg")).alias("best"))
+    levels = F.ceil(F.log2(F.max("i").over(W.partitionBy(*island)) + 1)).cast("int")
+    up = segments.withColumn("_levels", levels).filter("e is not null").select(
+        *island, "s", "e", "i", "_levels", F.explode(F.sequence(F.lit(0), F.col("_levels"))).alias("level")).withColumn("node", F.expr("shiftright(i, level)"))
+    owned = up.join(best, [*island, "level", "node"]).groupBy(*island, "s", "e", "i", "_levels").agg(F.min("best").alias("best")).select(
+        *island, "s", "e", "i", "_levels", "best._rank", "best._reg")
     by_s = W.partitionBy(*island).orderBy("s")
-    owned = owned.withColumn(
-        "_first",
-        (
-            ~F.lag("claim").over(by_s).eqNullSafe(F.col("claim")) | ~F.lag("e").over(by_s).eqNullSafe(F.col("s"))
-        ).cast("int"),
-    ).withColumn("_run", F.sum("_first").over(by_s))
-    runs = owned.groupBy(*island, "_run", "claim").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    cut_now = (F.col("s") != F.col("claim.start")) | (F.col("e") != F.col("claim.end"))
-    beaten = (
-        runs.filter(cut_now).select(*island, "claim").distinct()
-        .join(shared.select(*island, F.struct("pri", "start", "end").alias("other")), island)
-        .filter(
-            overlaps(F.col("other.start"), F.col("other.end"), F.col("claim.start"), F.col("claim.end"))
-            & (F.col("other.pri") < F.col("claim.pri"))
-        )
-        .groupBy(*island, "claim")
-        .agg(F.max(-F.col("other.pri.p_authority")).alias("_by"))
-    )
-    clipped = cut_now | (F.col("claim.origin") == "clipped")
-    kept = F.when(
-        cut_now,
-        _trimmed(F.substring(F.col("claim.value"), F.col("s") - F.col("claim.start") + 1, F.col("e") - F.col("s")),
-                 F.col("s")),
-    ).otherwise(F.struct(F.col("claim.start").alias("start"), F.col("claim.end").alias("end"),
-                         F.col("claim.value").alias("value")))
+    first = F.coalesce((F.lag("_rank").over(by_s) != F.col("_rank")) | (F.lag("e").over(by_s) != F.col("s")), F.lit(True))
+    runs = owned.withColumn("_run", F.sum(first.cast("int")).over(by_s)).groupBy(*island, "_run", "_rank", "_reg").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"))
+    # registered claims own all they cover, so a detected one is beaten by the registry where one owns a segment of it
+    marks = owned.filter("_reg").select(*island, F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("_levels")), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("i"), k).alias("node")))).alias("m")
+    ).select(*island, "m.level", "m.node").distinct()
+    beaten = covered.filter("not _reg").select(*island, "_rank", "d.level", "d.node").join(marks, [*island, "level", "node"]).select(
+        *island, "_rank").distinct().withColumn("_by", F.lit(True))
+    claims = shared.select(*island, "_rank", "start", "end", "value", *attrs, *extra)
+    cut_now = (F.col("s") != F.col("start")) | (F.col("e") != F.col("end"))
+    surface = F.substring("value", F.col("s") - F.col("start") + 1, F.col("e") - F.col("s"))
+    kept = F.when(cut_now, _trimmed(surface, F.col("s"))).otherwise(F.struct("start", "end", "value"))
     mixed = (
-        runs.join(beaten, [*island, "claim"], "left")
-        .withColumn("kept", kept).withColumn("clipped", clipped)
-        .filter("kept.end > kept.start")
+        runs.join(claims, [*island, "_rank"]).join(beaten, [*island, "_rank"], "left")
+        .withColumn("_kept", kept)
+        .filter("_kept.end > _kept.start")
         .select(
-            *keys, "kept.start", "kept.end", "kept.value",
-            *[F.col(f"claim.{c}").alias(c) for c in [*attrs, *extra]],
-            "clipped",
-            F.when(cut_now, F.when(F.col("_by") == 2, "registry").when(F.col("_by") == 1, "detected"))
-            .alias("clipped_by"),
+            *keys, "_kept.start", "_kept.end", "_kept.value", *attrs, *extra,
+            (cut_now | (F.col("origin") == "clipped")).alias("clipped"),
+            F.when(cut_now, F.when(F.col("_reg") | F.col("_by"), "registry").otherwise("detected")).alias("clipped_by"),
         )
     )
     out = lone.unionByName(mixed)

@@ -98,3 +98,46 @@ def test_overlap_join_pairs_once(spark):
     db = spark.createDataFrame(b, "k int, b int, start int, end int")
     got = sorted((r.a, r.b) for r in SP.span_overlap_join(da, db, ["k"]).collect())
     assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+
+
+def island(n):
+    """One island of n claims: long ones of low rank over short ones of every rank."""
+    rnd = random.Random(n)
+    text = "".join(rnd.choice("abc  ") for _ in range(3 * n))
+    claims = []
+    for i in range(n):
+        s = rnd.randint(0, 3 * n - 2)
+        e = min(3 * n, s + (rnd.randint(2, 12) if i % 10 else rnd.randint(n // 2, n)))
+        claims.append((s, e, rnd.choice(["registry", "detected"]) if i % 10 else "detected", rnd.choice(list(CONF)), f"e{i % 5}"))
+    return text, claims
+
+
+def test_large_islands_are_resolved_without_pairs(spark):
+    import time
+
+    text, claims = island(1500)
+    schema = "doc int, start int, end int, value string, authority string, confidence string, entity_id string"
+    table = lambda t, cl: spark.createDataFrame([(1, s, e, t[s:e], a, c, ent) for s, e, a, c, ent in cl], schema)
+    want = resolve_plain(text, claims)
+    assert {(r.start, r.end, r.entity_id, r.clipped) for r in SP.resolve_rows(table(text, claims), ["doc"]).collect()} == want
+    full = table(text, claims)
+    for name, default in SP.CLAIM_DEFAULTS.items():
+        if name not in full.columns:
+            full = full.withColumn(name, F.lit(default))
+    claim = F.struct(SP.priority(F.col("start"), F.col("end"), F.col("value"), F.col).alias("pri"), "start", "end", "value", F.struct("entity_id").alias("info"))
+    rows = full.groupBy("doc").agg(F.collect_list(claim).alias("c")).select(F.explode(SP.resolve_array(F.col("c"))).alias("r")).select("r.*").collect()
+    assert {(r.start, r.end, r["info"]["entity_id"], r.clipped) for r in rows} == want
+    text, claims = island(20000)
+    start = time.perf_counter()
+    got = SP.resolve_rows(table(text, claims), ["doc"]).collect()
+    assert time.perf_counter() - start < 90
+    assert {(r.start, r.end, r.entity_id, r.clipped) for r in got} == resolve_plain(text, claims)
+
+
+def test_dyadic_cover_is_the_interval(spark):
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 21)] + [(0, 1 << 20), (5, 99999)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    for r in df.select("a", "b", SP.dyadic_cover(F.col("a"), F.col("b")).alias("d")).collect():
+        runs = sorted((d["node"] << d["level"], (d["node"] + 1) << d["level"]) for d in r["d"])
+        assert runs[0][0] == r["a"] and runs[-1][1] == r["b"] and all(x[1] == y[0] for x, y in zip(runs, runs[1:]))
+        assert len(runs) <= 2 * max(1, (r["b"]).bit_length())

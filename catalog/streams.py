@@ -15,7 +15,6 @@ from catalog.base import KEY, Query, Tables, duck, sql_digest
 from catalog.redaction import RULES
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.operators import detect as D
-from cloakwork.plans import restore as RS
 from cloakwork.plans.redact import Redactor
 from cloakwork.session import shared_folder
 from cloakwork.streaming import restore as SR
@@ -133,13 +132,50 @@ def _(t):
         F.bool_or(F.col("text").rlike(SUR.typed_pattern)).alias("token_whole"))
 
 
-@q("stream_restore_fragments", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment, {_RESTORED} AS text
-   FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
+def _texts(out: DataFrame) -> DataFrame:
+    return out.groupBy("stream_id", "fragment").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"),
+        F.sum("withheld").alias("withheld"), F.sum("residuals").alias("residuals"))
+
+
+@q("stream_restore_fragments", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment, {_RESTORED} AS text,
+   CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS residuals FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
+    # restored inside the stream: what reaches the sink is final
     frags = SR.record_fragments(as_batches(t, sse_records(t), "seq"), F.lit("anthropic"))
-    pieces = drain(t, SR.whole_fragments(frags, SUR)).groupBy("stream_id", "fragment", "kind").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"))
-    return SR.restore_fragments(pieces, mapping(t), SUR, "all", RS.restore_text).select("stream_id", "fragment", F.col("restored").alias("text"))
+    return _texts(drain(t, SR.restore_stream(frags, mapping(t), SUR))).select("stream_id", "fragment", "text", "residuals")
+
+
+# tool arguments and an answer side by side; every other value comes from the registry, and the
+# dictionary of every fifth stream arrives inside the stream, ahead of its text
+def tool_records(t: Tables) -> tuple[DataFrame, DataFrame]:
+    value = F.concat(F.lit('p"'), F.col("user_id").cast("string"))
+    token = SUR.mint_typed(value, F.lit("x"), F.lit("secret"))
+    layer = F.when(F.col("user_id") % 2 == 0, "detected").otherwise("registry")
+    users = t.events.select("user_id").distinct().select(
+        F.col("user_id").cast("string").alias("stream_id"), "user_id", token.alias("token"), value.alias("value"), layer.alias("layer"))
+    rows = None
+    for fragment, kind, text in (("args", "tool", F.concat(F.lit('{"a":"'), "token", F.lit('"}'))), ("say", "text", F.concat(F.lit("use "), "token"))):
+        n = F.ceil(F.length("text") / 5).cast("int")
+        cut = users.select("stream_id", text.alias("text")).select("stream_id", F.posexplode(F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.substring(F.col("text"), i * 5 + 1, F.lit(5)).alias("text"), (i == n - 1).alias("stop")))).alias("seq", "c"))
+        part = cut.select("stream_id", F.lit(fragment).alias("fragment"), (F.col("seq").cast("bigint") + 1).alias("seq"), F.lit(kind).alias("kind"), "c.text", "c.stop",
+                          F.lit(None).cast("string").alias("layer"))
+        rows = part if rows is None else rows.unionByName(part)
+    late = users.filter("user_id % 5 = 0").select("stream_id", F.col("token").alias("fragment"), F.lit(0).cast("bigint").alias("seq"), F.lit("entry").alias("kind"),
+                                                  F.col("value").alias("text"), F.lit(False).alias("stop"), "layer")
+    return rows.unionByName(late), users.filter("user_id % 5 <> 0").select("stream_id", "token", "value", "layer")
+
+
+_TOOL_TOKEN = f"'{SUR.prefix}SECRET_' || {sql_digest(chr(39) + 'p' + chr(34) + chr(39) + ' || CAST(user_id AS VARCHAR)')}"
+
+
+@q("stream_restore_tools", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'args' AS fragment, CASE WHEN user_id % 2 = 0 THEN '{{"a":"p\\"' || CAST(user_id AS VARCHAR) || '"}}'
+     ELSE '{{"a":"' || {_TOOL_TOKEN} || '"}}' END AS text, user_id % 2 AS withheld, 0 AS residuals FROM (SELECT DISTINCT user_id FROM {{events}}) _u
+   UNION ALL SELECT CAST(user_id AS VARCHAR), 'say', 'use p"' || CAST(user_id AS VARCHAR), 0, 0 FROM (SELECT DISTINCT user_id FROM {{events}}) _v""")
+def _(t):
+    rows, dictionary = tool_records(t)
+    return _texts(drain(t, SR.restore_stream(as_batches(t, rows, "seq"), dictionary, SUR, "detected")))
 
 
 @q("join_fragments_batch", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment, 'text' AS kind,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,52 +17,115 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cloakwork.functions.surrogates import Surrogates
 
-OUT_SCHEMA = "stream_id string, seq bigint, text string, residuals bigint"
+OUT_SCHEMA = "stream_id string, fragment string, seq bigint, kind string, text string, withheld bigint, residuals bigint"
+POLICIES = ("all", "none", "detected")
 
 
-class _TailRestorer(StatefulProcessor):
-    """Emit what can no longer be part of a token; keep the possible token start."""
+class _StreamRestorer(StatefulProcessor):
+    """Restore the fragments of one response as they come.
 
-    def __init__(self, pattern: str, partial: str, residual: str) -> None:
-        self.pattern, self.partial, self.residual = pattern, partial, residual
+    State of a stream: its dictionary (one entry per token, looked up token by token), per fragment
+    the possible token start that is held back and the raw text that residuals are looked for in,
+    and the residuals counted so far.
+    """
+
+    def __init__(self, surrogates: Surrogates, policy: str) -> None:
+        if policy not in POLICIES:
+            raise ValueError(f"tool policy is one of {', '.join(POLICIES)}")
+        self.patterns = (surrogates.pattern, surrogates.partial_pattern, surrogates.residual_pattern)
+        self.policy, self.context = policy, len(surrogates.prefix) + LONGEST_TAIL
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "text string")
-        self.token, self.open = re.compile(self.pattern), re.compile(self.partial)
-        self.debris = re.compile(self.residual)
+        self.entries = handle.getMapState("entries", "token string", "value string, layer string")
+        self.tails = handle.getMapState("tails", "fragment string", "held string, near string")
+        self.counted = handle.getMapState("counted", "token string", "times int")
+        self.token, self.open, self.debris = (re.compile(p) for p in self.patterns)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for token, value, layer in zip(initialState["token"], initialState["value"], initialState["layer"], strict=True):
+            self._learn(token, value, layer)
+
+    def _learn(self, token: str, value: str, layer: str) -> None:
+        # the layer that goes before wins, the first value of a layer stays
+        if not self.entries.containsKey((token,)) or LAYERS.index(layer) < LAYERS.index(self.entries.getValue((token,))[1]):
+            self.entries.updateValue((token,), (value, layer))
+
+    def _restored(self, text: str, kind: str) -> tuple[str, int]:
+        withheld = 0
+
+        def one(m: re.Match) -> str:
+            nonlocal withheld
+            if not self.entries.containsKey((m.group(0),)):
+                return m.group(0)
+            value, layer = self.entries.getValue((m.group(0),))
+            if kind == "tool" and (self.policy == "none" or (self.policy == "detected" and layer != "detected")):
+                withheld += 1
+                return m.group(0)
+            return json.dumps(value, ensure_ascii=False)[1:-1] if kind == "tool" else value
+
+        return self.token.sub(one, text), withheld
+
+    def _residuals(self, near: str, ended: bool) -> int:
+        """New residuals in the raw text; one that later text may still change waits for it."""
+        fresh = 0
+        for m in self.debris.finditer(near):
+            settled = ended or m.end() + self.context <= len(near)
+            if settled and not self.entries.containsKey((m.group(0),)) and not self.counted.containsKey((m.group(0),)):
+                self.counted.updateValue((m.group(0),), (1,))
+                fresh += 1
+        return fresh
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunks = pd.concat(list(rows)).sort_values("seq")
-        tail = self.tail.get()[0] if self.tail.exists() else ""
-        own = chunks["lookup"].iloc[0]
-        lookup, out = json.loads(own) if own else {}, []
-        for seq, text, last in zip(chunks["seq"], chunks["text"], chunks["last"], strict=True):
-            whole = tail + (text or "")
-            held = None if last else self.open.search(whole)
-            ready, tail = (whole[: held.start()], whole[held.start():]) if held else (whole, "")
-            unknown = {m.group(0) for m in self.debris.finditer(ready) if m.group(0) not in lookup}
-            restored = self.token.sub(lambda m: lookup.get(m.group(0), m.group(0)), ready)
-            out.append((key[0], seq, restored, len(unknown)))
-        if tail:
-            self.tail.update((tail,))
-        else:
-            self.tail.clear()
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "text", "residuals"])
+        parts = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out = []
+        for fragment, seq, kind, text, stop, layer in zip(*(parts[c] for c in ("fragment", "seq", "kind", "text", "stop", "layer")), strict=True):
+            if kind == "entry":
+                self._learn(fragment, text, layer)
+                continue
+            held, near = self.tails.getValue((fragment,)) if self.tails.containsKey((fragment,)) else ("", "")
+            whole = held + (text or "")
+            open_end = None if stop else self.open.search(whole)
+            ready, held = (whole[: open_end.start()], whole[open_end.start():]) if open_end else (whole, "")
+            restored, withheld = self._restored(ready, kind)
+            near += text or ""
+            fresh = self._residuals(near, bool(stop))
+            if stop:
+                self.tails.removeKey((fragment,))
+            else:
+                self.tails.updateValue((fragment,), (held, near[-2 * self.context:]))
+            if restored or withheld or fresh:
+                out.append((key[0], fragment, seq, kind, restored, withheld, fresh))
+        yield pd.DataFrame(out, columns=["stream_id", "fragment", "seq", "kind", "text", "withheld", "residuals"])
 
     def close(self) -> None:
         return None
 
 
-def restore_chunks(chunks: DataFrame, mapping: DataFrame, surrogates: Surrogates) -> DataFrame:
-    """Restore a stream of ``(stream_id, seq, text, last)`` chunks.
+LONGEST_TAIL = 64      # characters of a token behind its prefix, and a few more
+LAYERS = ("user", "registry", "detected", "permanent")
+_ENTRY = ("stream_id", "token", "value", "layer")
+
 
-    ``mapping`` is a table ``(stream_id, token, value)``: a chunk meets the dictionary of its own
-    stream only, by a join, so no value reaches a stream that never owned it.  ``residuals`` counts
-    the different token-like remains of a chunk.
+def restore_stream(fragments: DataFrame, dictionary: DataFrame, surrogates: Surrogates, policy: str = "all") -> DataFrame:
+    """Restore a stream of ``(stream_id, fragment, seq, kind, text, stop)`` rows before its sink.
+
+    ``dictionary`` (stream_id, token, value, layer) is the state that streams start with; rows of kind
+    ``entry`` (fragment: token, text: value, and a ``layer``) add to it on the way.  A stream restores
+    what its own dictionary holds.  Values go into tool arguments under the tool ``policy``, escaped for
+    the JSON string they stand in; ``withheld`` counts what stayed, ``residuals`` token-like remains
+    without a mapping, once per stream.
     """
-    own = mapping.groupBy("stream_id").agg(F.to_json(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value"))))).alias("lookup"))
-    return chunks.join(own, "stream_id", "left").groupBy("stream_id").transformWithStateInPandas(
-        _TailRestorer(surrogates.pattern, surrogates.partial_pattern, surrogates.residual_pattern), OUT_SCHEMA, "append", "None")
+    rows = fragments if "layer" in fragments.columns else fragments.withColumn("layer", F.lit(None).cast("string"))
+    rows = rows.select("stream_id", "fragment", F.col("seq").cast("bigint").alias("seq"), "kind", "text", "stop", "layer")
+    return rows.groupBy("stream_id").transformWithStateInPandas(
+        _StreamRestorer(surrogates, policy), OUT_SCHEMA, "append", "None", dictionary.select(*_ENTRY).groupBy("stream_id"))
+
+
+def restore_chunks(chunks: DataFrame, mapping: DataFrame, surrogates: Surrogates) -> DataFrame:
+    """Restore a stream of ``(stream_id, seq, text, last)`` chunks: one fragment per stream."""
+    one = chunks.select("stream_id", F.lit("").alias("fragment"), "seq", F.lit("text").alias("kind"), "text", F.col("last").alias("stop"))
+    dictionary = mapping if "layer" in mapping.columns else mapping.withColumn("layer", F.lit("detected"))
+    return restore_stream(one, dictionary, surrogates).select("stream_id", "seq", "text", "residuals")
 
 
 class _FragmentJoiner(StatefulProcessor):
@@ -154,13 +217,3 @@ def joined_fragments(fragments: DataFrame) -> DataFrame:
     """Batch twin of the stateful regrouping: the full text of each fragment key."""
     return fragments.groupBy("stream_id", "fragment", "kind").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text")).filter("text <> ''")
-
-
-def restore_fragments(pieces: DataFrame, mapping: DataFrame, surrogates: Surrogates, policy: str,
-                      restore: Callable[..., DataFrame]) -> DataFrame:
-    """Restore regrouped fragments against a dictionary table, tool text under the tool policy."""
-    allowed = mapping if policy == "all" else (
-        mapping.filter("layer = 'detected'") if policy == "detected" else mapping.limit(0))
-    text = restore(pieces.filter("kind = 'text'"), ["stream_id", "fragment"], "text", mapping, ["stream_id"], surrogates)
-    tool = restore(pieces.filter("kind = 'tool'"), ["stream_id", "fragment"], "text", allowed, ["stream_id"], surrogates)
-    return text.unionByName(tool).drop("mapping")

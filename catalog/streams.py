@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.base import KEY, Query, Tables, duck, sql_digest
-from catalog.redaction import RULES
+from catalog.base import KEY, Query, Tables, duck, sql_digest, sql_typed
+from catalog.redaction import HEX_SQL, hex_values, sql_occurrences
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.operators import detect as D
 from cloakwork.plans.redact import Redactor
@@ -207,19 +207,36 @@ def _(t):
 
 
 # --------------------------------------------------------------------------------- T7, T8
-@q("stream_live_registry", "SELECT doc_id, length(text) > 0 AS done FROM {documents} WHERE length(text) > 0")
+# Batch k has the k-th third of the documents.  The source lists one group of values per batch and
+# forgets the groups before; those must stay active.
+_GROUP = "CASE WHEN value < '5' THEN 0 WHEN value < 'a' THEN 1 ELSE 2 END"
+_BATCH = "CAST(floor(doc_id * 3 / ((SELECT max(doc_id) FROM documents) + 1)) AS INT)"
+
+
+@q("stream_live_registry", f"""SELECT d.doc_id, coalesce(r.redacted, d.text) AS redacted FROM documents d LEFT JOIN (
+   SELECT doc_id, string_agg(substr(text, prev + 1, start_pos - prev) || token, '' ORDER BY start_pos) || substr(any_value(text), max(end_pos) + 1) AS redacted
+   FROM (SELECT o.doc_id, d.text, start_pos, end_pos, {sql_typed('value', "'registry'", "'custom'")} AS token,
+      coalesce(lag(end_pos) OVER (PARTITION BY o.doc_id ORDER BY start_pos), 0) AS prev
+      FROM {sql_occurrences('documents', 'doc_id', HEX_SQL)} o JOIN (SELECT doc_id, text, {_BATCH} AS batch FROM documents) d USING (doc_id) WHERE {_GROUP} <= batch) _x
+   GROUP BY doc_id) r USING (doc_id)""")
 def _(t):
-    place = scratch(t)
-    forms = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("value")).distinct()
+    place, asked = scratch(t), []
+    values = hex_values(t)
+
+    def listed() -> DataFrame:
+        asked.append(None)
+        return values.filter(F.expr(_GROUP) == len(asked) - 1)
+
+    registry = SS.LiveRegistry(t.spark, place)
     handle = SS.with_live_registry(
-        lambda: forms, lambda f: Redactor(SUR, RULES, f), ["doc_id"], "text",
-        lambda df, epoch: df.select("doc_id", (F.length("redacted") > 0).alias("done")).write.mode("append").parquet(f"{place}/out"))
-    run = as_stream(t, t.documents.select("doc_id", "text")).writeStream.foreachBatch(handle).option(
+        registry, listed, lambda f: Redactor(SUR, (), f), ["doc_id"], "text",
+        lambda df, epoch: df.select("doc_id", "redacted").write.mode("overwrite").parquet(f"{place}/out/epoch={epoch}"))
+    run = as_batches(t, t.documents.select("doc_id", "text"), "doc_id").writeStream.foreachBatch(handle).option(
         "checkpointLocation", f"{place}/cp").trigger(availableNow=True).start()
-    if not run.awaitTermination(300):
+    if not run.awaitTermination(600):
         run.stop()
         raise TimeoutError("stream did not end")
-    return t.spark.read.parquet(f"{place}/out")
+    return t.spark.read.parquet(f"{place}/out").select("doc_id", "redacted")
 
 
 _STATS = """SELECT CASE event_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai-chat' ELSE 'unknown' END AS wire, event_type AS surface,

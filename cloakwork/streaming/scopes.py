@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cloakwork.operators.detect import Rule, detect
 from cloakwork.plans.redact import Redactor
-from cloakwork.session import checkpoint
 
 IDLE_TTL_MS = 30 * 60 * 1000
 
@@ -63,22 +62,42 @@ def detect_stream(texts: DataFrame, id_cols: Sequence[str], text_col: str, rules
     return detect(texts, id_cols, text_col, rules)
 
 
-def with_live_registry(load_forms: Callable[[], DataFrame], make: Callable[[DataFrame], Redactor],
+class LiveRegistry:
+    """Registered forms that only grow while a stream runs, kept as written versions.
+
+    Each micro-batch writes the forms it sees for the first time under its epoch and works with all
+    epochs up to its own.  The versions outlive the process: a restarted stream goes on with them, and
+    an epoch that runs again overwrites its own version and sees the same forms as before.
+    """
+
+    def __init__(self, spark: SparkSession, place: str, schema: str = "value string") -> None:
+        self.spark, self.folder, self.schema = spark, f"{place}/forms", schema
+        # so that the folder can be read before the first epoch
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/epoch=-1")
+
+    def upto(self, epoch: int) -> DataFrame:
+        """Forms of all epochs up to this one."""
+        typed = self.spark.read.schema(f"{self.schema}, epoch bigint").parquet(self.folder)
+        return typed.filter(F.col("epoch") <= epoch).drop("epoch").distinct()
+
+    def learn(self, forms: DataFrame, epoch: int) -> DataFrame:
+        """Write what is new in ``forms``; returns the forms that are active in this epoch."""
+        known = self.upto(epoch - 1)
+        new = forms.select(*known.columns).distinct().join(known, known.columns, "left_anti")
+        new.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+        return self.upto(epoch)
+
+
+def with_live_registry(registry: LiveRegistry, load_forms: Callable[[], DataFrame], make: Callable[[DataFrame], Redactor],
                        keys: Sequence[str], text_col: str, sink: Callable[[DataFrame, int], None]
                        ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that re-reads the registry for each micro-batch.
 
-    Reload is additive: a form once seen stays active until the stream restarts.
+    Reload is additive: a form once seen stays active, also when its source no longer lists it.
+    ``sink`` gets the epoch, so that it can overwrite what an earlier attempt wrote.
     """
-    active: list[DataFrame] = []
-
     def run(batch: DataFrame, epoch: int) -> None:
-        forms = load_forms()
-        merged = forms if not active else active[0].unionByName(forms, allowMissingColumns=True).distinct()
-        # a durable copy keeps the plan from growing with every micro-batch
-        merged = checkpoint(merged)
-        active[:] = [merged]
-        sink(make(merged).redact(batch, keys, text_col), epoch)
+        sink(make(registry.learn(load_forms(), epoch)).redact(batch, keys, text_col), epoch)
 
     return run
 

@@ -169,18 +169,43 @@ def _(t):
     return RC.latest_snapshot(t.sql(_SNAPS), "conv_id", "snap").select("conv_id", "turn", "snap")
 
 
+# Snapshot 0 lacks the third message, snapshot 1 the second and orders backwards, snapshot 2 has all but the
+# last of long threads; odd threads stop at snapshot 1, every fifth thread has no snapshot at all.
+_SAVED = """SELECT conv_id, s AS snap, conv_id * 1000 + turn AS message_id, role, CASE WHEN s = 1 THEN 100 - turn ELSE turn END AS pos, text || ' v' || CAST(s AS STRING) AS parts
+  FROM {conversations} CROSS JOIN (SELECT explode(array(0, 1, 2)) AS s) v WHERE conv_id % 5 <> 4 AND (s < 2 OR conv_id % 2 = 0)
+  AND NOT (s = 0 AND turn = 2) AND NOT (s = 1 AND turn = 1) AND NOT (s = 2 AND turn >= 4)"""
+_HELD = """SELECT conv_id, conv_id * 1000 + turn AS message_id, role, turn AS order_index, text AS parts, -1 AS created FROM {conversations} WHERE turn < 6"""
+
+
+@q("merge_snapshots", f"""WITH s AS (SELECT *, max(snap) OVER (PARTITION BY conv_id) AS newest FROM ({_SAVED.replace('(SELECT explode(array(0, 1, 2)) AS s) v', '(VALUES (0), (1), (2)) v(s)').replace('AS STRING', 'AS VARCHAR')}) _a),
+   h AS ({_HELD})
+   SELECT s.conv_id, s.message_id, s.role, CAST(row_number() OVER (PARTITION BY s.conv_id ORDER BY pos) - 1 AS BIGINT) AS order_index, s.parts,
+     -- kept since the store, or since the snapshot after the last one without it
+     coalesce((SELECT max(a.snap) + 1 FROM (SELECT DISTINCT conv_id, snap FROM s) a WHERE a.conv_id = s.conv_id AND NOT EXISTS (
+        SELECT 1 FROM s b WHERE b.conv_id = a.conv_id AND b.snap = a.snap AND b.message_id = s.message_id)), h.created, 0) AS created
+   FROM s LEFT JOIN h USING (message_id) WHERE snap = newest
+   UNION ALL SELECT conv_id, message_id, role, order_index, parts, created FROM h WHERE conv_id % 5 = 4""")
+def _(t):
+    kept, _gone = RC.merge_snapshots(t.sql(_HELD), t.sql(_SAVED), "conv_id", "snap", "message_id", "pos")
+    return kept.select("conv_id", "message_id", "role", F.col("order_index").cast("bigint").alias("order_index"), "parts", F.col("created").cast("bigint").alias("created"))
+
+
+@q("snapshot_tombstones", f"""SELECT conv_id, message_id, CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 1 END AS removed FROM ({_HELD}) _h WHERE conv_id % 5 <> 4
+   AND CASE WHEN conv_id % 2 = 0 THEN message_id % 1000 >= 4 ELSE message_id % 1000 = 1 END""")
+def _(t):
+    _kept, gone = RC.merge_snapshots(t.sql(_HELD), t.sql(_SAVED), "conv_id", "snap", "message_id", "pos")
+    return gone.select("conv_id", "message_id", "removed")
+
+
 _MSG = """SELECT conv_id, turn, role, CASE conv_id % 5 WHEN 0 THEN 'ctx <file_content>x</file_content>' || chr(10) || chr(10) || 'User request:' || chr(10) || '  sum   this ' || CAST(conv_id AS STRING)
   WHEN 1 THEN 'Attached text file 1 (filename omitted for privacy, 3 KB):' || chr(10) || '<file_content>' || text WHEN 2 THEN '  ' ELSE text END AS text FROM {conversations}"""
 
 
-@q("first_user_title", f"""SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'sum this ' || CAST(conv_id AS VARCHAR) WHEN 1 THEN 'Review Attached Text File' WHEN 2 THEN 'New chat'
-   ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) END AS title FROM (
-   SELECT c.conv_id, arg_min(m.text, m.turn) AS text FROM (SELECT DISTINCT conv_id FROM {{conversations}}) c LEFT JOIN (SELECT * FROM ({_MSG}) _m WHERE role = 'user') m ON c.conv_id = m.conv_id GROUP BY c.conv_id) _t
-   WHERE text IS NOT NULL""")
+@q("first_user_title", f"""SELECT conv_id, CASE WHEN text IS NULL THEN 'New chat' ELSE CASE conv_id % 5 WHEN 0 THEN 'sum this ' || CAST(conv_id AS VARCHAR) WHEN 1 THEN 'Review Attached Text File' WHEN 2 THEN 'New chat'
+   ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) END END AS title FROM (
+   SELECT c.conv_id, arg_min(m.text, m.turn) AS text FROM (SELECT DISTINCT conv_id FROM {{conversations}}) c LEFT JOIN (SELECT * FROM ({_MSG}) _m WHERE role = 'user') m ON c.conv_id = m.conv_id GROUP BY c.conv_id) _t""")
 def _(t):
-    rows = t.sql(_MSG)
-    users = rows.filter("role = 'user'").select("conv_id").distinct()
-    return RC.first_user_title(rows, "conv_id", "turn").join(users, "conv_id", "left_semi")
+    return RC.first_user_title(t.sql(_MSG), "conv_id", "turn")
 
 
 _THREADS = """SELECT o_orderkey AS thread_id, CAST(o_custkey % 7 AS STRING) AS org_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS deleted_at,

@@ -304,16 +304,33 @@ def _(t):
     return D.merge_findings(rows, ["doc"]).select("doc", "value", "confidence", "source", F.size("spans").cast("bigint").alias("spans"))
 
 
-@q("chunk_text", """SELECT doc_id, chunk, base, text FROM (SELECT doc_id, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS base, text FROM {documents}
-   WHERE length(text) <= 20000) _s""")
+def sql_chunks(size: int, overlap: int) -> str:
+    """Lines of the texts in order, packed one after the other; a longer line is cut hard."""
+    n, step = "length(line)", size - overlap
+    joins = f"open AND stop > base AND pos + {n} - base <= {size}"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE length(text) > {size}),
+  w AS (SELECT doc_id, 0 AS i, 0::BIGINT AS pos, false AS open, 0::BIGINT AS base, 0::BIGINT AS stop, []::STRUCT(b BIGINT, e BIGINT)[] AS out FROM d
+    UNION ALL SELECT doc_id, i + 1, pos + {n} + 1, {n} <= {size}, CASE WHEN {n} <= {size} AND NOT ({joins}) THEN pos ELSE base END,
+      CASE WHEN {n} <= {size} THEN pos + {n} ELSE stop END,
+      CASE WHEN NOT ({joins}) AND open AND stop > base THEN [{{'b': base, 'e': stop}}] ELSE [] END || CASE WHEN {n} > {size} THEN
+        list_transform(range(0, CAST(ceil(({n} - {size}) / {step}) AS BIGINT) + 1), lambda k: {{'b': pos + k * {step}, 'e': least(pos + k * {step} + {size}, pos + {n})}}) ELSE [] END
+    FROM (SELECT w.*, lines[i + 1] AS line, len(lines) AS m FROM w JOIN d USING (doc_id) WHERE i < len(lines)) _l),
+  r AS (SELECT doc_id, i, unnest(out) AS c FROM w UNION ALL
+    SELECT doc_id, i + 1, {{'b': base, 'e': stop}} FROM (SELECT w.*, len(lines) AS m FROM w JOIN d USING (doc_id)) _e WHERE i = m AND open AND stop > base)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c.b, c.e) - 1 AS chunk, c.b AS base, substr(text, c.b + 1, c.e - c.b) AS text FROM r JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, 0, 0, text FROM documents WHERE length(text) <= {size}"""
+
+
+@q("chunk_text", sql_chunks(fixed.MAX_CHUNK_CHARS, fixed.CHUNK_OVERLAP))
 def _(t):
-    out = D.chunk_text(t.documents.filter(F.length("text") <= fixed.MAX_CHUNK_CHARS), ["doc_id"], "text")
+    out = D.chunk_text(t.documents, ["doc_id"], "text")
     return out.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("base").cast("bigint").alias("base"), "text")
 
 
-@q("chunk_text_small_windows")
+@q("chunk_text_small_windows", sql_chunks(500, 20))
 def _(t):
-    return D.chunk_text(t.documents, ["doc_id"], "text", 500, 20).select("doc_id", "chunk", "base", F.length("text").alias("n"))
+    out = D.chunk_text(t.documents, ["doc_id"], "text", 500, 20)
+    return out.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("base").cast("bigint").alias("base"), "text")
 
 
 @q("detect_distinct_texts", "SELECT doc_id, rule, start_pos, end_pos, value FROM ("

@@ -192,14 +192,15 @@ def _(t):
     return d.select("doc_id", "token", "value", "name", "layer")
 
 
-@q("user_protected_values", """SELECT conv_id, turn, 'USER_SELECTED' AS name, count(*) AS n FROM (
-   SELECT c.conv_id, c.turn, unnest(regexp_extract_all(c.text, v.value)) AS hit FROM {conversations} c
-   JOIN (SELECT conv_id, regexp_extract(text, '([A-Za-z]{9,})', 1) AS value FROM {conversations} WHERE turn = 0) v USING (conv_id)
-   WHERE v.value <> '' AND contains(c.text, v.value)) _h GROUP BY conv_id, turn""")
+@q("user_protected_values", """SELECT conv_id, turn, surface, 'USER_SELECTED' AS name, count(*) AS n FROM (
+   SELECT c.conv_id, c.turn, unnest(regexp_extract_all(c.text, '(?i)' || v.value)) AS surface FROM {conversations} c
+   JOIN (SELECT conv_id, regexp_extract(text, '([A-Za-z]{4,})', 1) AS value FROM {conversations} WHERE turn = 0) v USING (conv_id)
+   WHERE v.value <> '') _h GROUP BY conv_id, turn, surface""")
 def _(t):
-    chosen = t.conversations.filter("turn = 0").select("conv_id", F.regexp_extract("text", "([A-Za-z]{9,})", 1).alias("value"))
+    # word-like values of a user match in any letter case
+    chosen = t.conversations.filter("turn = 0").select("conv_id", F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("value"))
     hit = M.match_scoped(t.conversations, ["conv_id", "turn"], "text", RD.user_forms(chosen), ["conv_id"])
-    return hit.filter("surface = value").groupBy("conv_id", "turn", "name").agg(F.count("*").alias("n"))
+    return hit.groupBy("conv_id", "turn", "surface", "name").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------------- R1 bodies
@@ -391,18 +392,18 @@ def _(t):
 
 
 # ------------------------------------------------------------------------------ J5
-_FIRST = """SELECT conv_id, turn, regexp_extract(text, '([A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z]+)', 1) AS value FROM {conversations}"""
-_CARRY = """SELECT c.conv_id, c.turn, v.value, v.first_turn FROM {conversations} c JOIN (
-   SELECT conv_id, value, min(turn) AS first_turn FROM (SELECT conv_id, turn, regexp_extract(text, '([A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z]+)', 1) AS value
-   FROM {conversations}) _f WHERE value <> '' GROUP BY conv_id, value) v
-   ON c.conv_id = v.conv_id AND c.turn >= v.first_turn AND contains(c.text, v.value)"""
+_FIRST = """SELECT conv_id, turn, regexp_extract(text, '([A-Za-z][A-Za-z][A-Za-z][A-Za-z]+)', 1) AS value FROM {conversations}"""
+# any letter case, but a lower-case word is no mention of a capitalized name
+_CARRY = f"""SELECT DISTINCT conv_id, turn, value, first_turn, surface FROM (SELECT c.conv_id, c.turn, v.value, v.first_turn, unnest(regexp_extract_all(c.text, '(?i)' || v.value)) AS surface
+   FROM {{conversations}} c JOIN (SELECT conv_id, value, min(turn) AS first_turn FROM ({_FIRST}) _f WHERE value <> '' GROUP BY conv_id, value) v
+   ON c.conv_id = v.conv_id AND c.turn >= v.first_turn) _s WHERE NOT (surface = lower(surface) AND value <> lower(value))"""
 
 
 @q("carry_forward", _CARRY)
 def _(t):
-    values = t.sql(_FIRST).filter("value <> ''").groupBy("conv_id", "value").agg(F.min("turn").alias("first_turn"))
-    return carry_forward(t.conversations, "conv_id", "turn", "text", known=values).filter("surface = value").select(
-        "conv_id", "turn", "value", "first_turn").distinct()
+    values = t.sql(_FIRST).filter("value <> ''").groupBy("conv_id", "value").agg(F.min("turn").alias("first_turn")).withColumn("authority", F.lit("detected"))
+    return carry_forward(t.conversations, "conv_id", "turn", "text", known=values).select(
+        "conv_id", "turn", "value", "first_turn", "surface").distinct()
 
 
 # -------------------------------------------------------------------------- J6, U4

@@ -80,6 +80,36 @@ def latest_snapshot(messages: DataFrame, thread: str, snapshot: str) -> DataFram
     return messages.join(last, [thread, snapshot], "left_semi")
 
 
+def merge_snapshots(stored: DataFrame, snapshots: DataFrame, thread: str, snapshot: str, message: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Apply transcript snapshots to stored messages; returns (messages, tombstones).
+
+    The newest snapshot of a thread is the whole truth about it: its messages are stored under their
+    ids with role, parts and ``order_index`` of the snapshot, what it lacks is gone.  ``created`` stays
+    while a message is in every snapshot; one that was missing in between is new again from the
+    snapshot that brought it back.  Threads without a snapshot keep their rows.  Tombstones name the
+    stored messages that went and the snapshot that removed them.
+    """
+    numbers = W.partitionBy(thread).orderBy(snapshot)
+    taken = snapshots.select(thread, snapshot).distinct().withColumn("_no", F.row_number().over(numbers)).withColumn(
+        "_last", F.count("*").over(W.partitionBy(thread)))
+    rows = snapshots.join(taken, [thread, snapshot])
+    # snapshots without a gap in front of the newest one share the difference of number and rank
+    run = F.col("_no") - F.row_number().over(W.partitionBy(thread, message).orderBy("_no"))
+    run_of = W.partitionBy(thread, message, "_run")
+    rows = rows.withColumn("_run", run).withColumn("_since", F.min("_no").over(run_of)).withColumn("_since_name", F.min(snapshot).over(run_of))
+    newest = rows.filter("_no = _last").withColumn(
+        "order_index", F.row_number().over(W.partitionBy(thread).orderBy(order)) - 1)
+    before = stored.select(F.col(message), F.col("created").alias("_created"))
+    # a message in all snapshots is as old as its stored row
+    kept = newest.join(before, message, "left").select(
+        thread, message, "role", "order_index", "parts", F.when((F.col("_since") == 1) & F.col("_created").isNotNull(), F.col("_created")).otherwise(
+            F.col("_since_name")).alias("created"))
+    threads = taken.filter("_no = _last").select(thread, F.col(snapshot).alias("removed"))
+    untouched = stored.join(threads, thread, "left_anti").select(*kept.columns)
+    gone = stored.join(threads, thread).join(newest.select(message), message, "left_anti").select(thread, message, "removed")
+    return kept.unionByName(untouched), gone
+
+
 def parts_text(parts: Column) -> Column:
     """Text of message parts ``array<struct<type,content,text>>``."""
     return F.array_join(F.transform(F.filter(parts, lambda p: p.type == "text"),

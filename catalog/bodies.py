@@ -131,6 +131,18 @@ def _(t: Tables):
     return RD.Redactor(SUR).redact_bodies(found, ["c_custkey"], detections="detections").select("c_custkey", "redacted")
 
 
+# the name is written with emphasis inside; its raw surface, syntax included, is replaced
+_BOLD = "replace(org, ' Lantern', '** Lantern')"
+
+
+@q("redact_bodies_markdown", f"""SELECT c_custkey, '{{"org":"1. we met **' || {token(_BOLD, 'organization', 'pii')} || ', \\\\# then ~~nobody~~"}}' AS redacted FROM ({_NAMED}) _n""")
+def _(t: Tables):
+    body = F.concat(F.lit('{"org":"1. we met **'), F.expr(_BOLD), F.lit(', \\\\# then ~~nobody~~"}'))
+    rows = t.sql(_NAMED).select("c_custkey", body.alias("body"))
+    found = RD.with_detections(rows, ["c_custkey"], "body", [("markdown", I.on_markdown(I.designator_organizations), "content")])
+    return RD.Redactor(SUR).redact_bodies(found, ["c_custkey"], detections="detections").select("c_custkey", "redacted")
+
+
 @q("run_detectors", f"""SELECT c_custkey, 'identity' AS detector, 'organization' AS rule, 7 AS start_pos, CAST(7 + length(org) AS BIGINT) AS end_pos FROM ({_NAMED}) _a
    UNION ALL SELECT c_custkey, 'regex', 'email', CAST(20 + length(org) AS BIGINT), CAST(20 + length(org) + length(mail) AS BIGINT) FROM ({_NAMED}) _b""")
 def _(t: Tables):

@@ -277,7 +277,7 @@ def _(t):
 
 
 @q("markdown_view", f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {lit(r'\\([\\`*_{}\[\]()#+\-.!|~>])')}, '\\1', 'g'),
-   '[*~`]+', '', 'g'), {lit(r'(?m)^([ \t]*)(?:#{1,6}|[-+]|[0-9]{1,18}\.)([ \t])')}, '\\1\\2', 'g') AS clean FROM {{documents}}""")
+   '[*~`]+', '', 'g'), {lit(r'(?m)^([ \t]*)(?:#{1,6}|[-+]|[0-9]+\.)([ \t])')}, '\\1\\2', 'g') AS clean FROM {{documents}}""")
 def _(t):
     return t.documents.select("doc_id", I.markdown_view(F.col("text"))["text"].alias("clean"))
 

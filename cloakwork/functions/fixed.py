@@ -322,11 +322,9 @@ FORM_KINDS = ["legal_name", "full_name", "short_name", "alias"]
 FORM_BOUNDARIES = ["substring", "token"]
 REGISTRY_SCHEMA = "managed-registry/v2"
 
-# Markdown syntax removed before name detection; text kept by look-around is not consumed.
-MARKDOWN_REMOVE = (
-    r"\\(?=[\\`*_{}\[\]()#+\-.!|~>])|[*~`]+"
-    r"|(?<=(?:^|\n)[ \t]{0,64})(?:#{1,6}|[-+]|[0-9]{1,18}\.)(?=[ \t])"
-)
+# Markdown syntax removed before name detection: line-leading markers behind their indent (groups 1, 2),
+# escapes and emphasis anywhere (group 3); text kept by look-ahead is not consumed.
+MARKDOWN_REMOVE = r"(?md)^([ \t]*+)(#{1,6}|[-+]|[0-9]++\.)(?=[ \t])|(\\(?=[\\`*_{}\[\]()#+\-.!|~>])|[*~`]+)"
 # A fact stands alone and is not negated (white space is folded before matching).
 FACT_BEFORE = r"(?<![\p{L}\p{N}])(?<!(?:^|[^A-Za-z0-9_])(?:not|no|never|no longer) )"
 FACT_AFTER = r"(?![\p{L}\p{N}])"

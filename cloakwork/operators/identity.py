@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from cloakwork.functions import fixed
 from cloakwork.functions.fixed import java
 from cloakwork.functions.predicates import is_name_word, normalize_word
-from cloakwork.functions.text import let
-from cloakwork.operators.spans import MARK, mark_safe, running, scan
+from cloakwork.functions.text import let, pin
+from cloakwork.operators.detect import Detector
+from cloakwork.operators.spans import MARK, cut, mark_safe, running, scan
 
 WORD_PATTERN = f"({fixed.WORD})"
 
@@ -233,7 +234,7 @@ def markdown_view(text: Column) -> Column:
 
     ``kept`` is the piecewise map from the clean view back to the raw text.
     """
-    marked = F.split(F.regexp_replace(text, f"({fixed.MARKDOWN_REMOVE})", f"{MARK}$1{MARK}"), MARK, -1)
+    marked = cut(mark_safe(text), fixed.MARKDOWN_REMOVE, f"$1{MARK}$2$3{MARK}")
 
     def build(p: Column) -> Column:
         lengths = F.transform(p, lambda x: F.length(x))
@@ -250,8 +251,36 @@ def markdown_view(text: Column) -> Column:
 
 
 def to_raw(kept: Column, offset: Column, end: bool = False) -> Column:
-    """Raw offset of a clean-view boundary; an end boundary stays with the text before it."""
-    inside = F.filter(kept, lambda k: (
-        (k.norm_start < offset) & (offset <= k.norm_start + k.len) if end
-        else (k.norm_start <= offset) & (offset < k.norm_start + k.len)))
-    return F.get(F.transform(inside, lambda k: k.raw_start + offset - k.norm_start), F.lit(0))
+    """Raw offset of a clean-view boundary; an end boundary stays with the text before it.
+
+    The pieces are sorted, so the one at the offset is found by halving.
+    """
+    def piece(k: Column) -> Column:
+        def halve(a: Column, _: Column) -> Column:
+            middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+            at = F.get(k, middle)["norm_start"]
+            left = (at < offset) if end else (at <= offset)
+            return F.when(a["high"] - a["low"] <= 1, a).otherwise(F.struct(
+                F.when(left, middle).otherwise(a["low"]).alias("low"), F.when(left, a["high"]).otherwise(middle).alias("high")))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2((F.size(k) + 1).cast("double"))).cast("int"))
+        return let(F.get(k, F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(k).alias("high")), halve, lambda a: a["low"])), inside)
+
+    def inside(p: Column) -> Column:
+        fits = (p["norm_start"] < offset) & (offset <= p["norm_start"] + p["len"]) if end else (
+            (p["norm_start"] <= offset) & (offset < p["norm_start"] + p["len"]))
+        return F.when(fits, p["raw_start"] + offset - p["norm_start"])
+
+    return let(kept, piece)
+
+
+def on_markdown(detector: Detector) -> Detector:
+    """A detector that reads texts without their Markdown syntax; its spans come back in raw offsets."""
+    def run(df: DataFrame, ids: Sequence[str], text_col: str) -> DataFrame:
+        view = df.select(*ids, pin(markdown_view(F.col(text_col))).alias("_v"))
+        found = detector(view.select(*ids, F.col("_v.text").alias(text_col)), ids, text_col)
+        raw = found.join(view.select(*ids, F.col("_v.kept").alias("_kept")), list(ids))
+        start, behind = to_raw(F.col("_kept"), F.col("start")), to_raw(F.col("_kept"), F.col("end"), True)
+        return raw.withColumn("start", start).withColumn("end", behind).drop("_kept", "value").filter("start is not null and end is not null")
+
+    return run

@@ -150,3 +150,25 @@ def test_limits_block_bodies(spark):
     for how, over in (({"max_entities": 4}, True), ({"max_occurrences": 4}, True), ({}, False)):
         out = RD.Redactor(SUR, D.PII_RULES, **how).redact_bodies(table(spark, body), ["id"]).first()
         assert out["over_limit"] is over and (out["redacted"] is None) is over
+
+
+def test_markdown_view_maps_back_to_the_raw_text(spark):
+    import re
+
+    from cloakwork.operators import identity as I
+
+    rnd = random.Random(6)
+    texts = ["", "plain", " " * 200 + "# far", "1234567890123456789012. long", "**", "\\*"] + [
+        "".join(rnd.choice(["a", "b ", "\n", "# ", "- ", "12. ", "*", "~~", "`", "\\", "\\#", "\t", "é"]) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("v", I.markdown_view(F.col("t")))
+    at = F.transform(F.sequence(F.lit(0), F.length("v.text")), lambda i: F.struct(
+        I.to_raw(F.col("v.kept"), i).alias("s"), I.to_raw(F.col("v.kept"), i, True).alias("e")))
+    for r in df.select("id", "v.text", at.alias("at")).collect():
+        raw, gone = texts[r["id"]], set()
+        for m in re.finditer(r"\\(?=[\\`*_{}\[\]()#+\-.!|~>])|[*~`]+", raw):
+            gone |= set(range(*m.span()))
+        for m in re.finditer(r"(?:^|(?<=\n))([ \t]*)(#{1,6}|[-+]|[0-9]+\.)(?=[ \t])", raw):
+            gone |= set(range(*m.span(2)))
+        kept = [i for i in range(len(raw)) if i not in gone]
+        assert r["text"] == "".join(raw[i] for i in kept)
+        assert [a["s"] for a in r["at"]][:-1] == kept and [a["e"] for a in r["at"]][1:] == [i + 1 for i in kept]

@@ -167,14 +167,13 @@ def _(t):
     return r.gate(raw, ["doc_id"], "text").withColumn("outcome", RD.outcome()).groupBy("outcome").agg(F.count("*").alias("docs"))
 
 
-@q("safety_limits", f"""SELECT doc_id, coalesce(n, 0) > 2 AS over_limit FROM documents LEFT JOIN
-   (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, value FROM {_OCC} _o) _v GROUP BY doc_id) _c USING (doc_id)""")
-def _(t):
-    # distinct registered forms that occur, against a small limit
-    f = M.Dictionary(forms(t)).occurrences(t.documents, ["doc_id"], "text").groupBy("doc_id").agg(
-        F.count_distinct("value").alias("n"))
-    return t.documents.select("doc_id").join(f, "doc_id", "left").select(
-        "doc_id", (F.coalesce("n", F.lit(0)) > 2).alias("over_limit"))
+@q("safety_limits", f"""SELECT doc_id, coalesce(n, 0) > 2 AS over_limit, coalesce(n, 0) > 2 AS blocked, coalesce(n, 0) > 2 AS withheld FROM documents LEFT JOIN
+   (SELECT doc_id, count(*) AS n FROM {_OCC} _o GROUP BY doc_id) _c USING (doc_id)""")
+def _(t):
+    # the redactor itself, with a small limit: a text over it has no redacted form and is blocked
+    r = RD.Redactor(SUR, (), forms(t), preserve_paths=False, max_occurrences=2)
+    done = r.gate(r.redact(t.documents.select("doc_id", "text"), ["doc_id"]), ["doc_id"])
+    return done.select("doc_id", "over_limit", (RD.outcome() == "blocked").alias("blocked"), F.col("redacted").isNull().alias("withheld"))
 
 
 @q("protection_preview", f"""SELECT doc_id, sha256(text) AS text_sha256, start_pos, end_pos, {sql_typed('value', 'name', "'pii'")} AS surrogate,

@@ -49,12 +49,47 @@ def parse_dotenv(text: Column) -> Column:
     return F.filter(F.transform(entries, parsed), lambda e: e["name"] != "")
 
 
+HIDDEN_BYTES = 16_000_000     # env files with dotted names that may be read by the driver
+
+
+def _listed(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list]:
+    """Files under the paths: names that Spark's readers list, and files they skip (leading dot or underscore)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen, hidden = [], []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(conf)
+        for found in fs.globStatus(where) or []:
+            for f in fs.listStatus(found.getPath()):
+                if f.isFile():
+                    if f.getPath().getName()[0] in "._":
+                        hidden.append((fs, f))
+                    else:
+                        seen.append(f.getPath().toString())
+    return seen, hidden
+
+
 def load_dotenv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, pos, name, value) of all env files under the paths."""
-    files = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"), F.posexplode(parse_dotenv(F.col("value"))).alias("pos", "e")
-    ).select("path", "pos", "e.name", "e.value")
+    """(path, pos, name, value) of all env files under the paths.
+
+    Spark's file sources skip names with a leading dot, as ``.env`` has.  Such files are few and small, so
+    the driver reads them, up to ``HIDDEN_BYTES``; beyond that they must be stored under other names.
+    """
+    seen, hidden = _listed(spark, [paths] if isinstance(paths, str) else list(paths))
+    if (size := sum(f.getLen() for _, f in hidden)) > HIDDEN_BYTES:
+        raise ValueError(f"{size} bytes of env files with dotted names; store them under names that Spark lists")
+    read = spark._jvm.org.apache.commons.io.IOUtils.toString
+    dotted = []
+    for fs, f in hidden:
+        stream = fs.open(f.getPath())
+        try:
+            dotted.append((f.getPath().toString(), read(stream, "UTF-8")))
+        finally:
+            stream.close()
+    files = spark.createDataFrame(dotted, "path string, value string")
+    if seen:
+        files = files.unionByName(spark.read.text(seen, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    return files.select("path", F.posexplode(parse_dotenv(F.col("value"))).alias("pos", "e")).select("path", "pos", "e.name", "e.value")
 
 
 # ------------------------------------------------------------- S2, S12 env tables
@@ -263,18 +298,30 @@ def check_import(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, rejects
 
 
-def import_registry_csv(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Registry entries and rejected rows of CSV files with aliased headers."""
-    raw = spark.read.csv(path, header=header, quote='"', escape='"', multiLine=True, inferSchema=False)
-    names = raw.columns if header else ["value", "status"][: len(raw.columns)]
-    raw = raw.toDF(*names, *[f"_extra{i}" for i in range(len(raw.columns) - len(names))])
-    known = {}
-    for i, name in enumerate(names):
-        key = "".join(ch for ch in name.strip().lower().replace("-", "_").replace(" ", "_") if ch.isalnum() or ch == "_")
-        if key in CSV_COLUMNS:
-            known[key] = raw[raw.columns[i]]
-    rows = raw.select(F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in known.items()])
-    return check_import(rows.filter(F.coalesce(*[F.col(c) for c in known]).isNotNull()))
+def _column_of(cell: str | None) -> str | None:
+    """Import column that a header cell names, if any."""
+    key = "_".join("".join(c if c.isalnum() or c == "_" else " " if c in "- \t\n" else "" for c in (cell or "").strip().lower()).split())
+    return key if key in CSV_COLUMNS else None
+
+
+def import_registry_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Registry entries and rejected rows of CSV files, with their ``row`` in the file.
+
+    The first row is a header if one of its cells names an import column; without one the columns
+    are value and status.  Blank rows do not count.  All files of a path have the same columns.
+    """
+    raw = spark.read.csv(path, header=False, quote='"', escape='"', multiLine=True, inferSchema=False)
+    cells = raw.columns
+    filled = F.coalesce(*[F.when(trim_ws(F.col(c)) != "", F.lit(True)) for c in cells], F.lit(False))
+    # a file is one partition (quoted cells may hold line breaks), so its rows number in order
+    numbered = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id()).filter(filled).withColumn(
+        "row", F.row_number().over(W.partitionBy("_file").orderBy("_at")))
+    first = numbered.orderBy("_file", "row").limit(1).collect()
+    named = [_column_of(first[0][c]) for c in cells] if first else []
+    header = any(named)
+    columns = named if header else ["value", "status"][: len(cells)]
+    rows = numbered.filter("row > 1") if header else numbered
+    return check_import(rows.select("row", *[F.col(c).alias(n) for c, n in zip(cells, columns) if n]))
 
 
 # -------------------------------------------------------------------- S6 bodies

@@ -37,15 +37,18 @@ def render_registry(entries: DataFrame) -> DataFrame:
     return entity.unionByName(flat)
 
 
-def write_registry(entries: DataFrame, path: str, revision: str, generated_at: str, mode: str = "error") -> None:
-    """Write rendered entries as managed registry JSON files.
+def write_registry(entries: DataFrame, path: str, revision: str, generated_at: str, mode: str = "error",
+                   max_bytes: int = 16_000_000) -> None:
+    """Write rendered entries as managed registry JSON files of about ``max_bytes``.
 
-    Each output file is a complete document over its own entries; the loader reads a folder of
-    such files as one registry, so a large registry never passes through one task.
+    Entries are dealt to documents by the hash of their id, as many as their bytes need.  Each
+    document is complete; the loader reads a folder of them as one registry, so a large registry
+    never passes through one task or one row.
     """
-    parts = entries.withColumn("_part", F.spark_partition_id()).groupBy("_part").agg(
-        F.collect_list(F.struct("id", "protectionKind", "entityType", "canonicalValue", "value",
-                                "semanticType", "forms")).alias("entries"))
+    entry = F.struct("id", "protectionKind", "entityType", "canonicalValue", "value", "semanticType", "forms")
+    size = entries.agg(F.sum(F.octet_length(F.to_json(entry))).alias("bytes")).first()["bytes"] or 0
+    documents = -(-size // max_bytes) or 1
+    parts = entries.groupBy(F.pmod(F.xxhash64("id"), F.lit(documents)).alias("_part")).agg(F.collect_list(entry).alias("entries"))
     parts.select(
         F.lit(fixed.REGISTRY_SCHEMA).alias("schema"), F.lit(revision).alias("revision"),
         F.lit("cloakwork").alias("generatedBy"), F.lit(generated_at).alias("generatedAt"), "entries",

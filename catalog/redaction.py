@@ -342,10 +342,20 @@ def _(t):
     return _resolved(out.select("doc", "r.start", "r.end", "r.clipped", "r.clipped_by", "r.info.entity_id", "r.info.authority"))
 
 
-@q("longest_first_selection")
+# one claim after the other, longest value first: it is taken unless it touches one taken before
+_LONGEST = f"""WITH RECURSIVE c AS (SELECT DISTINCT doc, start_at AS s, end_at AS e, substr({_BASE}, start_at + 1, end_at - start_at) AS v FROM ({duck(_CLAIMS)}) _c),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY length(v) DESC, v, s, e) AS i FROM c),
+  r AS (SELECT doc, i, [{{'s': s, 'e': e, 'v': v}}] AS taken FROM o WHERE i = 1
+    UNION ALL SELECT o.doc, o.i, CASE WHEN len(list_filter(taken, lambda x: x.s < o.e AND o.s < x.e)) > 0 THEN taken ELSE taken || [{{'s': o.s, 'e': o.e, 'v': o.v}}] END
+    FROM r JOIN o ON r.doc = o.doc AND o.i = r.i + 1)
+  SELECT doc, x.s AS start_pos, x.e AS end_pos, x.v AS value FROM (SELECT doc, unnest(arg_max(taken, i)) AS x FROM r GROUP BY doc) _t"""
+
+
+@q("longest_first_selection", _LONGEST)
 def _(t):
     per = _claims(t).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "value", F.col("value").alias("pattern_value"))).alias("s"))
-    return per.select("doc", F.explode(SP.longest_first(F.col("s"))).alias("x")).select("doc", "x.start", "x.end", "x.value")
+    return per.select("doc", F.explode(SP.longest_first(F.col("s"))).alias("x")).select(
+        "doc", F.col("x.start").cast(B).alias("start_pos"), F.col("x.end").cast(B).alias("end_pos"), "x.value")
 
 
 @q("splice_spans", """SELECT doc_id, regexp_replace(text, '([0-9]+)', '<\\1>', 'g') AS spliced, true AS anchored FROM {documents}""")

@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.base import KEY, Query, Tables, duck, sql_digest, sql_typed
+from catalog.base import KEY, Query, Tables, duck, sql_digest, sql_luhn, sql_pieces, sql_typed
 from catalog.redaction import HEX_SQL, hex_values, sql_occurrences
+from cloakwork.functions import fixed
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.operators import detect as D
 from cloakwork.plans.redact import Redactor
@@ -200,7 +201,9 @@ def _(t):
     return drain(t, SS.swept_once(as_stream(t, rows))).select("scope", "text")
 
 
-@q("stream_detect", None)
+@q("stream_detect", f"""SELECT doc_id, 'email' AS rule, value FROM {sql_pieces('documents', 'doc_id', 'text', fixed.EMAIL)} _e
+   UNION ALL SELECT doc_id, 'us-ssn', value FROM {sql_pieces('documents', 'doc_id', 'text', fixed.US_SSN)} _s
+   UNION ALL SELECT doc_id, 'credit-card', value FROM {sql_pieces('documents', 'doc_id', 'text', fixed.CREDIT_CARD)} _c WHERE {sql_luhn('value')}""")
 def _(t):
     rows = t.documents.select("doc_id", "text")
     return drain(t, SS.detect_stream(as_stream(t, rows), ["doc_id"], "text", D.PII_RULES)).select("doc_id", "rule", "value")

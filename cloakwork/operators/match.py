@@ -25,6 +25,7 @@ from cloakwork.functions.predicates import is_case_expandable, is_lowercase_sing
 from cloakwork.functions.text import flexible_pattern, key_fold, let, pin
 from cloakwork.operators.prefilter import KeyFilter
 from cloakwork.operators.spans import mark_safe, scan
+from cloakwork.session import checkpoint
 
 BLOCKS = 88                   # class of 8-grams at every eighth character
 _BLOCK = 8
@@ -141,17 +142,14 @@ def _form_anchors(value: Column) -> Column:
 def anchored(forms: DataFrame) -> DataFrame:
     """Add ``cls`` (anchor class) and ``anchor``: the hash of the form's rarest anchor, or a row for each it needs."""
     cols = forms.columns
-    keyed = forms.withColumn("_a", _form_anchors(F.col("value"))).filter("_a.cls is not null")
+    keyed = forms.withColumn("_a", pin(_form_anchors(F.col("value")))).filter("_a.cls is not null")
     pairs = keyed.select(*cols, F.col("_a.cls").alias("cls"), F.explode("_a.keys").alias("_key")).withColumn(
         "_form", F.xxhash64(*cols))
     chosen = pairs.filter(F.col("cls") != BLOCKS)
     counts = chosen.groupBy("_key").agg(F.count("*").alias("_n"))
-    best = (
-        chosen.select("_form", "_key").join(counts, "_key")
-        .groupBy("_form").agg(F.min(F.struct("_n", "_key")).alias("_best"))
-    )
-    rarest = keyed.select(*cols, F.col("_a.cls").alias("cls"), F.xxhash64(*cols).alias("_form")).join(
-        best, "_form").select(*cols, "cls", F.col("_best._key").alias("anchor"))
+    rarest = chosen.join(counts, "_key").groupBy("_form").agg(
+        F.min(F.struct("_n", "_key")).alias("_best"), F.first(F.struct(*cols, "cls")).alias("_f")
+    ).select("_f.*", F.col("_best._key").alias("anchor"))
     return rarest.unionByName(pairs.filter(F.col("cls") == BLOCKS).select(*cols, "cls", F.col("_key").alias("anchor")))
 
 
@@ -201,7 +199,8 @@ class Dictionary:
 
     def __init__(self, forms: DataFrame, inline_forms: int = INLINE_FORMS, inline_bytes: int = INLINE_BYTES):
         self.forms = with_form_defaults(forms).select("value", *FORM_DEFAULTS).filter("value <> ''").distinct()
-        self.anchored = anchored(self.forms)
+        # prepared once: matching, the gate and the key filter all read it
+        self.anchored = checkpoint(anchored(self.forms))
         # the size check that allows the broadcast row, and the anchor classes in use
         size = self.anchored.agg(
             F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes"),

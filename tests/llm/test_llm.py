@@ -256,6 +256,26 @@ def test_nearest(spark):
     assert ann.nearest(t.limit(0)).count() == 0
 
 
+def test_nearest_unequal_lengths(spark):
+    """Recall against brute force with log-normal lengths, and with one vector a million times as long as the others."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1200, 24))
+    one = x.copy()
+    one[601] *= 1e6
+    for m in (x * rng.lognormal(0, 1.5, (1200, 1)), one):
+        t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in ann.nearest(t).collect():
+            got[r["query_id"]].append(r["score"])
+        hits = 0
+        for q, found in got.items():
+            s = m @ m[q]
+            s[q] = -np.inf
+            last = np.sort(s)[-20]
+            hits += sum(v >= last - 1e-9 * abs(last) for v in found)
+        assert len(got) == 60 and hits >= 0.95 * 20 * 60
+
+
 def test_quality_rules(docs, none, rows):
     def measure(t):
         w, t = words(t), t or ""

@@ -2,14 +2,13 @@
 
 Rule: a line goes if a line that stands earlier (smaller document id, then place) is equal or at
 most ``edits`` insertions, deletions or substitutions away.  Lines shorter than ``shortest``
-characters are near to none, for two edits are much of them; those shorter than ``equal_from``
-characters (``shortest`` unless given), and lines without a word, always stay.
+characters are near to none, for two edits are much of them, but go if they are equal.  Lines without a word always stay.
 
 Method: equal lines are reduced to their first occurrence.  A distinct line is cut into edits + 1
 segments; of two lines within the distance, one segment of the shorter occurs unchanged in the
 longer, moved by a bounded shift.  So each line stores its segments under (length, segment number,
 content), and looks up its own substrings under the lengths it can be near to, at the shifts that
-leave enough edits for the rest.  What meets, with letter counts that allow it, is verified with a banded bit-parallel edit distance:
+leave enough edits for the rest.  What meets, with counts of letters and digits that allow it, is verified with a banded bit-parallel edit distance:
 a band of 2 edits + 1 cells is one machine word.  Texts are shuffled once, by document.
 
 Cases: null texts have no lines and stay null; rows that share an id or have none come after all
@@ -96,34 +95,31 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column]
     return stored, looked
 
 
-LETTERS = "etaoinsr"
+COUNTED = "etaomwgp01234567"
+_RING = 0x8CEF7310  # codes of 0 to 7: neighbours on the ring differ in one bit, 0 and 7 too
 
 
-def letter_counts(line: Column, length: Column) -> Column:
-    """How often eight frequent letters occur, modulo 256, a byte each."""
+def character_counts(line: Column, length: Column) -> Column:
+    """How often eight letters and eight digits occur, modulo 8, four bits each: as many bits differ as counts are apart on the ring."""
     out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        n = (length - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256
-        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
+    for i, c in enumerate(COUNTED):
+        n = length - F.length(F.replace(line, F.lit(c), F.lit("")))
+        code = F.expr(f"{_RING}L").bitwiseAND(F.call_function("shiftleft", F.lit(15).cast("long"), n.bitwiseAND(7) * 4))
+        out = out.bitwiseOR(F.shiftleft(F.call_function("shiftrightunsigned", code, n.bitwiseAND(7) * 4), 4 * i))
     return out
 
 
 def counts_allow(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines can be within the distance: an edit raises one count and lowers one, by one at most."""
-    more, less = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(len(LETTERS)):
-        byte = lambda x: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
-        apart = F.pmod(byte(a) - byte(b) + 128, F.lit(256)) - 128
-        more, less = more + F.greatest(apart, F.lit(0)), less - F.least(apart, F.lit(0))
-    return (more <= edits) & (less <= edits)
+    """Whether two lines can be within the distance: an edit moves two counts at most, by one."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _counts(line: Column, shortest: int) -> Column:
-    return (F.length(line) >= shortest) & line.rlike(WORD)
+def _counts(line: Column) -> Column:
+    return line.rlike(WORD)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -142,20 +138,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return rows.repartition("d"), rows
 
 
-def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text",
-               equal_from: int | None = None) -> DataFrame:
+def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The docs' columns in ``doc``, with ``lines`` (array), ``kept`` (places from 0), ``n_equal`` and ``n_near`` (lines removed)."""
-    equal_from = shortest if equal_from is None else equal_from
     base, read = _documents(docs, id_col, text_col)
     # all that follows is one plan: its exchanges of texts, lines and keys are shared by the branches that need them
     text = base.select("d", F.element_at("pack", 1)[text_col].alias("text"))
-    lines = read.select("d", F.posexplode(_lines(F.element_at("pack", 1)[text_col])).alias("pos", "line")).filter(_counts(F.col("line"), equal_from))
+    lines = read.select("d", F.posexplode(_lines(F.element_at("pack", 1)[text_col])).alias("pos", "line")).filter(_counts(F.col("line")))
     firsts = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(
         F.min(F.struct("d", "pos")).alias("f"), F.first(F.length("line")).alias("n")).select("f.*", "n")
     mine = _picked(text, firsts.filter(F.col("n") >= shortest).groupBy("d").agg(F.collect_list("pos").alias("places")))
     stored, looked = segment_keys(F.col("line"), F.col("n"), edits)
     # keys are columns of their own first: inside the generator they would be interpreted
-    keyed = mine.select("d", "pos", letter_counts(F.col("line"), F.col("n")).alias("counts"), F.array(*stored, *looked).alias("keys")).select(
+    keyed = mine.select("d", "pos", character_counts(F.col("line"), F.col("n")).alias("counts"), F.array(*stored, *looked).alias("keys")).select(
         "d", "pos", "counts", F.posexplode_outer("keys").alias("no", "k")).filter("k IS NOT NULL").repartition("k")
     other = keyed.select(*[F.col(c).alias(c + "2") for c in ("d", "pos", "counts", "no", "k")])
     first, second = F.struct("d", "pos"), F.struct("d2", "pos2")
@@ -168,7 +162,7 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id
     places = firsts.join(near, ["d", "pos"], "left").groupBy("d").agg(
         F.collect_list(F.when(F.col("near").isNull(), F.col("pos"))).alias("places"), F.count("near").alias("n_near"))
     joined = base.join(places.hint("shuffle_hash"), "d", "left").withColumn("doc", F.element_at("pack", 1))
-    free = F.filter(F.transform("lines", lambda x, i: F.when(_counts(x, equal_from), -1).otherwise(i)), lambda i: i >= 0)
+    free = F.filter(F.transform("lines", lambda x, i: F.when(_counts(x), -1).otherwise(i)), lambda i: i >= 0)
     kept = F.array_sort(F.array_union(free, F.coalesce("places", F.array().cast("array<int>"))))
     out = joined.withColumn("lines", F.coalesce(_lines(F.col("doc")[text_col]), F.array().cast("array<string>"))).withColumn("kept", kept)
     near_here = F.coalesce("n_near", F.lit(0))
@@ -183,10 +177,11 @@ def _picked(text: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, text: DataFrame, edits: int) -> DataFrame:
-    """Of the pairs within the distance, the later lines (d, pos, near)."""
-    line = lambda at: F.get(_lines(F.col("text")), F.col(at))
-    one = text.join(pairs.hint("shuffle_hash"), "d").select("d", "pos", "d2", "pos2", line("pos").alias("line"))
-    both = text.withColumnRenamed("d", "d2").join(one.hint("shuffle_hash"), "d2").select("d", "pos", "d2", "pos2", "line", line("pos2").alias("line2"))
+    """Of the pairs within the distance, the later lines (d, pos, near).  Lines that stand in pairs are cut from their texts once."""
+    named = pairs.select(F.explode(F.array(F.struct("d", "pos"), F.struct(F.col("d2").alias("d"), F.col("pos2").alias("pos")))).alias("f")).select("f.*")
+    lines = _picked(text, named.groupBy("d").agg(F.collect_set("pos").alias("places"))).select("d", "pos", "line")
+    one = pairs.join(lines.hint("shuffle_hash"), ["d", "pos"])
+    both = one.join(lines.select(F.col("d").alias("d2"), F.col("pos").alias("pos2"), F.col("line").alias("line2")).hint("shuffle_hash"), ["d2", "pos2"])
     close = both.filter(within(F.col("line"), F.col("line2"), edits))
     later = F.greatest(F.struct("d", "pos"), F.struct(F.col("d2").alias("d"), F.col("pos2").alias("pos")))
     return close.select(later.alias("f")).distinct().select("f.*", F.lit(True).alias("near"))
@@ -203,9 +198,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, i
     return out.select(F.col(f"doc.{id_col}").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), "n_equal", "n_near", kept_text().alias("kept"))
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text",
-                    equal_from: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their columns, repeated lines removed from the text."""
-    out = kept_lines(docs, edits, shortest, id_col, text_col, equal_from)
+    out = kept_lines(docs, edits, shortest, id_col, text_col)
     text = F.when(F.col(f"doc.{text_col}").isNotNull(), kept_text())
     return out.select(*[(text if c == text_col else F.col(f"doc.{c}")).alias(c) for c in docs.columns])

@@ -155,10 +155,10 @@ def sql_lines(docs: str = "documents", edits: int = line_dedup.EDITS, shortest:
     return f"""
 WITH l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i
     FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {docs}))
-  WHERE length(x[i]) >= {shortest} AND regexp_matches(x[i], '{WORD}')),
+  WHERE regexp_matches(x[i], '{WORD}')),
 f AS (SELECT line, min({{'d': doc_id, 'i': i}}) AS at FROM l GROUP BY line),
 n AS (SELECT DISTINCT greatest(a.at, b.at) AS at FROM f a JOIN f b
-  ON length(b.line) BETWEEN length(a.line) AND length(a.line) + {edits} AND a.line <> b.line
+  ON length(b.line) BETWEEN length(a.line) AND length(a.line) + {edits} AND a.line <> b.line AND length(a.line) >= {shortest}
   WHERE ({share}) AND levenshtein(a.line, b.line) <= {edits}),
 g AS (SELECT l.doc_id, l.i, f.at <> {{'d': l.doc_id, 'i': l.i}} AS equal FROM l JOIN f USING (line) LEFT JOIN n ON f.at = n.at
   WHERE f.at <> {{'d': l.doc_id, 'i': l.i}} OR n.at IS NOT NULL),

@@ -7,9 +7,11 @@ a memory table, so its result can be checked against the batch twin in SQL.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from catalog.base import KEY, Query, Tables, duck, sql_digest, sql_luhn, sql_pieces, sql_typed
 from catalog.redaction import HEX_SQL, hex_values, sql_occurrences
@@ -38,43 +40,58 @@ def scratch(t: Tables) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def as_batches(t: Tables, df: DataFrame, order: str, pieces: int = 3) -> DataFrame:
-    """A stream of several micro-batches in the order of a column: state has to cross them."""
-    path = f"{scratch(t)}/in"
+class Feed:
+    """A stream whose input arrives in pieces, one run of the stream for each; its state goes on from run to run.
+
+    A run takes its piece as one micro-batch of as many files as the writing had tasks, so neither
+    writing nor reading hangs on one task.
+    """
+
+    def __init__(self, t: Tables, df: DataFrame, piece: Column, pieces: int) -> None:
+        self.t, self.df, self.piece, self.pieces = t, df, piece, pieces
+        self.path = f"{scratch(t)}/in"
+
+    def run(self, start: Callable[[DataFrame], StreamingQuery]) -> None:
+        """``start`` the stream for every piece, from the same checkpoint; each run ends with its input."""
+        for i in range(self.pieces):
+            self.df.filter(self.piece == i).write.mode("append").parquet(self.path)
+            start(self.t.spark.readStream.schema(self.df.schema).parquet(self.path)).awaitTermination()
+
+
+def as_batches(t: Tables, df: DataFrame, order: str, pieces: int = 3) -> Feed:
+    """Micro-batches in the order of a column: state has to cross them."""
     most = df.agg(F.max(order).alias("m")).first()["m"] or 0
-    for i in range(pieces):
-        df.filter(F.floor(F.col(order) * pieces / F.lit(most + 1)) == i).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return Feed(t, df, F.floor(F.col(order) * pieces / F.lit(most + 1)), pieces)
 
 
-def as_stream(t: Tables, df: DataFrame, files: int = 4) -> DataFrame:
-    path = f"{scratch(t)}/in"
-    df.repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def as_stream(t: Tables, df: DataFrame, pieces: int = 2) -> Feed:
+    """Micro-batches of any rows."""
+    return Feed(t, df, F.pmod(F.xxhash64(*df.columns), F.lit(pieces)), pieces)
 
 
-def drain(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(t: Tables, feed: Feed, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Run to the end of the input, into files (append) or a memory table (update and complete)."""
-    place = scratch(t)
+    place, table, out = scratch(t), "stream_" + uuid.uuid4().hex, None
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        nonlocal out
+        out = plan(stream)
+        writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/cp").trigger(availableNow=True)
+        if mode == "append":
+            return writer.format("parquet").option("path", f"{place}/out").start()
+        return writer.format("memory").queryName(table).start()
+
     old = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/cp").trigger(availableNow=True)
-        if mode == "append":
-            run = writer.format("parquet").option("path", f"{place}/out").start()
-        else:
-            table = "stream_" + uuid.uuid4().hex
-            run = writer.format("memory").queryName(table).start()
-        if not run.awaitTermination(300):
-            run.stop()
-            raise TimeoutError("stream did not end")
+        feed.run(start)
     finally:
         if old is None:
             t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     if mode == "append":
-        return t.spark.read.schema(stream.schema).parquet(f"{place}/out")
+        return t.spark.read.schema(out.schema).parquet(f"{place}/out")
     return t.spark.table(table)
 
 
@@ -109,7 +126,7 @@ _RESTORED = f"""'see ' || CASE WHEN user_id % 3 = 0 THEN {_TOKEN} ELSE 'value-'
    CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS residuals FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
     # several micro-batches: tokens straddle them
-    out = drain(t, SR.restore_chunks(as_batches(t, chunks(t), "seq"), mapping(t), SUR))
+    out = drain(t, as_batches(t, chunks(t), "seq"), lambda s: SR.restore_chunks(s, mapping(t), SUR))
     return out.groupBy("stream_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"), F.sum("residuals").alias("residuals"))
 
@@ -126,8 +143,7 @@ def sse_records(t: Tables) -> DataFrame:
 @q("stream_whole_fragments", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment,
    'see ' || {_TOKEN} || ' now ' || CAST(user_id AS VARCHAR) || ' CLOAK' AS text, true AS token_whole FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
-    frags = SR.record_fragments(as_batches(t, sse_records(t), "seq"), F.lit("anthropic"))
-    out = drain(t, SR.whole_fragments(frags, SUR))
+    out = drain(t, as_batches(t, sse_records(t), "seq"), lambda s: SR.whole_fragments(SR.record_fragments(s, F.lit("anthropic")), SUR))
     return out.groupBy("stream_id", "fragment").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"),
         F.bool_or(F.col("text").rlike(SUR.typed_pattern)).alias("token_whole"))
@@ -143,8 +159,9 @@ def _texts(out: DataFrame) -> DataFrame:
    CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS residuals FROM (SELECT DISTINCT user_id FROM {{events}}) _u""")
 def _(t):
     # restored inside the stream: what reaches the sink is final
-    frags = SR.record_fragments(as_batches(t, sse_records(t), "seq"), F.lit("anthropic"))
-    return _texts(drain(t, SR.restore_stream(frags, mapping(t), SUR))).select("stream_id", "fragment", "text", "residuals")
+    out = drain(t, as_batches(t, sse_records(t), "seq"), lambda s: SR.restore_stream(
+        SR.record_fragments(s, F.lit("anthropic")), mapping(t), SUR))
+    return _texts(out).select("stream_id", "fragment", "text", "residuals")
 
 
 # tool arguments and an answer side by side; every other value comes from the registry, and the
@@ -176,7 +193,7 @@ _TOOL_TOKEN = f"'{SUR.prefix}SECRET_' || {sql_digest(chr(39) + 'p' + chr(34) + c
    UNION ALL SELECT CAST(user_id AS VARCHAR), 'say', 'use p"' || CAST(user_id AS VARCHAR), 0, 0 FROM (SELECT DISTINCT user_id FROM {{events}}) _v""")
 def _(t):
     rows, dictionary = tool_records(t)
-    return _texts(drain(t, SR.restore_stream(as_batches(t, rows, "seq"), dictionary, SUR, "detected")))
+    return _texts(drain(t, as_batches(t, rows, "seq"), lambda s: SR.restore_stream(s, dictionary, SUR, "detected")))
 
 
 @q("join_fragments_batch", f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, 'anthropic:0:text' AS fragment, 'text' AS kind,
@@ -191,14 +208,14 @@ _SEEN = """SELECT CAST(user_id AS STRING) AS scope, event_id AS turn, event_type
 
 @q("stream_scope_memory", f"SELECT scope, value, min(turn) AS first_turn, 1 AS new_rows FROM ({_SEEN}) s GROUP BY scope, value")
 def _(t):
-    out = drain(t, SS.scope_memory(as_batches(t, t.sql(_SEEN), "turn")))
+    out = drain(t, as_batches(t, t.sql(_SEEN), "turn"), SS.scope_memory)
     return out.groupBy("scope", "value").agg(F.min("first_turn").alias("first_turn"), F.count_if("new").alias("new_rows"))
 
 
 @q("stream_swept_once", "SELECT CAST(user_id AS VARCHAR) AS scope, event_type AS text FROM {events} GROUP BY user_id, event_type")
 def _(t):
     rows = t.events.select(F.col("user_id").cast("string").alias("scope"), F.col("event_type").alias("text"))
-    return drain(t, SS.swept_once(as_stream(t, rows))).select("scope", "text")
+    return drain(t, as_stream(t, rows), SS.swept_once).select("scope", "text")
 
 
 @q("stream_detect", f"""SELECT doc_id, 'email' AS rule, value FROM {sql_pieces('documents', 'doc_id', 'text', fixed.EMAIL)} _e
@@ -206,7 +223,7 @@ def _(t):
    UNION ALL SELECT doc_id, 'credit-card', value FROM {sql_pieces('documents', 'doc_id', 'text', fixed.CREDIT_CARD)} _c WHERE {sql_luhn('value')}""")
 def _(t):
     rows = t.documents.select("doc_id", "text")
-    return drain(t, SS.detect_stream(as_stream(t, rows), ["doc_id"], "text", D.PII_RULES)).select("doc_id", "rule", "value")
+    return drain(t, as_stream(t, rows), lambda s: SS.detect_stream(s, ["doc_id"], "text", D.PII_RULES)).select("doc_id", "rule", "value")
 
 
 # --------------------------------------------------------------------------------- T7, T8
@@ -234,11 +251,8 @@ def _(t):
     handle = SS.with_live_registry(
         registry, listed, lambda f: Redactor(SUR, (), f), ["doc_id"], "text",
         lambda df, epoch: df.select("doc_id", "redacted").write.mode("overwrite").parquet(f"{place}/out/epoch={epoch}"))
-    run = as_batches(t, t.documents.select("doc_id", "text"), "doc_id").writeStream.foreachBatch(handle).option(
-        "checkpointLocation", f"{place}/cp").trigger(availableNow=True).start()
-    if not run.awaitTermination(600):
-        run.stop()
-        raise TimeoutError("stream did not end")
+    as_batches(t, t.documents.select("doc_id", "text"), "doc_id").run(lambda s: s.writeStream.foreachBatch(handle).option(
+        "checkpointLocation", f"{place}/cp").trigger(availableNow=True).start())
     return t.spark.read.parquet(f"{place}/out").select("doc_id", "redacted")
 
 
@@ -249,4 +263,4 @@ _STATS = """SELECT CASE event_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai
 @q("stream_running_stats", f"""SELECT wire, surface, count(*) AS events, sum(redacted_values) AS redacted_values, sum(surviving_values) AS surviving_values,
    sum(redacted_values + CASE WHEN blocked THEN surviving_values ELSE 0 END) AS kept_out_values FROM ({_STATS}) s GROUP BY wire, surface""")
 def _(t):
-    return drain(t, SS.running_stats(as_stream(t, t.sql(_STATS))), "complete")
+    return drain(t, as_stream(t, t.sql(_STATS)), SS.running_stats, "complete")

@@ -10,8 +10,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +18,12 @@ from cloakwork.functions.surrogates import Surrogates
 
 OUT_SCHEMA = "stream_id string, fragment string, seq bigint, kind string, text string, withheld bigint, residuals bigint"
 POLICIES = ("all", "none", "detected")
+RESTORED = Row("stream_id", "fragment", "seq", "kind", "text", "withheld", "residuals")
+FRAGMENT = Row("stream_id", "fragment", "seq", "kind", "text")
+
+
+def _by_seq(row: Row) -> tuple[bool, int]:
+    return row.seq is None, row.seq or 0
 
 
 class _StreamRestorer(StatefulProcessor):
@@ -40,24 +45,33 @@ class _StreamRestorer(StatefulProcessor):
         self.tails = handle.getMapState("tails", "fragment string", "held string, near string")
         self.counted = handle.getMapState("counted", "token string", "times int")
         self.token, self.open, self.debris = (re.compile(p) for p in self.patterns)
+        self.looked_up: dict[str, tuple[str, str] | None] = {}
+        self.done: set[str] = set()
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for token, value, layer in zip(initialState["token"], initialState["value"], initialState["layer"], strict=True):
-            self._learn(token, value, layer)
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._learn(initialState.token, initialState.value, initialState.layer)
 
     def _learn(self, token: str, value: str, layer: str) -> None:
         # the layer that goes before wins, the first value of a layer stays
         if not self.entries.containsKey((token,)) or LAYERS.index(layer) < LAYERS.index(self.entries.getValue((token,))[1]):
             self.entries.updateValue((token,), (value, layer))
+            self.looked_up.pop(token, None)
+
+    def _entry(self, token: str) -> tuple[str, str] | None:
+        """(value, layer) of a token, asked of the state once per micro-batch."""
+        if token not in self.looked_up:
+            self.looked_up[token] = self.entries.getValue((token,)) if self.entries.containsKey((token,)) else None
+        return self.looked_up[token]
 
     def _restored(self, text: str, kind: str) -> tuple[str, int]:
         withheld = 0
 
         def one(m: re.Match) -> str:
             nonlocal withheld
-            if not self.entries.containsKey((m.group(0),)):
+            entry = self._entry(m.group(0))
+            if entry is None:
                 return m.group(0)
-            value, layer = self.entries.getValue((m.group(0),))
+            value, layer = entry
             if kind == "tool" and (self.policy == "none" or (self.policy == "detected" and layer != "detected")):
                 withheld += 1
                 return m.group(0)
@@ -70,32 +84,43 @@ class _StreamRestorer(StatefulProcessor):
         fresh = 0
         for m in self.debris.finditer(near):
             settled = ended or m.end() + self.context <= len(near)
-            if settled and not self.entries.containsKey((m.group(0),)) and not self.counted.containsKey((m.group(0),)):
-                self.counted.updateValue((m.group(0),), (1,))
-                fresh += 1
+            if settled and m.group(0) not in self.done and self._entry(m.group(0)) is None:
+                self.done.add(m.group(0))
+                if not self.counted.containsKey((m.group(0),)):
+                    self.counted.updateValue((m.group(0),), (1,))
+                    fresh += 1
         return fresh
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = []
-        for fragment, seq, kind, text, stop, layer in zip(*(parts[c] for c in ("fragment", "seq", "kind", "text", "stop", "layer")), strict=True):
-            if kind == "entry":
-                self._learn(fragment, text, layer)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # what this micro-batch has read of the state of its stream
+        self.looked_up, self.done = {}, set()
+        tails: dict[str, tuple[str, str] | None] = {}
+        stored = set()
+        for row in sorted(rows, key=_by_seq):
+            fragment, text = row.fragment, row.text or ""
+            if row.kind == "entry":
+                self._learn(fragment, row.text, row.layer)
                 continue
-            held, near = self.tails.getValue((fragment,)) if self.tails.containsKey((fragment,)) else ("", "")
-            whole = held + (text or "")
-            open_end = None if stop else self.open.search(whole)
+            if fragment not in tails:
+                tails[fragment] = None
+                if self.tails.containsKey((fragment,)):
+                    tails[fragment] = self.tails.getValue((fragment,))
+                    stored.add(fragment)
+            held, near = tails[fragment] or ("", "")
+            whole = held + text
+            open_end = None if row.stop else self.open.search(whole)
             ready, held = (whole[: open_end.start()], whole[open_end.start():]) if open_end else (whole, "")
-            restored, withheld = self._restored(ready, kind)
-            near += text or ""
-            fresh = self._residuals(near, bool(stop))
-            if stop:
-                self.tails.removeKey((fragment,))
-            else:
-                self.tails.updateValue((fragment,), (held, near[-2 * self.context:]))
+            restored, withheld = self._restored(ready, row.kind)
+            near += text
+            fresh = self._residuals(near, bool(row.stop))
+            tails[fragment] = None if row.stop else (held, near[-2 * self.context:])
             if restored or withheld or fresh:
-                out.append((key[0], fragment, seq, kind, restored, withheld, fresh))
-        yield pd.DataFrame(out, columns=["stream_id", "fragment", "seq", "kind", "text", "withheld", "residuals"])
+                yield RESTORED(key[0], fragment, row.seq, row.kind, restored, withheld, fresh)
+        for fragment, tail in tails.items():
+            if tail is not None:
+                self.tails.updateValue((fragment,), tail)
+            elif fragment in stored:
+                self.tails.removeKey((fragment,))
 
     def close(self) -> None:
         return None
@@ -117,7 +142,7 @@ def restore_stream(fragments: DataFrame, dictionary: DataFrame, surrogates: Surr
     """
     rows = fragments if "layer" in fragments.columns else fragments.withColumn("layer", F.lit(None).cast("string"))
     rows = rows.select("stream_id", "fragment", F.col("seq").cast("bigint").alias("seq"), "kind", "text", "stop", "layer")
-    return rows.groupBy("stream_id").transformWithStateInPandas(
+    return rows.groupBy("stream_id").transformWithState(
         _StreamRestorer(surrogates, policy), OUT_SCHEMA, "append", "None", dictionary.select(*_ENTRY).groupBy("stream_id"))
 
 
@@ -138,21 +163,19 @@ class _FragmentJoiner(StatefulProcessor):
         self.tail = handle.getValueState("tail", "text string")
         self.open = re.compile(self.partial)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(list(rows)).sort_values("seq")
-        tail = self.tail.get()[0] if self.tail.exists() else ""
-        out = []
-        for seq, kind, text, stop in zip(parts["seq"], parts["kind"], parts["text"], parts["stop"], strict=True):
-            whole = tail + (text or "")
-            held = None if stop else self.open.search(whole)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stored = self.tail.get()
+        tail = stored[0] if stored else ""
+        for row in sorted(rows, key=_by_seq):
+            whole = tail + (row.text or "")
+            held = None if row.stop else self.open.search(whole)
             ready, tail = (whole[: held.start()], whole[held.start():]) if held else (whole, "")
             if ready:
-                out.append((*key, seq, kind, ready))
+                yield FRAGMENT(*key, row.seq, row.kind, ready)
         if tail:
             self.tail.update((tail,))
-        else:
+        elif stored:
             self.tail.clear()
-        yield pd.DataFrame(out, columns=["stream_id", "fragment", "seq", "kind", "text"])
 
     def close(self) -> None:
         return None
@@ -163,7 +186,7 @@ FRAGMENT_SCHEMA = "stream_id string, fragment string, seq bigint, kind string, t
 
 def whole_fragments(fragments: DataFrame, surrogates: Surrogates) -> DataFrame:
     """Stateful regrouping of ``(stream_id, fragment, seq, kind, text, stop)`` rows."""
-    return fragments.groupBy("stream_id", "fragment").transformWithStateInPandas(
+    return fragments.groupBy("stream_id", "fragment").transformWithState(
         _FragmentJoiner(surrogates.partial_pattern), FRAGMENT_SCHEMA, "append", "None")
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +12,7 @@ from cloakwork.operators.detect import Rule, detect
 from cloakwork.plans.redact import Redactor
 
 IDLE_TTL_MS = 30 * 60 * 1000
+SEEN = Row("scope", "value", "first_turn", "new")
 
 
 class _ScopeMemory(StatefulProcessor):
@@ -24,15 +24,22 @@ class _ScopeMemory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "value string", "first_turn bigint", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for batch in rows:
-            for turn, value in zip(batch["turn"], batch["value"], strict=True):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # each value meets the state once per micro-batch, not once per row
+        first: dict[str, int | None] = {}
+        fresh: dict[str, int] = {}
+        for row in rows:
+            value, turn = row.value, int(row.turn)
+            known = value in fresh or value in first
+            if not known:
                 known = self.seen.containsKey((value,))
-                first = min(int(turn), self.seen.getValue((value,))[0]) if known else int(turn)
-                self.seen.updateValue((value,), (first,))
-                out.append((key[0], value, first, not known))
-        yield pd.DataFrame(out, columns=["scope", "value", "first_turn", "new"])
+                first[value] = self.seen.getValue((value,))[0] if known else None
+            fresh[value] = min(turn, *(x for x in (fresh.get(value), first[value]) if x is not None)) if known else turn
+            yield SEEN(key[0], value, fresh[value], not known)
+        for value, turn in fresh.items():
+            # an idle time to live starts again, whatever the turn
+            if self.ttl_ms or turn != first[value]:
+                self.seen.updateValue((value,), (turn,))
 
     def close(self) -> None:
         return None
@@ -43,7 +50,7 @@ def scope_memory(found: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     With ``ttl_ms`` the query needs processing time and must be stopped by its owner.
     """
-    return found.groupBy("scope").transformWithStateInPandas(
+    return found.select("scope", "turn", "value").groupBy("scope").transformWithState(
         _ScopeMemory(ttl_ms), "scope string, value string, first_turn bigint, new boolean", "append",
         "ProcessingTime" if ttl_ms else "None")
 

@@ -38,6 +38,12 @@ class Tables:
         return self.spark.sql(text.replace("SHA[", "sha2(").replace("]SHA", ", 256)"), **used)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Small rows dealt to all cores, before each becomes a body that takes long: a compressed file has few splits."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 @dataclass(frozen=True)
 class Query:
     name: str

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEY, Query, Tables, duck, sql_likely, sql_typed
+from catalog.base import KEY, Query, Tables, duck, spread, sql_likely, sql_typed
 from catalog.redaction import _sql_tag
 from cloakwork.functions.surrogates import Surrogates
 from cloakwork.operators import detect as D
@@ -43,7 +43,7 @@ def _struct(one: str, two: str) -> str:
     f"CASE WHEN {sql_likely('one')} THEN {token('one')} ELSE one END", f"CASE WHEN {sql_likely('two')} THEN {token('two')} ELSE two END"
 ) + f" AS redacted FROM ({_STRUCT}) _s")
 def _(t: Tables):
-    rows = t.sql(_STRUCT)
+    rows = spread(t.sql(_STRUCT), "event_id")
     body = F.concat(F.lit('{"cfg": {"api_token": "'), "one", F.lit('", "limits": [1, {"max_tokens": 64000}], "passwords": ["'), "two",
                     F.lit('", 5, ["x"]], "auth_block": {"inner": "'), "inner_value", F.lit('"}}, "note": "see \\"'), "one",
                     F.lit('\\"", "n": 12345678901234567890}'))
@@ -111,7 +111,7 @@ def _(t: Tables):
         F.lit("organization").alias("entity_type"), F.lit("entity").alias("protection_kind"), F.lit("token").alias("boundary"))
     none = F.lit(None).cast("int")
     found = F.array(F.struct(F.lit("organization"), none, none, F.col("short"), F.lit("pii"), F.lit("high"), F.lit("pii-analyzer"), F.lit(0.9))).cast(FINDING)
-    rows = t.sql(_ASKED).select("c_custkey", found.alias("mentions"), F.lit("matter").alias("ctx"), F.concat(
+    rows = spread(t.sql(_ASKED), "c_custkey").select("c_custkey", found.alias("mentions"), F.lit("matter").alias("ctx"), F.concat(
         F.lit('{"m":["'), "short", F.lit(" asked "), "full_name", F.lit('"]}')).alias("body"))
     out = RD.Redactor(SUR, [], registry).redact_bodies(rows, ["c_custkey"], "body", "ctx", detections="mentions")
     return out.select("c_custkey", "redacted")
@@ -125,7 +125,7 @@ _NAMED = """SELECT c_custkey, chr(65 + CAST(c_custkey % 26 AS INT)) || 'older La
    || {token('mail', 'email', 'pii')} || '"}}' AS redacted FROM ({_NAMED}) _n""")
 def _(t: Tables):
     body = F.concat(F.lit('{"org":"we met '), "org", F.lit(", then "), F.lower("org"), F.lit(' left","to":"'), "mail", F.lit('"}'))
-    rows = t.sql(_NAMED).select("c_custkey", body.alias("body"))
+    rows = spread(t.sql(_NAMED), "c_custkey").select("c_custkey", body.alias("body"))
     found = RD.with_detections(rows, ["c_custkey"], "body", [
         ("identity", I.designator_organizations, "content"), ("regex", D.rule_detector(D.PII_RULES), "content")])
     return RD.Redactor(SUR).redact_bodies(found, ["c_custkey"], detections="detections").select("c_custkey", "redacted")
@@ -138,7 +138,7 @@ _BOLD = "replace(org, ' Lantern', '** Lantern')"
 @q("redact_bodies_markdown", f"""SELECT c_custkey, '{{"org":"1. we met **' || {token(_BOLD, 'organization', 'pii')} || ', \\\\# then ~~nobody~~"}}' AS redacted FROM ({_NAMED}) _n""")
 def _(t: Tables):
     body = F.concat(F.lit('{"org":"1. we met **'), F.expr(_BOLD), F.lit(', \\\\# then ~~nobody~~"}'))
-    rows = t.sql(_NAMED).select("c_custkey", body.alias("body"))
+    rows = spread(t.sql(_NAMED), "c_custkey").select("c_custkey", body.alias("body"))
     found = RD.with_detections(rows, ["c_custkey"], "body", [("markdown", I.on_markdown(I.designator_organizations), "content")])
     return RD.Redactor(SUR).redact_bodies(found, ["c_custkey"], detections="detections").select("c_custkey", "redacted")
 
@@ -147,7 +147,7 @@ def _(t: Tables):
    UNION ALL SELECT c_custkey, 'regex', 'email', CAST(20 + length(org) AS BIGINT), CAST(20 + length(org) + length(mail) AS BIGINT) FROM ({_NAMED}) _b""")
 def _(t: Tables):
     text = F.concat(F.lit("we met "), "org", F.lit(", then write "), "mail")
-    rows = t.sql(_NAMED).select("c_custkey", text.alias("text"))
+    rows = spread(t.sql(_NAMED), "c_custkey").select("c_custkey", text.alias("text"))
     out = D.run_detectors(rows, ["c_custkey"], "text", [
         ("identity", I.designator_organizations, "all"), ("regex", D.rule_detector(D.PII_RULES), "content")])
     return out.select("c_custkey", "detector", "rule", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"))
@@ -159,7 +159,7 @@ _NUMBERS = """SELECT event_id, CAST(100000000000 + event_id AS STRING) AS num, e
 
 @q("leak_gate_numbers", f"""SELECT event_id, num AS leak FROM ({_NUMBERS}) _n WHERE registered""")
 def _(t: Tables):
-    rows = t.sql(_NUMBERS)
+    rows = spread(t.sql(_NUMBERS), "event_id")
     registry = rows.filter("registered").select(F.col("num").alias("value"))
     # the number stands whole, longer, and as part of a string key
     body = F.concat(F.lit('{"n":['), "num", F.lit(',9'), "num", F.lit('],"k'), "event_id", F.lit('":"clean"}'))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ENV_TABLE, ORG_TEXT, SECRET_TEXT, Query, Tables, duck, lit, sql_core, sql_likely, sql_literal_url, sql_luhn,
+    ENV_TABLE, ORG_TEXT, SECRET_TEXT, Query, Tables, duck, lit, spread, sql_core, sql_likely, sql_literal_url, sql_luhn,
     sql_path_shaped, sql_pieces, sql_placeholder, sql_trim,
 )
 from cloakwork.functions import fixed
@@ -164,7 +164,7 @@ def _(t):
             F.array(F.concat(F.upper(F.substring(h, 20, 8)), F.lit("-"), F.substring(h, 30, 8)), F.lit("x")).alias("passwords"),
             F.struct(F.concat(F.lit("Zz9-"), h).alias("inner")).alias("auth_block"),
         ).alias("cfg"), F.lit(64000).alias("max_tokens"), F.lit("low").alias("effort")))
-    leaves = S.flatten_leaves(t.sql(_PAIR_BODY).select("event_id", body.alias("body")), ["event_id"])
+    leaves = S.flatten_leaves(spread(t.sql(_PAIR_BODY), "event_id").select("event_id", body.alias("body")), ["event_id"])
     return D.structural_pairs(leaves, ["event_id"])
 
 

@@ -1,47 +1,70 @@
 """JSON bodies inside their row: string literals with place, kind and path, and what their keys say about them.
 
-One pass over the raw body.  A bracket stack is folded over the gaps between literals, so every
-literal gets its steps (object keys and array indexes) whatever the depth: the plan is the same for
-flat and deep bodies, and no row leaves its task.
+One pass over the raw body.  A bracket stack follows the gaps between literals, so every literal gets
+its steps (object keys and array indexes) whatever the depth: the plan is the same for flat and deep
+bodies, and no row leaves its task.  The pass is a small Arrow function, because a fold of array
+columns copies the stack for every bracket.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloakwork.functions import fixed
 from cloakwork.functions import predicates as P
-from cloakwork.functions.text import JSON_LITERAL, json_unescape, let, prefix_fold
-from cloakwork.operators.spans import MARK, mark_safe, scan
+from cloakwork.functions.text import JSON_LITERAL, let
+from cloakwork.operators.spans import mark_safe
 
 STEPS = "array<struct<key:string,index:int>>"
 LITERAL = f"struct<at:int,at_end:int,kind:string,text:string,steps:{STEPS}>"
-
-
-def _step(key: Column, index: Column) -> Column:
-    return F.array(F.struct(key.alias("key"), index.alias("index"))).cast(STEPS)
-
-
-def _below(stack: Column) -> Column:
-    return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
-
-
-def _through(stack: Column, gap: Column) -> Column:
-    """The stack behind the brackets, commas and colons of one gap; an object has a key on top, an array its index."""
-    nothing = F.lit(None).cast("string")
-
-    def one(s: Column, c: Column) -> Column:
-        top = F.get(s, F.size(s) - 1)
-        return (
-            F.when(c == "{", F.concat(s, _step(F.lit(""), F.lit(-1))))
-            .when(c == "[", F.concat(s, _step(nothing, F.lit(0))))
-            .when(c.isin("}", "]"), _below(s))
-            .when((c == ",") & top["key"].isNull(), F.concat(_below(s), _step(nothing, top["index"] + 1)))
-            .otherwise(s)
-        )
-
-    return F.when(gap.isin("", ":"), stack).otherwise(F.aggregate(F.split(gap, ""), stack, one))
+_LITERALS = T.ArrayType(T.StructType([
+    T.StructField("at", T.IntegerType()), T.StructField("at_end", T.IntegerType()), T.StructField("kind", T.StringType()),
+    T.StructField("text", T.StringType()), T.StructField("steps", T.ArrayType(T.StructType([
+        T.StructField("key", T.StringType()), T.StructField("index", T.IntegerType())])))]))
+_STRING, _STRUCTURE, _NAMES = re.compile(JSON_LITERAL), re.compile(r"[\[\]{},]"), re.compile(r"[^\[\]{},:\"]*:")
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _decoded(literal: str) -> str:
+    if "\\" not in literal:
+        return literal[1:-1]
+    # half of a surrogate pair has no UTF-8 form
+    return _SURROGATE.sub("?", json.loads(literal, strict=False))
+
+
+def _walk(body: str | None) -> list[tuple] | None:
+    """Literals of one body, by a bracket stack; an object has a key on top of it, an array its index."""
+    if body is None:
+        return None
+    out, stack, end = [], [], 0
+    for m in _STRING.finditer(body):
+        for c in _STRUCTURE.findall(body, end, m.start()):
+            if c == "{":
+                stack.append(("", -1))
+            elif c == "[":
+                stack.append((None, 0))
+            elif c != ",":
+                stack.pop()
+            elif stack[-1][0] is None:
+                stack[-1] = (None, stack[-1][1] + 1)
+        end = m.end()
+        text, names = _decoded(m.group(0)), _NAMES.match(body, end) is not None
+        if names:
+            stack[-1] = (text, -1)
+        out.append((m.start(), end, "key" if names else "value", text, list(stack)))
+    return out
+
+
+@F.arrow_udf(_LITERALS)
+def _walked(bodies: pa.Array) -> pa.Array:
+    return pa.array([_walk(b) for b in bodies.to_pylist()], to_arrow_type(_LITERALS))
 
 
 def literals(body: Column) -> Column:
@@ -50,29 +73,10 @@ def literals(body: Column) -> Column:
     ``kind`` is key, value or raw: what is no JSON is one raw leaf.  ``steps`` of a key end in the
     key itself, steps of a value in the key or index that owns it.
     """
-    safe = mark_safe(body)
-    marked = F.regexp_replace(F.regexp_replace(safe, JSON_LITERAL, MARK), rf"[^{MARK}\[\]{{}},:]+", "")
     raw = F.array(F.struct(F.lit(0).alias("at"), F.length(body).alias("at_end"), F.lit("raw").alias("kind"),
                            body.alias("text"), F.array().cast(STEPS).alias("steps")))
-
-    def decoded(x: Column) -> Column:
-        return F.when(x.contains("\\"), json_unescape(x)).otherwise(F.substring(x, F.lit(2), F.length(x) - 2))
-
-    def whole(b: Column) -> Column:
-        items = F.transform(b["spans"], lambda s, i: F.struct(
-            s["start"].alias("at"), s["end"].alias("at_end"), F.get(b["gaps"], i + 1).startswith(":").alias("names"),
-            decoded(s["value"]).alias("text"), F.get(b["gaps"], i).alias("gap")))
-
-        def step(stack: Column, x: Column) -> Column:
-            return let(_through(stack, x["gap"]), lambda s: F.when(
-                x["names"], F.concat(_below(s), _step(x["text"], F.lit(-1)))).otherwise(s))
-
-        return prefix_fold(items, F.array().cast(STEPS), step, lambda s, x: F.struct(
-            x["at"].alias("at"), x["at_end"].alias("at_end"), F.when(x["names"], "key").otherwise("value").alias("kind"),
-            x["text"].alias("text"), s.alias("steps")), f"array<{LITERAL}>")
-
-    spans = F.struct(scan(safe, f"({JSON_LITERAL})").alias("spans"), F.split(marked, MARK, -1).alias("gaps"))
-    return F.when(F.try_parse_json(body).isNotNull(), let(spans, whole)).otherwise(raw.cast(f"array<{LITERAL}>"))
+    valid = F.try_parse_json(body).isNotNull()
+    return F.when(valid, _walked(F.when(valid, mark_safe(body)))).otherwise(raw.cast(f"array<{LITERAL}>"))
 
 
 def path_of(steps: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
@@ -251,19 +251,19 @@ def structural_pairs(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Secret-ish JSON keys joined to their own string value or direct array elements, by path.
 
     A value leaf names its owner: its own path, or its parent path when its last step is an
-    array index.  The join is therefore an equi-join on the path, whatever the document size.
+    array index.  Keys and values of one owner meet in one shuffle by path, whatever the document
+    size; the leaves are read once and no side travels whole.
     """
-    is_key = F.col("kind") == "key"
-    names = leaves.filter(is_key & F.col("text").rlike(_WORD_GUARD)).select(*keys, F.col("path").alias("owner"))
-    values = leaves.filter("kind = 'value'").withColumn(
-        "owner",
-        F.explode(F.array_distinct(F.array(
-            F.col("path"), F.regexp_replace("path", r"\[[0-9]+\]$", "")))),
-    ).select(*keys, "owner", "path", "text")
+    is_key, name = F.col("kind") == "key", F.col("text").rlike(_WORD_GUARD)
+    owners = F.when(is_key, F.array("path")).otherwise(F.array_distinct(F.array(
+        F.col("path"), F.regexp_replace("path", r"\[[0-9]+\]$", ""))))
+    rows = leaves.filter((is_key & name) | (F.col("kind") == "value")).select(
+        *keys, "kind", "path", "text", F.explode(owners).alias("owner"))
+    named = F.max(is_key).over(Window.partitionBy(*keys, "owner"))
+    values = rows.withColumn("named", named).filter("named and kind = 'value'")
     token = F.regexp_extract("text", fixed.LEADING_TOKEN, 1)
     return (
-        values.join(names, [*keys, "owner"])
-        .withColumn("value", token)
+        values.withColumn("value", token)
         .filter(P.likely_secret(F.col("value")))
         .withColumn("value", P.trim_candidate(F.col("value")))
         .filter((F.col("value") != "") & ~P.is_placeholder(F.col("value")))

@@ -213,7 +213,7 @@ _ENTITIES = """SELECT doc_id % 200 AS grp, doc_id, substr(text, 1, 3 + doc_id %
    FROM (SELECT grp, {sql_trim('text')} AS value, CASE WHEN entity_type <> '' THEN entity_type ELSE label END AS label2, confidence
          FROM ({_ENTITIES}) _e WHERE confidence >= 0.5) _v WHERE length(value) >= 4 GROUP BY grp, value""")
 def _(t):
-    return S.read_analyzer_entities(t.sql(_ENTITIES), ["grp"])
+    return S.read_analyzer_entities(t.sql(_ENTITIES), ["grp"], order=["doc_id"])
 
 
 # --------------------------------------------------------------------- D30 … D36

@@ -385,8 +385,11 @@ def read_analyzer_spans(df: DataFrame, threshold: float = fixed.SCORE_THRESHOLD,
 
 
 def read_analyzer_entities(df: DataFrame, keys: Sequence[str], threshold: float = fixed.SCORE_THRESHOLD,
-                           allow: Sequence[str] | None = None, source: str = "pii-medical") -> DataFrame:
-    """Findings from external entities ``(…, text, label, entity_type, canonical_label, confidence)``."""
+                           allow: Sequence[str] | None = None, source: str = "pii-medical", order: Sequence[str] = ()) -> DataFrame:
+    """Findings from external entities ``(…, text, label, entity_type, canonical_label, confidence)``.
+
+    Of equally confident mentions of a value the first by ``order`` names it, then the least label.
+    """
     label = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("canonical_label", "entity_type", "label")])
     out = df.withColumn("_label", label).withColumn("value", trim_ws(F.col("text"))).filter(
         (F.col("text") != "") & F.col("_label").isNotNull() & F.col("confidence").isNotNull()
@@ -394,7 +397,8 @@ def read_analyzer_entities(df: DataFrame, keys: Sequence[str], threshold: float
         & (F.length("value") >= fixed.MIN_PII_LEN))
     if allow:
         out = out.filter(F.upper("_label").isin([a.upper() for a in allow]))
-    best = out.groupBy(*keys, "value").agg(F.max_by(F.struct("_label", "confidence"), "confidence").alias("b"))
+    best = out.groupBy(*keys, "value").agg(F.min_by(
+        F.struct("_label", "confidence"), F.struct(-F.col("confidence"), *order, "_label")).alias("b"))
     return best.select(
         *keys, "value", F.translate(F.lower("b._label"), "_", "-").alias("rule"),
         F.when(F.col("b.confidence") >= fixed.HIGH_SCORE, "high").otherwise("probabilistic").alias("confidence"),

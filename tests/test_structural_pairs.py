@@ -21,3 +21,11 @@ def test_literals_with_escapes_and_no_json(spark):
     got = {r.id: r.l for r in rows.select("id", B.literals(F.col("body")).alias("l")).collect()}
     assert [(x["kind"], x["text"]) for x in got[0]] == [("key", "aA"), ("value", "?q\U0001f600"), ("value", "x\\"), ("key", "b")]
     assert [(x["kind"], x["text"]) for x in got[1]] == [("raw", '{"a":')] and [x["kind"] for x in got[2]] == ["raw"]
+
+
+def test_equally_confident_entities_are_named_by_their_order(spark):
+    rows = [(g, i, "some one", "NAME", "" if (g + i) % 2 else "PATIENT", "", 0.9) for g in range(20) for i in range(9)]
+    df = spark.createDataFrame(rows, "grp int, i int, text string, label string, entity_type string, canonical_label string, confidence double")
+    for order, first in (("i", lambda g: "name" if g % 2 else "patient"), (None, lambda g: "name")):
+        got = S.read_analyzer_entities(df.repartition(7), ["grp"], order=[order] if order else [])
+        assert {r.grp: r.rule for r in got.collect()} == {g: first(g) for g in range(20)}

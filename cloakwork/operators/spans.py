@@ -7,9 +7,14 @@ The relational twins (``*_rows``) serve span tables of any size.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloakwork.functions import fixed
 from cloakwork.functions.text import let
@@ -77,6 +82,125 @@ def scan(text: Column, pattern: Column | str, replacement: str = f"{MARK}$1{MARK
     return pieces_to_spans(cut(text, pattern, replacement))
 
 
+# ------------------------------------------------- columns with many spans a text
+_SPANS = T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
+_SLICE = 1_000_000    # pieces, or characters, that one step holds beside its batch
+
+
+def _row_slices(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Consecutive rows ``(first, behind)`` of about ``_SLICE`` together; a row is never cut."""
+    part = np.cumsum(weights) // _SLICE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(weights)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lengths(texts: pa.Array, op=pc.utf8_length) -> np.ndarray:
+    return pc.fill_null(op(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _before(counts: np.ndarray) -> np.ndarray:
+    """Running sum in front of each place, and the total behind the last one."""
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts behind one another, and where each begins (and the last ends)."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data and at[-1] > at[0] else np.zeros(0, np.uint8)), at - at[0]
+
+
+def _strings(begin: np.ndarray, size: np.ndarray, source: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(
+        len(size), pa.py_buffer(_before(size).astype(np.int32)), pa.py_buffer(_ragged(source, begin, size)))
+
+
+def _between_marks(marked: pa.Array) -> pa.Array:
+    raw, at = _raw(marked)
+    marks = np.flatnonzero(raw == ord(MARK))
+    # characters in front of each byte, marks apart
+    chars = _before(((raw & 0xC0) != 0x80) & (raw != ord(MARK)))
+    left, right = marks[::2], marks[1::2]
+    n = np.diff(np.searchsorted(left, at))
+    base = np.repeat(chars[at[:-1]], n)
+    kinds = to_arrow_type(_SPANS)
+    spans = pa.StructArray.from_arrays(
+        [pa.array(chars[left] - base, pa.int32()), pa.array(chars[right] - base, pa.int32()),
+         _strings(left + 1, right - left - 1, raw)], fields=list(kinds.value_type))
+    return pa.ListArray.from_arrays(pa.array(_before(n), pa.int32()), spans, type=kinds)
+
+
+@F.arrow_udf(_SPANS)
+def _located(marked: pa.Array) -> pa.Array:
+    done = [_between_marks(marked.slice(a, b - a)) for a, b in _row_slices(_lengths(marked, pc.binary_length))]
+    return pa.concat_arrays(done) if done else pa.array([], to_arrow_type(_SPANS))
+
+
+def scan_many(text: Column, pattern: Column | str, replacement: str = f"{MARK}$1{MARK}") -> Column:
+    """Like :func:`scan`, for a text column with hundreds of spans a row (no lambda can hold it).
+
+    Offsets are running sums over the marked texts of a batch, so a span costs the same in long and short texts.
+    """
+    return _located(F.regexp_replace(text, pattern, F.lit(replacement)))
+
+
+def _ragged(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices ``source[start : start + size]`` behind one another."""
+    return source[np.repeat(start - _before(size)[:-1], size) + np.arange(int(size.sum()))]
+
+
+def _spliced(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    n, flat = _counts(spans), spans.flatten()
+    row, start = np.repeat(np.arange(len(texts)), n), pc.fill_null(flat.field("start"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end, tokens = pc.fill_null(flat.field("end"), 0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field("token")
+    if np.any((start[1:] <= start[:-1]) & (row[1:] == row[:-1])):
+        names = tokens.to_pylist()
+        order = sorted(range(len(row)), key=lambda i: (row[i], start[i], end[i], names[i]))
+        start, end, tokens = start[order], end[order], tokens.take(pa.array(order, pa.int64()))
+    chars, (raw, _) = _before(_lengths(texts)), _raw(texts)
+    # byte of every character, and of the end
+    at = np.concatenate([np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]])
+    last = np.diff(chars)[row]
+    low, high = chars[row] + np.minimum(start, last), chars[row] + np.minimum(end, last)
+    # a row is: text up to a span, its token, …, text behind the last span
+    prev = np.concatenate([[0], high[:-1]])
+    first = _before(n)[:-1]
+    prev[first[n > 0]] = chars[:-1][n > 0]
+    tail = chars[:-1].copy()
+    tail[n > 0] = high[(first + n - 1)[n > 0]]
+    size, part = _lengths(tokens, pc.binary_length), 2 * np.arange(len(row)) + row
+    begin, length = np.empty(2 * len(row) + len(texts), np.int64), np.empty(2 * len(row) + len(texts), np.int64)
+    begin[part], length[part] = at[prev], at[np.maximum(low, prev)] - at[prev]
+    begin[part + 1], length[part + 1] = len(raw) + _before(size)[:-1], size
+    behind = 2 * np.cumsum(n) + np.arange(len(texts))
+    begin[behind], length[behind] = at[tail], at[chars[1:]] - at[tail]
+    out = _ragged(np.concatenate([raw, _raw(tokens)[0]]), begin, length)
+    ends = _before(length)[np.concatenate([[0], behind + 1])]
+    made = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out))
+    return pc.if_else(pc.and_(texts.is_valid(), spans.is_valid()), made, None)
+
+
+@F.arrow_udf(T.StringType())
+def _splice_rows(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    work = _lengths(texts) + _counts(spans)
+    done = [_spliced(texts.slice(a, b - a), spans.slice(a, b - a)) for a, b in _row_slices(work)]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+def splice_many(text: Column, spans: Column, token) -> Column:
+    """Like :func:`splice`, for a text column with hundreds of spans a row (no lambda can hold it)."""
+    return _splice_rows(text, F.transform(spans, lambda s: F.struct(
+        s.start.alias("start"), s.end.alias("end"), token(s).alias("token"))))
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Half-open intervals intersect."""
     return (a_start < b_end) & (b_start < a_end)

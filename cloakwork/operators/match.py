@@ -8,17 +8,23 @@ the text then needs to be cut into 8-blocks only, because one of eight neighbour
 block.  A text can only contain the form if it contains an anchor, so anchors select candidates and
 only those are scanned for real.  Two exact physical ways:
 
-* inline - a registry of checked size travels as one broadcast row; texts never move;
-* join - any size: a Bloom filter of the anchors drops the other grams inside the row, what is left
-  meets the anchors in an equi-join, candidates return to their text by key.
+* inline - a registry of checked size is one value of the plan; texts never move;
+* join - any size: what a text holds of the anchors meets them in an equi-join, candidates return to
+  their text by key.
+
+Which anchors a text holds is looked up word by word in an Arrow pass with the set of all anchors, as
+long as that set has a checked size; beyond it a Bloom filter drops the other grams inside the row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakwork.functions import fixed
 from cloakwork.functions.predicates import is_case_expandable, is_lowercase_single_word
@@ -34,6 +40,10 @@ _EDGE = 3                     # characters either side of a word gap
 _LONG_RUN = 128
 INLINE_FORMS = 4_000          # forms that may travel in the broadcast row
 INLINE_BYTES = 2_000_000      # and their total value bytes
+MOST_KEYS = 400_000           # anchors that a task may hold as a set
+MOST_KEY_BYTES = 16_000_000   # and their total bytes
+_KNOWN_WORDS = 50_000         # words a task remembers between texts
+_ROWS = 256                   # texts that are Python strings at a time
 
 FORM_DEFAULTS = {
     "entity_id": None, "entity_type": None, "protection_kind": "literal", "canonical": None,
@@ -63,16 +73,16 @@ def _split_words(folded: Column) -> Column:
 
 
 def _link(words: Column, i: Column, span: int) -> Column:
-    """Hash of ``span`` neighbouring words: edge words by their inner characters, middle ones whole."""
+    """``span`` neighbouring words: edge words by their inner characters, middle ones whole."""
     middle = [F.get(words, i + k) for k in range(1, span - 1)]
-    return F.xxhash64(F.concat_ws(
-        " ", F.substring(F.get(words, i), -_EDGE, _EDGE), *middle, F.substring(F.get(words, i + span - 1), 1, _EDGE)))
+    return F.concat_ws(
+        " ", F.substring(F.get(words, i), -_EDGE, _EDGE), *middle, F.substring(F.get(words, i + span - 1), 1, _EDGE))
 
 
 def _links(words: Column, span: int) -> Column:
     return F.when(F.size(words) >= span, F.transform(
         F.sequence(F.lit(0), F.size(words) - span), lambda i: _link(words, i, span)
-    )).otherwise(F.array().cast("array<bigint>"))
+    )).otherwise(F.array().cast("array<string>"))
 
 
 def _form_links(words: Column, span: int) -> Column:
@@ -90,12 +100,11 @@ def _form_links(words: Column, span: int) -> Column:
 
 
 def _grams(run: Column, size: int) -> Column:
-    """Hashes of all overlapping grams of one white-space-free run."""
+    """All overlapping grams of one white-space-free run."""
     short = F.transform(
-        F.sequence(F.lit(1), F.length(run) - (size - 1)), lambda i: F.xxhash64(F.substring(run, i, F.lit(size))))
+        F.sequence(F.lit(1), F.length(run) - (size - 1)), lambda i: F.substring(run, i, F.lit(size)))
     # cutting by position is quadratic in the run length, so long runs use one regex pass
-    long = F.transform(
-        F.regexp_extract_all(run, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+    long = F.regexp_extract_all(run, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
     return F.when(F.length(run) > _LONG_RUN, long).otherwise(short)
 
 
@@ -104,10 +113,10 @@ def _word_grams(words: Column, size: int) -> Column:
 
 
 def _blocks(words: Column) -> Column:
-    """Hashes of the 8-blocks of words that are long enough to hold eight neighbouring 8-grams."""
+    """The 8-blocks of words that are long enough to hold eight neighbouring 8-grams."""
     cut = rf"(?s)(.{{{_BLOCK}}})"
-    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2 * _BLOCK - 1), lambda w: F.transform(
-        F.regexp_extract_all(w, F.lit(cut), F.lit(1)), lambda g: F.xxhash64(g))))
+    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2 * _BLOCK - 1), lambda w:
+                                 F.regexp_extract_all(w, F.lit(cut), F.lit(1))))
 
 
 def text_anchors(text: Column, classes: Sequence[int]) -> Column:
@@ -117,15 +126,79 @@ def text_anchors(text: Column, classes: Sequence[int]) -> Column:
 
     def of_words(words: Column) -> Column:
         parts = [of_class(words, c) for c in classes]
-        return F.concat(*parts) if parts else F.array().cast("array<bigint>")
+        return F.transform(F.concat(*parts), lambda k: F.xxhash64(k)) if parts else F.array().cast("array<bigint>")
     return let(_split_words(key_fold(text)), of_words)
 
 
+_ODD_SPACE, _GAP = re.compile("[\x1c-\x1f\x85\ufeff]"), re.compile(
+    "[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", fixed.WS) + "]+")
+
+
+class _Keys:
+    """The anchors of a registry by class; tells which of them a folded text holds."""
+
+    def __init__(self, by_class: dict[int, frozenset[str]]) -> None:
+        self.by_class = by_class
+        # links of three words are looked up by their middle word first
+        self.middles = frozenset(k.split(" ")[1] for k in by_class.get(-3, ()))
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def of_word(self, w: str) -> tuple[str, ...]:
+        """Grams and blocks of one word; words come again and again, so the last ones are remembered."""
+        hit = self.known.get(w)
+        if hit is None:
+            hit = tuple({w[i:i + size] for c, keys in self.by_class.items() if c > 0
+                         for size, step, least in [(_BLOCK, _BLOCK, 2 * _BLOCK - 1) if c == BLOCKS else (c, 1, c)] if len(w) >= least
+                         for i in range(0, len(w) - size + 1, step) if w[i:i + size] in keys})
+            if len(self.known) >= _KNOWN_WORDS:
+                self.known.clear()
+            if len(w) <= _LONG_RUN:
+                self.known[w] = hit
+        return hit
+
+    def of(self, folded: str | None) -> list[str]:
+        if folded is None:
+            return []
+        words = _GAP.split(folded) if _ODD_SPACE.search(folded) else folded.split()
+        out: set[str] = set()
+        if self.middles:
+            for i in [i for i, w in enumerate(words) if w in self.middles]:
+                if 0 < i < len(words) - 1:
+                    out.add(f"{words[i - 1][-_EDGE:]} {words[i]} {words[i + 1][:_EDGE]}")
+            out &= self.by_class[-3]
+        if -2 in self.by_class:
+            out |= self.by_class[-2].intersection([f"{a[-_EDGE:]} {b[:_EDGE]}" for a, b in zip(words, words[1:])])
+        if any(c > 0 for c in self.by_class):
+            for w in set(words):
+                out.update(self.of_word(w))
+        return sorted(out)
+
+
+def key_lookup(prepared: DataFrame) -> Callable[[Column], Column] | None:
+    """From a text column to the array of anchor keys it holds; null if the keys are too many for a task."""
+    keys = prepared.select("cls", "key").distinct()
+    size = keys.agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
+    if size["n"] > MOST_KEYS or (size["bytes"] or 0) > MOST_KEY_BYTES:
+        return None
+    # bounded by the check above
+    by_class: dict[int, set[str]] = {}
+    for r in keys.collect():
+        by_class.setdefault(r["cls"], set()).add(r["key"])
+    shared = prepared.sparkSession.sparkContext.broadcast(_Keys({c: frozenset(k) for c, k in by_class.items()}))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def held(folded: pa.Array) -> pa.Array:
+        look = shared.value
+        return pa.array([look.of(x) for a in range(0, len(folded), _ROWS) for x in folded.slice(a, _ROWS).to_pylist()], pa.list_(pa.string()))
+
+    return lambda text: held(key_fold(text))
+
+
 def _form_anchors(value: Column) -> Column:
     """struct<cls, keys>: anchor class of a form and all its possible anchors of that class."""
     def pick(words: Column) -> Column:
         longest = F.array_max(F.transform(words, lambda w: F.length(w)))
-        cls, keys = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.array().cast("array<bigint>"))
+        cls, keys = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.array().cast("array<string>"))
         for c in CLASSES:
             if c == BLOCKS:
                 # all eight are needed: which of them starts a block depends on the text
@@ -140,7 +213,7 @@ def _form_anchors(value: Column) -> Column:
 
 
 def anchored(forms: DataFrame) -> DataFrame:
-    """Add ``cls`` (anchor class) and ``anchor``: the hash of the form's rarest anchor, or a row for each it needs."""
+    """Add ``cls`` (anchor class), ``key``, the form's rarest anchor, or a row for each it needs, and ``anchor``, its hash."""
     cols = forms.columns
     keyed = forms.withColumn("_a", pin(_form_anchors(F.col("value")))).filter("_a.cls is not null")
     pairs = keyed.select(*cols, F.col("_a.cls").alias("cls"), F.explode("_a.keys").alias("_key")).withColumn(
@@ -149,8 +222,9 @@ def anchored(forms: DataFrame) -> DataFrame:
     counts = chosen.groupBy("_key").agg(F.count("*").alias("_n"))
     rarest = chosen.join(counts, "_key").groupBy("_form").agg(
         F.min(F.struct("_n", "_key")).alias("_best"), F.first(F.struct(*cols, "cls")).alias("_f")
-    ).select("_f.*", F.col("_best._key").alias("anchor"))
-    return rarest.unionByName(pairs.filter(F.col("cls") == BLOCKS).select(*cols, "cls", F.col("_key").alias("anchor")))
+    ).select("_f.*", F.col("_best._key").alias("key"))
+    every = rarest.unionByName(pairs.filter(F.col("cls") == BLOCKS).select(*cols, "cls", F.col("_key").alias("key")))
+    return every.withColumn("anchor", F.xxhash64("key"))
 
 
 def may_occur(folded: Column, value: Column) -> Column:
@@ -164,11 +238,15 @@ def expand(text: Column, forms: Column) -> Column:
     ``array<struct<start,end,value,form>>``; white space in a form matches one reflowed line
     break, word-like or detected forms match any letter case, token forms need token edges.
     """
-    word = r"^[\p{L}\p{M}\p{N}_]$"
+    letter = r"[\p{L}\p{M}\p{N}_]"
+    word = f"^{letter}$"
 
     def pattern(f: Column) -> Column:
         loose = (f.authority == "detected") | is_case_expandable(f.value)
-        return F.concat(F.when(loose, "(?iu)").otherwise(""), F.lit("("), flexible_pattern(f.value), F.lit(")"))
+        # a form of one whole word is no hit inside a longer one: the pattern says so, before spans are made of it
+        whole = (f.boundary == "token") & f.value.rlike(f"^{letter}+$")
+        return let(flexible_pattern(f.value), lambda p: F.concat(F.when(loose, "(?iu)").otherwise(""), F.lit("("), p, F.lit(")"), F.when(
+            whole, F.concat(F.lit(f"(?!{letter})(?<!{letter}"), p, F.lit(")"))).otherwise("")))
 
     def edges(f: Column, s: Column) -> Column:
         first, last = F.substring(f.value, 1, 1), F.substring(f.value, -1, 1)
@@ -209,6 +287,7 @@ class Dictionary:
         self.size = size["n"]
         self.empty = size["n"] == 0
         self.classes = sorted(size["classes"])
+        self.lookup = None if self.empty else key_lookup(self.anchored)
 
     def hashes(self, text: Column) -> Column:
         """Anchor hashes of a text, for the anchor classes this registry uses."""
@@ -219,7 +298,6 @@ class Dictionary:
         return self.anchored.agg(
             F.collect_set("anchor").alias("_anchors"),
             F.collect_list(F.struct("anchor", form_struct().alias("form"))).alias("_forms"),
-            F.least(F.count("*"), F.lit(1)).alias("_dict"),
         )
 
     def candidates(self, df: DataFrame, keys: Sequence[str], text_col: str, out: str = "candidates") -> DataFrame:
@@ -228,21 +306,26 @@ class Dictionary:
         if self.empty:
             return df.withColumn(out, none)
         if self.inline:
-            present = F.when(F.col(text_col).isNotNull(), 1)
-            joined = df.withColumn("_one", present).join(
-                F.broadcast(self._row()), F.col("_one") == F.col("_dict"), "left")
+            if self.lookup is not None:
+                df = df.withColumn("_keys", self.lookup(F.col(text_col)))
+                held = F.transform("_keys", lambda k: F.xxhash64(k))
+            else:
+                held = F.array_intersect("_row._anchors", self.hashes(F.col(text_col)))
             # bound with let: a pushed-down filter may inline this, and it must run once per text
-            picked = let(
-                F.array_intersect("_anchors", self.hashes(F.col(text_col))),
-                lambda hits: F.when(F.size(hits) > 0, F.array_distinct(F.transform(
-                    F.filter("_forms", lambda f: F.array_contains(hits, f.anchor)), lambda f: f.form))),
-            )
-            return joined.withColumn(out, pin(F.coalesce(picked, none))).drop("_one", "_dict", "_anchors", "_forms")
+            picked = let(F.struct(F.col("_row._forms").alias("forms"), held.alias("hits")), lambda b: F.when(
+                F.size(b["hits"]) > 0, F.array_distinct(F.transform(
+                    F.filter(b["forms"], lambda f: F.array_contains(b["hits"], f.anchor)), lambda f: f.form))))
+            # the projections collapse into one, so the forms are a value of the plan and ride on no row
+            row = self._row().select(F.struct("_anchors", "_forms")).scalar()
+            return df.withColumn("_row", row).withColumn(out, pin(F.coalesce(picked, none))).drop("_row", "_keys")
         found = self.candidate_rows(df, keys, text_col).groupBy(*keys).agg(F.collect_set("form").alias(out))
         return df.join(found, list(keys), "left").withColumn(out, F.coalesce(out, none))
 
     def candidate_rows(self, df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
         """(keys, form) pairs by an equi-join of distinct text grams with the anchors."""
+        if self.lookup is not None:
+            held = df.select(*keys, self.lookup(F.col(text_col)).alias("_keys")).select(*keys, F.explode("_keys").alias("key"))
+            return held.join(self.anchored.select("key", form_struct().alias("form")), "key").drop("key")
         maybe = KeyFilter(self.anchored, "anchor", self.size).keep(df.select(*keys, text_col), self.hashes(F.col(text_col)), "_as")
         grams = maybe.select(*keys, pin(F.array_distinct("_as")).alias("_as")).select(*keys, F.explode("_as").alias("anchor"))
         return grams.join(self.anchored.select("anchor", form_struct().alias("form")), "anchor").drop("anchor")
@@ -272,7 +355,7 @@ def scoped_candidates(df: DataFrame, keys: Sequence[str], text_col: str, forms:
     hashes = F.transform(text_anchors(F.col(text_col), sorted(size["classes"])), lambda a: F.xxhash64(a, *[F.col(c) for c in scope]))
     maybe = KeyFilter(prepared, "_at", size["n"]).keep(df.select(*own, text_col), hashes, "_as")
     grams = maybe.select(*own, pin(F.array_distinct("_as")).alias("_as")).select(*own, F.explode("_as").alias("_at"))
-    hit = grams.join(prepared, [*scope, "_at"]).drop("anchor", "cls", "_at")
+    hit = grams.join(prepared, [*scope, "_at"]).drop("anchor", "key", "cls", "_at")
     if keep is not None:
         hit = hit.filter(keep)
     return hit.select(*keys, *carried, form_struct().alias("form")).distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -72,14 +73,20 @@ def fold_ws(col: Column) -> Column:
     return trim_ws(F.regexp_replace(col, rf"[{fixed.WS}]+", " "))
 
 
-@F.pandas_udf(StringType())
-def _nfc(values: pd.Series) -> pd.Series:
-    return values.str.normalize("NFC")
+@F.arrow_udf(StringType())
+def _nfc(values: pa.Array) -> pa.Array:
+    # one text at a time is held beside the batch
+    return pa.array((None if v is None else unicodedata.normalize("NFC", v) for v in (x.as_py() for x in values)), pa.string())
 
 
 def nfc(col: Column) -> Column:
-    """NFC form.  Spark has no built-in, so an Arrow UDF runs, on non-ASCII rows only."""
-    return F.when(col.rlike(r"[^\x00-\x7F]"), _nfc(col)).otherwise(col)
+    """NFC form.  Spark has no built-in, so an Arrow function runs, on rows that may change only.
+
+    Characters below U+0300 neither combine nor decompose into a shorter form, so texts of them alone are in
+    NFC.  A condition around the call would not spare such rows, an argument of null does.
+    """
+    changes = col.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.coalesce(_nfc(F.when(changes, col)), col)
 
 
 def normalize_form(col: Column) -> Column:

@@ -19,3 +19,20 @@ def test_same_as_sql(spark, tmp_path, name):
     df = q.call(spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({q.sql})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_texts_that_are_nfc_stay_in_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    from cloakwork.functions import text as X
+
+    df = spark.createDataFrame([("Straße é˿",), ("é",), (None,)], "t string").coalesce(1)
+    # what reaches the Arrow function: null for texts that cannot change
+    seen = []
+    real, X._nfc = X._nfc, lambda c: seen.append(c) or F.lit(None).cast("string")
+    try:
+        X.nfc(F.col("t"))
+    finally:
+        X._nfc = real
+    assert [r[0] for r in df.select(seen[0]).collect()] == [None, "é", None]
+    assert [r[0] for r in df.select(X.nfc(F.col("t"))).collect()] == ["Straße é˿", "é", None]

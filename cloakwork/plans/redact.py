@@ -131,6 +131,7 @@ class Redactor:
         Adds ``redacted``, ``spans`` (resolved, with token and owner), ``known`` (values that must
         not survive) and ``over_limit``; a text over a limit keeps no redacted form, because it is
         to be blocked, never truncated.  ``extra_forms`` names an array column of further forms.
+        A value goes wherever it occurs again; spans that a rule itself gave are ``found``.
         """
         text = F.col(text_col)
         out = self.with_findings(self.with_candidates(df, keys, text_col, "_registry"), text_col, "_found")
@@ -145,6 +146,8 @@ class Redactor:
         over = (F.size("_forms") > self.max_entities) | (F.size("_claims") > self.max_occurrences)
         out = out.withColumn("over_limit", over)
         context = F.col(context_col).cast("string") if context_col else None
+        place = lambda s: F.shiftleft(s.start.cast("bigint"), 31) + s.end
+        out = out.withColumn("_places", pin(F.transform("_found", place)))
         spans = F.transform(
             resolve_array(F.when(F.col("over_limit"), F.filter("_claims", lambda c: F.lit(False))).otherwise(F.col("_claims"))),
             lambda r: F.struct(
@@ -154,6 +157,7 @@ class Redactor:
                 r.info["name"].alias("name"), r.info.source.alias("source"), r.info.kind.alias("kind"),
                 r.info.confidence.alias("confidence"), r.info.authority.alias("authority"),
                 r.info.boundary.alias("boundary"), r.info.protection_kind.alias("protection_kind"),
+                F.array_contains("_places", place(r)).alias("found"),
             ),
         )
         out = out.withColumn("spans", pin(spans))
@@ -165,7 +169,7 @@ class Redactor:
         out = out.withColumn("known", F.array_distinct(F.concat(
             F.transform("_detected", lambda f: F.struct(f.value.alias("value"), F.lit(False).alias("token_bound"))),
             surfaces)))
-        return out.drop("_registry", "_found", "_detected", "_forms", "_claims")
+        return out.drop("_registry", "_found", "_detected", "_forms", "_claims", "_places")
 
     def gate(self, df: DataFrame, keys: Sequence[str], redacted_col: str = "redacted",
              known_col: str = "known", json_body: bool = False) -> DataFrame:
@@ -439,7 +443,7 @@ def preview(redacted: DataFrame, keys: Sequence[str], text_col: str = "text") ->
         *keys, "text_sha256", "s.start", "s.end", F.col("s.token").alias("surrogate"), "s.name", "s.kind",
         "s.confidence",
         F.when(F.col("s.source") == "user-selected", "user").when(
-            F.col("s.authority") == "registry", "registry").otherwise("detected").alias("origin"),
+            F.col("s.authority") == "registry", "registry").otherwise("detected").alias("origin"), "s.found",
     )
 
 

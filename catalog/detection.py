@@ -240,7 +240,7 @@ _ORG_SPANS = """SELECT doc, text, 'ORGANIZATION' AS entity_type, n FROM (
 @q("linked_single_words", f"""SELECT doc, start_pos, start_pos + 4 AS end_pos, 'blue' AS alias
    FROM (SELECT o_orderkey AS doc, unnest([23, 32]) AS start_pos FROM {{orders}}) _x""")
 def _(t):
-    base = t.sql(_ORG_SPANS)
+    base = spread(t.sql(_ORG_SPANS), "doc")
     full = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in ((0, 16), (38, 49), (51, 62))])
     single = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in ((0, 4), (23, 27), (32, 36), (64, 67), (71, 74))])
 

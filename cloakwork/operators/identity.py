@@ -161,24 +161,33 @@ def organization_aliases(organizations: DataFrame, docs: DataFrame, keys: Sequen
 
 
 def linked_single_words(raw: DataFrame, accepted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Repeated one-word organizations that uniquely name a fuller one in the same document."""
-    orgs = accepted.filter("rule = 'organization'").withColumn("w", normalized_words(F.col("value"))).filter("size(w) > 1")
+    """Repeated one-word organizations that uniquely name a fuller one in the same document.
+
+    Words and full names of a document meet in one shuffle.  In order of their starts the furthest end
+    of the full names so far tells whether a word lies within one, so no pairs are made.
+    """
+    def worded(df: DataFrame) -> DataFrame:
+        return df.filter("rule = 'organization'").select(*keys, "start", "end", pin(normalized_words(F.col("value"))).alias("w"))
+
     no_the = F.when(F.get("w", F.lit(0)) == "the", F.slice("w", 2, F.size("w"))).otherwise(F.col("w"))
-    owners = orgs.select(*keys, let(no_the, lambda w: F.aggregate(
-        F.reverse(w), F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) == 0) & x.isin(fixed.ALIAS_LEGAL_DESIGNATORS), acc).otherwise(
-            F.concat(F.array(x), acc)))).alias("identity")).filter("size(identity) > 0")
-    unique = owners.groupBy(*keys, F.get("identity", F.lit(0)).alias("alias")).agg(
-        F.count_distinct("identity").alias("n")).filter("n = 1").drop("n")
-    single = raw.filter("rule = 'organization'").withColumn("w", normalized_words(F.col("value"))).filter(
-        "size(w) = 1").select(*keys, "start", "end", F.get("w", F.lit(0)).alias("alias")).distinct()
-    # outside every full name: a contained span overlaps it and lies within it
-    inside = single.join(orgs.select(*keys, F.col("start").alias("o_start"), F.col("end").alias("o_end")), list(keys)).filter(
-        "o_start <= start and end <= o_end").select(*keys, "start", "end").distinct()
-    free = single.join(inside, [*keys, "start", "end"], "left_anti")
-    repeated = free.groupBy(*keys, "alias").agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
-    return free.join(repeated, [*keys, "alias"]).join(unique, [*keys, "alias"], "left_semi").select(
-        *keys, "start", "end", "alias")
+    last = lambda w: F.array_max(F.transform(w, lambda x, i: F.when(~x.isin(fixed.ALIAS_LEGAL_DESIGNATORS), i + 1)))
+    identity = pin(let(no_the, lambda w: F.slice(w, F.lit(1), F.coalesce(last(w), F.lit(0)))))
+    full = worded(accepted).filter("size(w) > 1").select(*keys, "start", "end", identity.alias("identity")).select(
+        *keys, "start", "end", F.get("identity", F.lit(0)).alias("alias"), "identity", F.lit(True).alias("full"))
+    single = worded(raw).filter("size(w) = 1").select(
+        *keys, "start", "end", F.get("w", F.lit(0)).alias("alias"), F.lit(None).cast("array<string>").alias("identity"),
+        F.lit(False).alias("full"))
+    rows = full.unionByName(single).dropna(subset=list(keys))
+    # of equal starts full names come first
+    in_text = W.partitionBy(*keys).orderBy("start", F.desc("full"), "end", "alias")
+    reach = F.max(F.when(F.col("full"), F.col("end"))).over(in_text.rowsBetween(W.unboundedPreceding, W.currentRow))
+    one = F.struct("start", "full", "end", "alias")
+    placed = rows.withColumn("_reach", reach).withColumn("_before", F.lag(one).over(in_text))
+    placed = placed.withColumn("_free", ~F.col("full") & ~one.eqNullSafe(F.col("_before")) & ~F.coalesce(
+        F.col("end") <= F.col("_reach"), F.lit(False)))
+    named = W.partitionBy(*keys, "alias")
+    return placed.withColumn("_n", F.count_if("_free").over(named)).withColumn("_one", F.min("identity").over(named)).withColumn(
+        "_other", F.max("identity").over(named)).filter("_free and _n >= 2 and _one = _other").select(*keys, "start", "end", "alias")
 
 
 # ------------------------------------------------------------- D33, D34 by line

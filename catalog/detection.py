@@ -226,7 +226,7 @@ def _(t):
 
 @q("organization_aliases")
 def _(t):
-    docs = t.sql(ORG_TEXT)
+    docs = spread(t.sql(ORG_TEXT), "doc")
     orgs = I.designator_organizations(docs, ["doc"]).join(docs, "doc").withColumn(
         "value", F.expr("substring(text, start + 1, end - start)")).select("doc", "value")
     return I.organization_aliases(orgs, docs, ["doc"])

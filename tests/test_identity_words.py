@@ -25,3 +25,17 @@ def test_linked_single_words_without_joins(spark):
     plan = shown.getvalue()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, out.collect())) == [(1, 23, 27, "blue"), (1, 32, 36, "blue")]
+
+
+def test_designator_organizations_in_one_arrow_pass(spark):
+    texts = ["Paid by Blue Star Holdings Ltd, on time", "Ltd", "the notice by Silver Oak Capital", "A B C D E F G H I Ltd", "x²Ltd Élan Bank’ (Red) Group",
+             "lower case group", "of the ǅa Trust", "ⅧLtd Inc", "O'Neil-Smith of Acme LLP.\nInc", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    out = I.designator_organizations(docs, ["doc"])
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        out.explain()
+    assert "ArrowEvalPython" in shown.getvalue() and "lambda" not in shown.getvalue()
+    got = {(r.doc, texts[r.doc][r.start:r.end]) for r in out.collect()}
+    assert got == {(0, "Blue Star Holdings"), (0, "Blue Star Holdings Ltd"), (2, "Silver Oak Capital"), (3, "C D E F G H I Ltd"),
+                   (4, "Élan Bank’"), (7, "Ltd Inc"), (8, "Acme LLP.")}

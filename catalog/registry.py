@@ -328,9 +328,8 @@ def _(t):
 # ------------------------------------------------------------------------------ A9, X2
 def _review(t: Tables):
     env = t.sql(ENV_TABLE).filter("value <> '' and name <> ''")
-    kept, excluded = R.apply_policy(env, t.sql(_RULES), ["event_id"])
     names = R.parse_exclusions(t.sql(_LISTS), "names")
-    return R.review_candidates(kept, excluded, names, ["event_id"]), names
+    return R.review_values(env, t.sql(_RULES), names, ["event_id"]), names
 
 
 @q("review_candidates", f"""WITH env AS (SELECT * FROM ({ENV_TABLE}) e WHERE value <> '' AND name <> ''),

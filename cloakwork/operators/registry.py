@@ -12,6 +12,7 @@ from cloakwork.functions import fixed
 from cloakwork.functions.text import looks_high_entropy
 
 USER_PLUGIN = "user-config"
+_SHAPES = (fixed.REASON_URL, fixed.REASON_PATH, fixed.REASON_CONFIG)
 REVIEW_STATES = ["protected", "user-excluded", "plugin-excluded", "stale-excluded"]
 
 
@@ -111,14 +112,25 @@ def benign_shape(value: Column) -> Column:
     )
 
 
-def classify_environment(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One verdict per name over all its values; the result never contains any part of a value."""
+def by_name(values: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row per name: what its values look like, its sources, and the source and shape of its first value.
+
+    Values are added up where they are read, per name and source and with numbers only as state, so a
+    name that most values bear is a few rows before anything is dealt by name.
+    """
     shape = benign_shape(F.col("value"))
-    grouped = df.groupBy("name").agg(
-        F.bool_or(credential_shaped(F.col("value"))).alias("_cred"),
-        F.bool_and(shape.isNotNull()).alias("_benign"),
-        F.min_by(shape, F.struct(*order)).alias("_reason"),
-    )
+    code = F.array_position(F.array(*map(F.lit, _SHAPES)), shape).cast("int")
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    each = values.groupBy("name", "source").agg(
+        F.bool_or(credential_shaped(F.col("value"))).alias("_cred"), F.bool_and(shape.isNotNull()).alias("_benign"),
+        F.min_by(code, at).alias("_code"), F.min(at).alias("_at"))
+    return each.groupBy("name").agg(
+        F.bool_or("_cred").alias("_cred"), F.bool_and("_benign").alias("_benign"), F.min_by("_code", "_at").alias("_code"),
+        F.min_by("source", "_at").alias("_first"), F.array_sort(F.collect_set("source")).alias("sources")).withColumn(
+        "_reason", F.get(F.array(*map(F.lit, _SHAPES)), F.col("_code") - 1))
+
+
+def _with_verdict(grouped: DataFrame) -> DataFrame:
     listed = F.upper("name").isin(fixed.BENIGN_NAMES) | F.col("name").rlike("(?i)" + fixed.BENIGN_NAME_PATTERN)
     secret = F.col("name").rlike("(?i)" + fixed.CLASSIFY_SECRET_NAME) | F.col("name").rlike(
         "(?i)" + fixed.CLASSIFY_PII_NAME)
@@ -126,9 +138,19 @@ def classify_environment(df: DataFrame, order: Sequence[str]) -> DataFrame:
         F.when(F.col("_cred"), None).when(listed, fixed.REASON_NAME).when(secret, None)
         .when(F.col("_benign"), F.col("_reason"))
     )
-    return grouped.select(
-        "name", F.when(reason.isNull(), "keep-protected").otherwise("likely-non-secret").alias("verdict"),
-        reason.alias("reason"))
+    return grouped.withColumn("reason", reason).withColumn(
+        "verdict", F.when(F.col("reason").isNull(), "keep-protected").otherwise("likely-non-secret"))
+
+
+def classify_environment(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One verdict per name over all its values; the result never contains any part of a value."""
+    shape = benign_shape(F.col("value"))
+    grouped = df.groupBy("name").agg(
+        F.bool_or(credential_shaped(F.col("value"))).alias("_cred"),
+        F.bool_and(shape.isNotNull()).alias("_benign"),
+        F.min_by(shape, F.struct(*order)).alias("_reason"),
+    )
+    return _with_verdict(grouped).select("name", "verdict", "reason")
 
 
 def review_candidates(kept: DataFrame, excluded: DataFrame, user_names: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -150,12 +172,32 @@ def review_candidates(kept: DataFrame, excluded: DataFrame, user_names: DataFram
                           & (F.coalesce("verdict", F.lit("")) != "likely-non-secret"))
 
 
+def review_values(values: DataFrame, rules: DataFrame, user_names: DataFrame, order: Sequence[str]) -> DataFrame:
+    """:func:`apply_policy` and :func:`review_candidates` in one: rules go by name, so names meet them, not values."""
+    first_rule = rules.filter("trusted").groupBy("name").agg(F.min(F.struct("rank", "plugin", "rule_id")).alias("_r"))
+    named = _with_verdict(by_name(values, order)).join(first_rule, "name", "left")
+    kept = F.col("_r").isNull()
+    found = named.select(
+        "name", F.when(kept, F.col("sources")).otherwise(F.array("_first")).alias("sources"),
+        F.when(kept, "protected").when(F.col("_r.plugin") == USER_PLUGIN, "user-excluded").otherwise("plugin-excluded").alias("state"),
+        F.when(kept, F.col("verdict")).alias("verdict"), F.when(kept, F.col("reason")).alias("reason"))
+    # no anti join, which would be moved below the distinct
+    stale = user_names.filter("valid").select("name").distinct().join(
+        found.select("name", F.lit(True).alias("_found")), "name", "left").filter("_found is null").select(
+        "name", F.array().cast("array<string>").alias("sources"), F.lit("stale-excluded").alias("state"),
+        F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(stale).withColumn("selected", (F.col("state") == "protected")
+                                               & (F.coalesce("verdict", F.lit("")) != "likely-non-secret"))
+
+
 def next_exclude_names(candidates: DataFrame, selected: DataFrame, current: DataFrame) -> DataFrame:
     """Current exclusions without the selected names, plus every unselected toggleable name."""
-    toggle = candidates.filter("state <> 'plugin-excluded'").select("name")
-    added = toggle.join(selected.select("name"), "name", "left_anti")
-    removed = toggle.join(selected.select("name"), "name", "left_semi")
-    return current.select("name").join(removed, "name", "left_anti").union(added).distinct()
+    # outer joins: a semi or anti join would be moved below the aggregations, to all values of a name
+    picked = selected.select("name").distinct().withColumn("_picked", F.lit(True))
+    toggle = candidates.filter("state <> 'plugin-excluded'").select("name").distinct().join(picked, "name", "left").withColumn(
+        "_toggle", F.lit(True))
+    rows = current.select("name").distinct().join(toggle, "name", "full_outer")
+    return rows.filter("_toggle is null or _picked is null").select("name")
 
 
 # ------------------------------------------------------------------- R20 upsert

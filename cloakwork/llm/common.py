@@ -38,9 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and survives lost executors."""
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str = "stage", drop_shuffles: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    ``drop_shuffles``: the shuffle files of the write go at its end, not when the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP, None)
+    if drop_shuffles:
+        spark.conf.set(_DROP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(_DROP) if before is None else spark.conf.set(_DROP, before)
     return spark.read.schema(df.schema).parquet(path)

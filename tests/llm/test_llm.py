@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.llm import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_tree_lm, toxicity, url_filter
+from cloakwork.llm.common import shared_folder
 from cloakwork.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -338,6 +340,62 @@ def test_suffix_tree_keeps_what_is_attested_however_large_the_corpus(spark):
         assert len(got) == 12 and all(base(r) > 8 for r in got), filler
 
 
+def brute_scores(rows, least, g_least):
+    """Score of each row by plain counting of word tuples."""
+    tokens = [words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None] for _, t, *_ in rows]
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, *_ in rows]
+    counts = Counter(tuple(w[j - d:j + 1]) for w, k in zip(tokens, train, strict=True) if k for j in range(len(w)) for d in range(min(j, 3) + 1))
+    n, v = sum(c for k, c in counts.items() if len(k) == 1), sum(len(k) == 1 for k in counts)
+    tree = {k: c for k, c in counts.items() if c >= least}
+    below = {}
+    for k in tree:
+        if len(k) > 1:
+            below.setdefault(k[:-1], []).append(k)
+    kept = set()
+    for context in sorted(below, key=len, reverse=True):
+        of = lambda k: counts[k] if k else n
+        gain = sum(2 * counts[k] * math.log(counts[k] / counts[context] / (counts[k[1:]] / of(context[1:]))) for k in below[context])
+        if abs(gain) >= g_least or any(len(k) == len(context) + 1 and k[1:] == context for k in kept):
+            kept.add(context)
+
+    def p(before, x):
+        out = (counts[x,] + 1) / (n + v + 1)
+        for d in range(1, min(len(before), 3) + 1):
+            context = tuple(before[-d:])
+            if context not in kept:
+                break
+            kinds, held = len(below[context]), sum(counts[k] for k in below[context])
+            out = (tree.get((*context, x), 0) + (counts[context] + kinds - held) * out) / (counts[context] + kinds)
+        return out
+
+    return [sum(math.log10(p(w[:j], x)) for j, x in enumerate(w)) for w in tokens]
+
+
+def test_suffix_tree_scores_as_brute_force(spark, monkeypatch):
+    rnd = random.Random(5)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(None if i % 50 == 3 else i, None if i == 7 else " ".join(rnd.choice(names[:1 + rnd.randrange(60)]) for _ in range(rnd.randrange(90)))) for i in range(160)]
+    monkeypatch.setattr(suffix_tree_lm, "BUCKET_SYMBOLS", 500)  # several ranges of hashes
+    want = brute_scores(rows, 2, 30)
+    assert len({round(x, 6) for x in want}) > 100
+    for slice_rows in (1, 13):
+        got = suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), slice_rows=slice_rows).collect()
+        key = lambda i, s: (-1 if i is None else i, s)
+        for a, b in zip(sorted(key(r["doc_id"], r["score"]) for r in got), sorted(key(i, s) for (i, _), s in zip(rows, want, strict=True)), strict=True):
+            assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9)
+
+
+def test_suffix_tree_writes_no_row_for_a_single_pair(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{int(300 * rnd.random() ** 2)}" for _ in range(400))) for i in range(500)]
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).count() == 500
+    new = [x for x in folder.iterdir() if x not in before]
+    assert new and sum(spark.read.parquet(str(x)).count() for x in new) < 500
+    assert sum(f.stat().st_size for x in new for f in x.rglob("*.parquet")) < sum(len(t) for _, t in rows)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -16,7 +16,7 @@ from cloakwork.operators.detect import FINDING, Detector, Rule, findings, first_
 from cloakwork.operators.match import INLINE_BYTES, INLINE_FORMS, Dictionary, expand, link_anchors, may_occur, short_key
 from cloakwork.operators.paths import PATH_HINT, preserved
 from cloakwork.operators.spans import (
-    longest_first, mark_safe, overlaps, priority, resolve_array, scan, splice,
+    ORIGIN, longest_first, mark_safe, overlaps, priority, resolve_array, scan, splice,
 )
 
 _FIELDS = ("value", "entity_id", "entity_type", "protection_kind", "canonical", "boundary", "name", "source", "kind",
@@ -53,15 +53,19 @@ def _claim(start: Column, end: Column, value: Column, form: Column, origin: str)
     )
 
 
-def claims_of(text: Column, forms: Column, found: Column, tokens_pattern: str, prefix: str,
-              preserve_paths: bool = True) -> Column:
-    """Admissible claims of one text: detector spans and expanded forms, outside tokens and paths."""
+def raised_claims(text: Column, forms: Column, found: Column) -> Column:
+    """Claims of one text, wherever they stand: detector spans and expanded forms."""
     by_expansion = F.transform(expand(text, forms), lambda o: _claim(o.start, o.end, o.value, o.form, "expansion"))
     by_detector = F.transform(found, lambda f: _claim(f.start, f.end, f.value, f.form, "detector"))
+    return F.concat(by_detector, by_expansion)
+
+
+def admissible_claims(text: Column, raised: Column, tokens_pattern: str, prefix: str, preserve_paths: bool = True) -> Column:
+    """Those of the claims that stand outside tokens and paths."""
     tokens = F.when(text.contains(prefix), scan(mark_safe(text), f"({tokens_pattern})"))
 
     def admissible(bound: Column) -> Column:
-        return F.filter(F.concat(by_detector, by_expansion), lambda c: ~F.exists(
+        return F.filter(raised, lambda c: ~F.exists(
             F.coalesce(bound.tokens, F.array().cast("array<struct<start:int,end:int,value:string>>")),
             lambda t: overlaps(t.start, t.end, c.start, c.end),
         ) & ~(bound.hint & preserved(text, c.start, c.end, c.value)))
@@ -70,6 +74,12 @@ def claims_of(text: Column, forms: Column, found: Column, tokens_pattern: str, p
     return let(F.struct(tokens.alias("tokens"), hint.alias("hint")), admissible)
 
 
+def claims_of(text: Column, forms: Column, found: Column, tokens_pattern: str, prefix: str,
+              preserve_paths: bool = True) -> Column:
+    """Admissible claims of one text: detector spans and expanded forms, outside tokens and paths."""
+    return admissible_claims(text, raised_claims(text, forms, found), tokens_pattern, prefix, preserve_paths)
+
+
 @dataclass
 class Redactor:
     """Detect, match, resolve and replace protected values.
@@ -125,13 +135,15 @@ class Redactor:
         ).otherwise(literal)
 
     def redact(self, df: DataFrame, keys: Sequence[str], text_col: str = "text",
-               context_col: str | None = None, extra_forms: str | None = None) -> DataFrame:
+               context_col: str | None = None, extra_forms: str | None = None, raised: str | None = None) -> DataFrame:
         """Plain texts, without any shuffle of texts when the registry is inline.
 
         Adds ``redacted``, ``spans`` (resolved, with token and owner), ``known`` (values that must
         not survive) and ``over_limit``; a text over a limit keeps no redacted form, because it is
         to be blocked, never truncated.  ``extra_forms`` names an array column of further forms.
         A value goes wherever it occurs again; spans that a rule itself gave are ``found``.
+        ``raised`` names an array column to add: every find of a rule or a given form ``(start, end, value, info)``,
+        also those that overlap or stay readable.
         """
         text = F.col(text_col)
         out = self.with_findings(self.with_candidates(df, keys, text_col, "_registry"), text_col, "_found")
@@ -141,8 +153,15 @@ class Redactor:
         located = F.transform("_found", lambda f: F.struct(
             f.start.alias("start"), f.end.alias("end"), f.value.alias("value"),
             F.get(F.filter("_detected", lambda d: d.value == f.value), F.lit(0)).alias("form")))
-        out = out.withColumn("_claims", pin(claims_of(
-            text, F.col("_forms"), located, self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths)))
+        claims = raised_claims(text, F.col("_forms"), located)
+        if raised:
+            out = out.withColumn("_raised", pin(claims))
+            out = out.withColumn(raised, F.transform(
+                F.filter("_raised", lambda c: (c.info.authority == "registry") | (c.pri.p_origin == -ORIGIN["detector"])),
+                lambda c: c.dropFields("pri")))
+            claims = F.col("_raised")
+        out = out.withColumn("_claims", pin(admissible_claims(
+            text, claims, self.surrogates.pattern, self.surrogates.prefix, self.preserve_paths)))
         over = (F.size("_forms") > self.max_entities) | (F.size("_claims") > self.max_occurrences)
         out = out.withColumn("over_limit", over)
         context = F.col(context_col).cast("string") if context_col else None
@@ -169,7 +188,7 @@ class Redactor:
         out = out.withColumn("known", F.array_distinct(F.concat(
             F.transform("_detected", lambda f: F.struct(f.value.alias("value"), F.lit(False).alias("token_bound"))),
             surfaces)))
-        return out.drop("_registry", "_found", "_detected", "_forms", "_claims", "_places")
+        return out.drop("_registry", "_found", "_detected", "_forms", "_raised", "_claims", "_places")
 
     def gate(self, df: DataFrame, keys: Sequence[str], redacted_col: str = "redacted",
              known_col: str = "known", json_body: bool = False) -> DataFrame:

@@ -36,6 +36,24 @@ def test_a_value_again_inside_a_longer_number_is_as_in_sql(spark, tmp_path, name
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
 
+def test_every_find_of_rules_and_registry_counts_as_in_sql(spark, tmp_path):
+    hexes = "a1b2c3d4e5" * 4
+    texts = [
+        "card 4111111111111111 and 4111111111111111 27, 12 4111111111111111 end", "4111 1111 1111 1111, 4111\n1111 1111 1111", None, "", "none",
+        f'token = "{hexes}" then {hexes} and a@b.co', "One  two three\nfour five; one two three four five six", "two three four five six",
+        f"mail {hexes}@corp.test", "see /home/a@b.co/x, cd a@b.co", f"/srv/{hexes}/x", "ssn 123-45-6789", "one two three four five@corp.test"]
+    passages = ["one two three four five six", "One two three four five other", "two three four five six y"]
+    q = QUERIES["redact_documents_with_registry"]
+    con = duckdb.connect()
+    for name, rows, schema in (("documents", [(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string"),
+                               ("benchmark", [(str(i), t) for i, t in enumerate(passages)], "item_id string, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = q.call(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({q.sql})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_texts_that_are_nfc_stay_in_the_jvm(spark):
     from pyspark.sql import functions as F
 

@@ -7,6 +7,8 @@ The relational twins (``*_rows``) serve span tables of any size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -95,10 +97,6 @@ def _row_slices(weights: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def _counts(lists: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _lengths(texts: pa.Array, op=pc.utf8_length) -> np.ndarray:
     return pc.fill_null(op(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -138,10 +136,12 @@ def _between_marks(marked: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(_before(n), pa.int32()), spans, type=kinds)
 
 
+# spans take several times the room of their texts, so each slice of a batch goes back by itself
 @F.arrow_udf(_SPANS)
-def _located(marked: pa.Array) -> pa.Array:
-    done = [_between_marks(marked.slice(a, b - a)) for a, b in _row_slices(_lengths(marked, pc.binary_length))]
-    return pa.concat_arrays(done) if done else pa.array([], to_arrow_type(_SPANS))
+def _located(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for marked in batches:
+        for a, b in _row_slices(_lengths(marked, pc.binary_length)):
+            yield _between_marks(marked.slice(a, b - a))
 
 
 def scan_many(text: Column, pattern: Column | str, replacement: str = f"{MARK}$1{MARK}") -> Column:
@@ -157,48 +157,27 @@ def _ragged(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return source[np.repeat(start - _before(size)[:-1], size) + np.arange(int(size.sum()))]
 
 
-def _spliced(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    n, flat = _counts(spans), spans.flatten()
-    row, start = np.repeat(np.arange(len(texts)), n), pc.fill_null(flat.field("start"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    end, tokens = pc.fill_null(flat.field("end"), 0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field("token")
-    if np.any((start[1:] <= start[:-1]) & (row[1:] == row[:-1])):
-        names = tokens.to_pylist()
-        order = sorted(range(len(row)), key=lambda i: (row[i], start[i], end[i], names[i]))
-        start, end, tokens = start[order], end[order], tokens.take(pa.array(order, pa.int64()))
-    chars, (raw, _) = _before(_lengths(texts)), _raw(texts)
-    # byte of every character, and of the end
-    at = np.concatenate([np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]])
-    last = np.diff(chars)[row]
-    low, high = chars[row] + np.minimum(start, last), chars[row] + np.minimum(end, last)
-    # a row is: text up to a span, its token, …, text behind the last span
-    prev = np.concatenate([[0], high[:-1]])
-    first = _before(n)[:-1]
-    prev[first[n > 0]] = chars[:-1][n > 0]
-    tail = chars[:-1].copy()
-    tail[n > 0] = high[(first + n - 1)[n > 0]]
-    size, part = _lengths(tokens, pc.binary_length), 2 * np.arange(len(row)) + row
-    begin, length = np.empty(2 * len(row) + len(texts), np.int64), np.empty(2 * len(row) + len(texts), np.int64)
-    begin[part], length[part] = at[prev], at[np.maximum(low, prev)] - at[prev]
-    begin[part + 1], length[part + 1] = len(raw) + _before(size)[:-1], size
-    behind = 2 * np.cumsum(n) + np.arange(len(texts))
-    begin[behind], length[behind] = at[tail], at[chars[1:]] - at[tail]
-    out = _ragged(np.concatenate([raw, _raw(tokens)[0]]), begin, length)
-    ends = _before(length)[np.concatenate([[0], behind + 1])]
-    made = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out))
-    return pc.if_else(pc.and_(texts.is_valid(), spans.is_valid()), made, None)
-
-
-@F.arrow_udf(T.StringType())
-def _splice_rows(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    work = _lengths(texts) + _counts(spans)
-    done = [_spliced(texts.slice(a, b - a), spans.slice(a, b - a)) for a, b in _row_slices(work)]
-    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+def _spliced(text: str | None, starts: list[int] | None, ends: list[int] | None, tokens: list[str] | None) -> str | None:
+    if text is None or starts is None:
+        return None
+    spans = [(s or 0, e or 0, t or "") for s, e, t in zip(starts, ends, tokens)]
+    if any(b[0] <= a[0] for a, b in zip(spans, spans[1:])):
+        spans.sort()
+    out, at = [], 0
+    for start, end, token in spans:
+        out += text[at:start], token
+        at = end
+    return "".join(out) + text[at:]
+
+
+# row by row on purpose: an Arrow batch of 10,000 texts with all their spans takes many times the room of the texts,
+# in the JVM and in Python; here 100 rows travel at a time
+_splice_rows = F.udf(_spliced, T.StringType(), useArrow=False)
 
 
 def splice_many(text: Column, spans: Column, token) -> Column:
     """Like :func:`splice`, for a text column with hundreds of spans a row (no lambda can hold it)."""
-    return _splice_rows(text, F.transform(spans, lambda s: F.struct(
-        s.start.alias("start"), s.end.alias("end"), token(s).alias("token"))))
+    return _splice_rows(text, spans["start"], spans["end"], F.transform(spans, token))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

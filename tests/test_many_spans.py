@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cloakwork.operators import spans as SP
@@ -39,3 +40,23 @@ def test_cost_of_a_span_does_not_grow_with_the_text(spark):
     took(10, 1)
     # 300,000 spans in one text; the array functions looked at 1,200 sums for each of them
     assert took(300_000, 1) < 20
+
+
+def test_spans_never_stand_in_memory_for_a_whole_batch(spark):
+    marked = pa.array(["\x01a\x01" * 1000] * 1000)
+    done = list(SP._located.func(iter([marked.slice(0, 600), marked.slice(600), marked.slice(0, 0)])))
+    # a million spans of 13 bytes came back in one piece for each batch
+    assert sum(len(x) for x in done) == 1000 and max(x.nbytes for x in done) < 6_000_000
+    df = spark.createDataFrame([("ab",)], "t string").select("t", SP.scan_many(F.col("t"), "(a)").alias("s"))
+    df = df.select(SP.splice_many(F.col("t"), F.col("s"), lambda x: F.lit("_")).alias("o"))
+    # spans and tokens travel to the splice a few rows at a time, not as Arrow batches of 10,000 texts
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("BatchEvalPython") == 1
+
+
+def test_splice_row_by_row():
+    cases = [((None, [0], [1], ["x"]), None), (("ab", None, None, None), None), (("ab", [], [], []), "ab"),
+             (("日😀b", [1, 2], [2, 3], ["<", ">"]), "日<>"), (("abc", [2, 0], [3, 1], ["y", "x"]), "xby"),
+             (("abc", [1, 5], [2, 9], ["x", None]), "axc"), (("abcd", [0, 1], [3, 4], ["x", "y"]), "xy")]
+    for given, want in cases:
+        assert SP._spliced(*given) == want

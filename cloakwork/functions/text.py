@@ -65,7 +65,8 @@ def prefix_fold(items: Column, zero: Column, step: Callable[[Column, Column], Co
 
 def trim_ws(col: Column) -> Column:
     """Strip leading and trailing ECMAScript white space."""
-    return F.regexp_replace(col, rf"^[{fixed.WS}]+|[{fixed.WS}]+$", "")
+    # a dollar sign would also match in front of a last U+0085, which is a line end but no such white space
+    return F.regexp_replace(col, rf"^[{fixed.WS}]+|[{fixed.WS}]+\z", "")
 
 
 def fold_ws(col: Column) -> Column:

@@ -54,6 +54,20 @@ def test_every_find_of_rules_and_registry_counts_as_in_sql(spark, tmp_path):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
 
+def test_entities_are_trimmed_and_named_as_in_sql(spark, tmp_path):
+    # U+0085 ends a line for Java, but is no white space that is trimmed; all mentions of a group are equally confident
+    texts = ["abcd \x85", "\x85 abcd", "abcd\xa0\x85\x85", "ab \x85", "\u3000some\u2028", "some", "some\r\n", None, ""]
+    q = QUERIES["analyzer_entities"]
+    rows = [(200 * k + 50 + i, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(sorted(rows), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    # of equally confident rows DuckDB keeps the first that it reads, which more threads leave open
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = q.call(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({q.sql})").fetchall()
+    assert len(want) > 4 and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_texts_that_are_nfc_stay_in_the_jvm(spark):
     from pyspark.sql import functions as F
 
